@@ -5,15 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
-from .shared import table
+from . import near_dedup, tokens
+from .shared import Scratch, table
+
+#: Where the public vocabularies lie; none is copied into the repository.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+END_ID = 2
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Scratch(spark, "token-orc").path("tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), END_ID)
+    return tokens.token_digests(tokens.read_tokens(spark, path))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(BYTE_BPE)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = tokens.decode(tokens.encode_bytes(docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
