@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, sql, tokens, url_filter
+from . import mixing, near_dedup, sql, tokens, url_filter, vectors
 from .shared import Scratch, table
 
 #: Where the public vocabularies lie; none is copied into the repository.
@@ -27,6 +27,10 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(tokens.read_tokens(spark, path))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 #: The rules that the query applies: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -48,6 +52,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

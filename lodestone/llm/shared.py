@@ -51,9 +51,9 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most limit rows; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
