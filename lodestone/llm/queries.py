@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, sql, tokens, url_filter, vectors
+from . import mixing, near_dedup, quality, sql, tokens, toxicity, url_filter, vectors
 from .shared import Scratch, table
 
 #: Where the public vocabularies lie; none is copied into the repository.
@@ -15,6 +15,10 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,22 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(spark, table(spark, sf_dir, "embeddings"))
 
 
+#: Documents with this score or more are predicted to be toxic.
+TOXIC_FROM = 0.3
+
+
+def held_out() -> Column:
+    """Documents that toxicity isn't learnt from: crc32(doc_id as text) mod 4 is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out()))
+    scored = toxicity.score(spark, docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "spans")
+
+
 #: The rules that the query applies: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
