@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, quality, sql, tokens, toxicity, url_filter, vectors
+from . import mixing, near_dedup, pages, quality, sql, tokens, toxicity, url_filter, vectors
 from .shared import Scratch, table
 
 #: Where the public vocabularies lie; none is copied into the repository.
@@ -76,6 +76,10 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
