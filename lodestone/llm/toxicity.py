@@ -18,7 +18,7 @@ from . import fitting
 
 #: The field is fitted on at most so many labelled documents of either class, and of each class at most so many
 #: characters in all.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 15_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 4_000_000
 #: Share of the sample that calibrates document scores instead.
 CALIBRATE = 4
 #: Hashed emission weights, and lengths of the word beginnings that have one besides the whole word.
