@@ -26,10 +26,10 @@ def numbered(df: DataFrame, order: list[str], out: str = "corpus_idx") -> DataFr
     """df with its place in order, from 0. Places come from counts of ranges and ranks within them, so no task has all
     rows."""
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").agg(F.max("_nth").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("_part", "_base")), "_part").withColumn(out, (F.col("_base") + F.col("_nth") - 1).cast("long")).drop("_part", "_nth", "_base")
+    sizes = ranged.groupBy("_part").agg(F.max("_row").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return ranged.join(F.broadcast(sizes.select("_part", "_base")), "_part").withColumn(out, (F.col("_base") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_base")
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
