@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outputs, text
 from ..operators import records, spans
-from . import corpus_queries
+from . import corpus_queries, dataflow
 from .registry import query, read
 
 _NORM = r"array_to_string(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+'), ' ')"
@@ -292,3 +292,21 @@ def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as slugs."""
     return read(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat(F.lit("org/"), F.col("p_type"))).alias("slug"))
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> dataflow.Run:
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return dataflow.Run(items, read(spark, sf_dir, "documents").select("doc_id", "text"), dataflow.Stub(), k=3)
+
+
+@query()
+def dataflow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan, steps and summary of every item, by the stub generator."""
+    return _flow(spark, sf_dir).answers()
+
+
+@query()
+def dataflow_solo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the one-call control."""
+    run = _flow(spark, sf_dir)
+    return dataflow.solo(run.questions, run.passages, run.generator, k=3).all_calls()
