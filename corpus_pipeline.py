@@ -42,8 +42,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(BYTE_BPE)
-    both = tokens.decode(tokens.encode_bytes(docs.select("doc_id", "source", "lang", "text"), path, public_tokenizers.PATTERN), path)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    given = docs.select("doc_id", "source", "lang", "text", whole.alias("sha256"))
+    both = tokens.decode(tokens.encode_bytes(given, path, public_tokenizers.PATTERN, keep_text=False), path)
+    exact = F.sha2("decoded", 256) == F.col("sha256")
     return both.select("doc_id", "source", "lang", "n_tokens", "ids", exact.alias("exact"))
 
 

@@ -25,24 +25,26 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
-            n, fps, keys = [], [], []
-            for text in part.column("text"):
-                s = shingles.shingle_set(text.as_py())
-                n.append(len(s))
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(shingles.band_keys(shingles.signature(s, BANDS * ROWS), BANDS) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
+    with shared.worker("shingles", shingles.free):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                n, fps, keys = [], [], []
+                for text in part.column("text"):
+                    s = shingles.shingle_set(text.as_py())
+                    n.append(len(s))
+                    fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    keys.append(shingles.band_keys(shingles.signature(s, BANDS * ROWS), BANDS) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            sets = [shingles.shingle_set(t.as_py()).tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "comp", "blocks", "block")), pa.array(sets, pa.binary())], schema=_SETS)
+    with shared.worker("shingles", shingles.free):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [shingles.shingle_set(t.as_py()).tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "comp", "blocks", "block")), pa.array(sets, pa.binary())], schema=_SETS)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -67,6 +69,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(percent: int):
     def verify(group: pa.Table) -> pa.Table:
         """A star forest of the links that the documents of a block, or of two blocks, have with each other."""
+        with shared.worker("verify"):
+            return stars(group)
+
+    def stars(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in group.column("shingles")]
         block = group.column("block").to_numpy()

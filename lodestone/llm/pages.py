@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, page_samples
+from . import boosting, page_samples, shared
 
 #: Generated pages that the trees are fitted on.
 SAMPLE_PAGES = 1500
@@ -248,24 +248,25 @@ def main_texts(htmls: list[str | None], trees: boosting.Boosted) -> list[str]:
     return out
 
 
-def extract(spark: SparkSession, pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars", keep_html: bool = True) -> DataFrame:
     """pages with text, the main text, and n_chars, its number of characters (code points).
 
     Blocks of text stand in page order, joined by two line feeds; within a block white space is one space. Every row
-    keeps its columns; ones of the new names are replaced. Null or empty html gives an empty text; broken markup is read
+    keeps its columns, the html only with keep_html; ones of the new names are replaced. Null or empty html gives an empty text; broken markup is read
     as browsers would, about; an empty table gives an empty result. The trees are fitted on the driver, once, and sent
     to the executors; they are a few kilobytes.
     """
     trees = spark.sparkContext.broadcast(model())
-    kept = pages.drop(text_col, chars_col).withColumn("__html", F.col(html_col).cast("string"))
+    kept = pages.drop(text_col, chars_col)
+    names = [c for c in kept.columns if keep_html or c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                texts = main_texts(part.column("__html").to_pylist(), trees.value)
-                columns = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__html"]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(n for n, _ in columns), text_col, chars_col])
+        with shared.worker("pages"):
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.slice(at, SLICE)
+                    texts = main_texts(part.column(html_col).to_pylist(), trees.value)
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, text_col, chars_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__html"), f"`{text_col}` string", f"`{chars_col}` long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names), f"`{text_col}` string", f"`{chars_col}` long"])
     return kept.mapInArrow(run, schema)

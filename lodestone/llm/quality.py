@@ -61,28 +61,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Classif
     """Fitted on the features of a bounded sample; the texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        with shared.worker("quality"):
+            for batch in batches:
+                x = [features(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     rows = fitting.labelled(docs, labels, label, SAMPLE_ROWS).mapInArrow(run, "doc_id long, y int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
     return Classifier(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(features(""))), np.array([r["y"] for r in rows], np.float64))
 
 
-def logits(docs: DataFrame, model: Classifier, text_col: str = "text", out_col: str = "doc_logit") -> DataFrame:
-    """docs, every row with all its columns, and the classifier's log-odds that the document is good."""
-    kept = docs.drop(out_col).withColumn("__text", F.col(text_col).cast("string"))
+def logits(docs: DataFrame, model: Classifier, text_col: str = "text", out_col: str = "doc_logit", keep_text: bool = True) -> DataFrame:
+    """docs, every row with all its columns, the text only with keep_text, and the classifier's log-odds that the document
+    is good."""
+    kept = docs.drop(out_col)
+    names = [c for c in kept.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                z = model.logits(np.array([features(t.as_py()) for t in part.column("__text")]))
-                columns = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in columns), pa.array(z)], names=[*(n for n, _ in columns), out_col])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), f"`{out_col}` double"])
+        with shared.worker("quality"):
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.slice(at, SLICE)
+                    z = model.logits(np.array([features(t.as_py()) for t in part.column(text_col)]))
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z)], names=[*names, out_col])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names), f"`{out_col}` double"])
     return kept.mapInArrow(run, schema)
 
 
@@ -137,12 +140,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str
     kept = [c for c in (columns or docs.columns) if c not in new]
     narrow = columns is not None and "text" not in columns
     needed = docs.select(*dict.fromkeys([*kept, host_col, path_col, "text"]))
-    scored = _site(logits(needed, model, out_col="__logit"), host_col, path_col)
+    scored = _site(logits(needed, model, out_col="__logit", keep_text=not narrow), host_col, path_col)
     if narrow:  # the texts are read once; without them the rest is small enough to be written
-        scored = tmp.cut(scored.drop("text"), "logits")
+        scored = tmp.cut(scored, "logits")
         rates = scored
     else:
-        rates = _site(logits(docs.select(F.col(host_col).alias(host_col), F.col(path_col).alias(path_col), "text") if host_col != path_col else docs.select(host_col, "text"), model, out_col="__logit"), host_col, path_col)
+        rates = _site(logits(docs.select(*dict.fromkeys([host_col, path_col]), "text"), model, out_col="__logit", keep_text=False), host_col, path_col)
     p = 1 / (1 + F.exp(-F.col("__logit")))
     known = tmp.cut(sites(rates.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")), tmp), "sites")
     known = known.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("base").alias("__base"), F.col("host_rate").alias("__hr"), F.col("path_rate").alias("__pr"))

@@ -68,7 +68,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = tokens.decode(tokens.encode_bytes(docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    both = tokens.decode(tokens.encode_bytes(docs, path, public_tokenizers.PATTERN, keep_text=False), path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -77,7 +77,7 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return pages.extract(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +60,29 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+#: What the functions of this Python worker keep between tasks, by name, and how to let go of it.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+@contextlib.contextmanager
+def worker(name: str, free: Callable[[], object] | None = None) -> Iterator[None]:
+    """Around the work of a task in a Python worker. Workers serve one operator after another: what others keep between
+    tasks is let go before, and memory that is no longer used goes back to the system after."""
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    if free:
+        _kept[name] = free
+    try:
+        yield
+    finally:
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node of an edge between two different
     nodes; component is the smallest node that can be reached. Nulls make no edge. Only DataFrame operations.

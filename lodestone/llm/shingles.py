@@ -11,7 +11,7 @@ WIDTH = 5
 #: Positions that the two permutations of circulant MinHash work on.
 POSITIONS = 1 << 20
 #: Words whose hashes a Python worker keeps; then it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -67,6 +67,12 @@ def signature(hashes: np.ndarray, k: int) -> np.ndarray:
     return least
 
 
+def free() -> None:
+    """Lets go of what a worker keeps."""
+    _words.clear()
+    _windows.cache_clear()
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key for each band of the signature."""
     rows = sig.astype(np.uint64).reshape(bands, -1)

@@ -11,6 +11,7 @@ import base64
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -24,18 +25,18 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Pieces that a worker keeps, and the longest piece, in characters, that it keeps.
-CACHE_PIECES, CACHE_CHARS = 500_000, 64
-#: Documents that are encoded at a time.
-SLICE = 2000
+CACHE_PIECES, CACHE_CHARS = 300_000, 64
+#: Documents that are encoded at a time, by words and by bytes; the latter become a Python string for each piece.
+SLICE, BYTE_SLICE = 1500, 400
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class Pieces:
-    """Ids of pieces, from encode (many distinct pieces at once) or memory. The pieces seen first are kept; frequent ones
+    """Ids of pieces, packed as 32-bit integers, from encode (many distinct pieces at once) or memory. The pieces seen first are kept; frequent ones
     are among them, and the others are encoded anew in every slice of documents."""
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode, self.known = encode, {}
 
     def ids(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +51,14 @@ class Pieces:
                     break
                 if len(piece) <= CACHE_CHARS:
                     self.known[piece] = fresh[piece]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
         starts, n = np.cumsum(sizes) - sizes, sizes[codes]
         ends = np.cumsum(n)
         return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
 
 
-def _encoder(tokenizer, joint: str | None = None) -> Callable[[list[str]], list[tuple[int, ...]]]:
+def _encoder(tokenizer, joint: str | None = None) -> Callable[[list[str]], list[bytes]]:
     """Encodes distinct pieces. joint is a piece that makes one token of its own between two spaces: then many pieces go
     to the library as one text, parted by it, which saves half the time; pieces that hold joint go by themselves."""
     whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +66,7 @@ def _encoder(tokenizer, joint: str | None = None) -> Callable[[list[str]], list[
 
     def encode(new: list[str]) -> list[tuple[int, ...]]:
         if len(mark) != 1:
-            return list(map(tuple, whole(new)))
+            return [array("I", ids).tobytes() for ids in whole(new)]
         found, plain = {}, [p for p in new if joint not in p and len(p) <= CACHE_CHARS]
         for at in range(0, len(plain), 20_000):
             groups = [plain[i : i + 500] for i in range(at, min(at + 20_000, len(plain)), 500)]
@@ -73,9 +74,9 @@ def _encoder(tokenizer, joint: str | None = None) -> Callable[[list[str]], list[
                 cuts = [-1, *(i for i, x in enumerate(ids) if x == mark[0]), len(ids)]
                 if len(cuts) != len(group) + 1:  # the normal form of a piece holds joint
                     continue
-                found.update((p, tuple(ids[i + 1 : j])) for p, i, j in zip(group, cuts[:-1], cuts[1:], strict=True))
+                found.update((p, array("I", ids[i + 1 : j]).tobytes()) for p, i, j in zip(group, cuts[:-1], cuts[1:], strict=True))
         others = [p for p in new if p not in found]
-        found.update(zip(others, map(tuple, whole(others)), strict=True))
+        found.update(zip(others, (array("I", ids).tobytes() for ids in whole(others)), strict=True))
         return [found[p] for p in new]
 
     return encode
@@ -143,6 +144,11 @@ def _byte_pieces(path: str) -> Pieces:
     return Pieces(_encoder(tokenizer))
 
 
+def _free_bytes() -> None:
+    for kept in (_byte_pieces, _ranks, byte_table):
+        kept.cache_clear()
+
+
 @functools.cache
 def _splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
@@ -180,29 +186,31 @@ def _packed(lists: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary())
 
 
-def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", with_offsets: bool = False) -> DataFrame:
+def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", with_offsets: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens and ids, a binary of little-endian unsigned 32-bit integers; with_offsets adds token_start and
-    token_end, arrays of character positions.
+    token_end, arrays of character positions; without keep_text the text isn't sent back.
 
     Every row keeps its columns; ones of the new names are replaced. A null text counts as an empty one, which has no
     ids. An empty table gives an empty result.
     """
     new = {n_col: "long", ids_col: "binary"} | ({"token_start": "array<long>", "token_end": "array<long>"} if with_offsets else {})
-    kept = docs.drop(*new).withColumn("__text", F.col(text_col).cast("string"))
+    kept = docs.drop(*(c for c in new if c != text_col))
+    names = [c for c in kept.columns if keep_text or c != text_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                ids = byte_ids(part.column("__text"), path, pattern)
-                columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
-                columns += [pa.array([len(x) for x in ids], pa.int64()), _packed(ids)]
-                if with_offsets:
-                    both = [offsets(x, path) for x in ids]
-                    columns += [pa.array([b[k] for b in both], pa.list_(pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(n for n in part.schema.names if n != "__text"), *new])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), *(f"`{n}` {t}" for n, t in new.items())])
+        with shared.worker("byte_bpe", _free_bytes):
+            for batch in batches:
+                for at in range(0, len(batch), BYTE_SLICE):
+                    part = batch.slice(at, BYTE_SLICE)
+                    ids = byte_ids(part.column(text_col), path, pattern)
+                    columns = [part.column(n) for n in names]
+                    columns += [pa.array([len(x) for x in ids], pa.int64()), _packed(ids)]
+                    if with_offsets:
+                        both = [offsets(x, path) for x in ids]
+                        columns += [pa.array([b[k] for b in both], pa.list_(pa.int64())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names), *(f"`{n}` {t}" for n, t in new.items())])
     return kept.mapInArrow(encode, schema)
 
 
@@ -211,11 +219,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     kept = encoded.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                out = [None if x is None else decode_bytes(np.frombuffer(x, "<u4"), path) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, out_col])
+        with shared.worker("byte_bpe", _free_bytes):
+            for batch in batches:
+                for at in range(0, len(batch), BYTE_SLICE):
+                    part = batch.slice(at, BYTE_SLICE)
+                    out = [None if x is None else decode_bytes(np.frombuffer(x, "<u4"), path) for x in part.column(ids_col).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{out_col}` binary"]))
 
@@ -236,14 +245,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [np.append(x, np.uint32(end_id)) for x in word_ids(part.column("text"), vocabulary)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + len(part))), lists], names=["doc_id", "row", "token_ids"])
-                row += len(part)
+        with shared.worker("word_bpe", _word_pieces.cache_clear):
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.slice(at, SLICE)
+                    ids = [np.append(x, np.uint32(end_id)) for x in word_ids(part.column("text"), vocabulary)]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + len(part))), lists], names=["doc_id", "row", "token_ids"])
+                    row += len(part)
 
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     orc = {"orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
@@ -263,11 +273,12 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     each file meets in one task."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("token_ids")
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("row"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "row", "n_tokens", "ids_crc32"])
+        with shared.worker("digest"):
+            for batch in batches:
+                lists = batch.column("token_ids")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("row"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "row", "n_tokens", "ids_crc32"])
 
     rows = tokens.mapInArrow(digest, "file string, doc_id long, row long, n_tokens long, ids_crc32 long")
     rows = shared.Scratch(tokens.sparkSession, "digests").cut(rows, "rows")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fitting
+from . import fitting, shared
 
 #: The field is fitted on at most so many labelled documents of either class, and of each class at most so many
 #: characters in all.
@@ -27,7 +27,7 @@ BUCKETS, PREFIXES = 1 << 18, (3, 4, 5, 6)
 STEPS, BLOCK = 60, 128
 #: Tokens of this marginal belong to a span.
 SPAN = 0.5
-SLICE, CACHE_WORDS = 2000, 300_000
+SLICE, CACHE_WORDS = 1000, 200_000
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’‘…"
@@ -273,23 +273,23 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
     """
     shared_model = spark.sparkContext.broadcast(model)
     new = {score_col: "double"} | ({spans_col: "array<struct<start:int,end:int>>"} if spans_col else {})
-    kept = docs.drop(*new).withColumn("__text", F.col(text_col).cast("string"))
+    kept = docs.drop(*new)
     kinds = [pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared_model.value, {}
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                texts = part.column("__text")
-                marginals, n = m.tokens(texts, known)
-                out = [pa.array(m.scores(marginals, n), kinds[0])]
-                if spans_col:
-                    ends = np.cumsum(n).tolist()
-                    some = (evidence(marginals, n)[:, 0] >= SPAN).tolist()
-                    out.append(pa.array([_offsets(texts[i].as_py(), marginals[ends[i] - n[i] : ends[i]]) if hot else [] for i, hot in enumerate(some)], kinds[1]))
-                columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "__text"]
-                yield pa.RecordBatch.from_arrays([*columns, *out], names=[*(x for x in part.schema.names if x != "__text"), *new])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), *(f"`{c}` {t}" for c, t in new.items())])
+        with shared.worker("toxicity"):
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.slice(at, SLICE)
+                    texts = part.column(text_col)
+                    marginals, n = m.tokens(texts, known)
+                    out = [pa.array(m.scores(marginals, n), kinds[0])]
+                    if spans_col:
+                        ends = np.cumsum(n).tolist()
+                        some = (evidence(marginals, n)[:, 0] >= SPAN).tolist()
+                        out.append(pa.array([_offsets(texts[i].as_py(), marginals[ends[i] - n[i] : ends[i]]) if hot else [] for i, hot in enumerate(some)], kinds[1]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *new])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{c}` {t}" for c, t in new.items())])
     return kept.mapInArrow(run, schema)
