@@ -15,7 +15,7 @@ from . import shared, shingles
 #: Signature coordinates are BANDS x ROWS. At a Jaccard similarity of 0.85 all bands miss with probability 2e-4.
 BANDS, ROWS = 26, 8
 #: A block of a large candidate group has about so many documents and at most about so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 64, 1_000_000
 #: Columns of the dense 0/1 matrices that count intersections.
 COLUMNS = 8192
 
@@ -69,10 +69,6 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(percent: int):
     def verify(group: pa.Table) -> pa.Table:
         """A star forest of the links that the documents of a block, or of two blocks, have with each other."""
-        with shared.worker("verify"):
-            return stars(group)
-
-    def stars(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in group.column("shingles")]
         block = group.column("block").to_numpy()
