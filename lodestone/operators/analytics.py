@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
 from .corpus import numbered
 
 
@@ -35,7 +36,7 @@ def pareto(points: DataFrame, name: str, cost: str, gain: str) -> DataFrame:
     Equal costs are folded to their greatest gain, ranges of costs to theirs, and a point stays if it gains more than all
     cheaper ones. No pair of points is ever formed."""
     levels = points.groupBy(F.col(cost).alias("_c")).agg(F.max(gain).alias("_g"))
-    ranged = levels.repartitionByRange("_c").withColumn("_part", F.spark_partition_id())
+    ranged = lineage.cut(levels.repartitionByRange("_c").withColumn("_part", F.spark_partition_id()))
     parts = ranged.groupBy("_part").agg(F.max("_g").alias("_top"))
     before = parts.withColumn("_before", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_before")
     within = F.max("_g").over(Window.partitionBy("_part").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
@@ -52,7 +53,7 @@ def best_within(budgets: DataFrame, budget: str, points: DataFrame, name: str, c
     # one row for each cost: the best of it
     p = p.groupBy("_at").agg(F.max_by("_p", F.struct("_p.g", "_p.c")).alias("_p")).select(F.lit(None).cast(dict(budgets.dtypes)[budget]).alias("_b"), "_at", F.lit(0).alias("_kind"), "_p")
     b = budgets.select(F.col(budget).alias("_b")).distinct().select("_b", F.col("_b").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    every = p.unionByName(b).repartitionByRange("_at").withColumn("_part", F.spark_partition_id())
+    every = lineage.cut(p.unionByName(b).repartitionByRange("_at").withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     parts = every.groupBy("_part").agg(F.max("_p").alias("_top")).withColumn("_before", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     best = every.withColumn("_so_far", F.max("_p").over(w)).join(F.broadcast(parts.select("_part", "_before")), "_part").where("_kind = 1")

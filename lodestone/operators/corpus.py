@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import lineage
 
 
 def first_wins(sources: list[DataFrame], key: str, order: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def first_wins(sources: list[DataFrame], key: str, order: list[str]) -> DataFram
 def numbered(df: DataFrame, order: list[str], out: str = "corpus_idx") -> DataFrame:
     """df with its place in order, from 0. Places come from counts of ranges and ranks within them, so no task has all
     rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = lineage.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # read twice: the ranges have to stay
     ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_part").agg(F.max("_row").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))

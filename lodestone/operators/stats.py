@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import corpus, lineage
+
 #: Draws and level of the reference setting.
 REPLICATES, ALPHA = 10_000, 0.05
 
@@ -44,14 +46,24 @@ def calibration_error(df: DataFrame, confidence: str, label: str, bins: int = 10
     return per.agg((F.sum(F.col("n") * F.abs(F.col("y") - F.col("c"))) / F.sum("n")).alias("ece"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def numbered_within(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with i, the place from 0 in the order of its group, and n, the group's size. Places in the order of all rows are
+    taken by ranges, less where the group begins, so no group is one task's."""
+    every = lineage.cut(corpus.numbered(df, [*by, *order], "_at"))
+    groups = every.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    if not by:
+        return every.crossJoin(F.broadcast(groups)).withColumn("i", F.col("_at") - F.col("_first")).drop("_at", "_first")
+    same = [every[b].eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    joined = every.join(groups.withColumnsRenamed({b: f"_g_{b}" for b in by}), same)
+    return joined.withColumn("i", F.col("_at") - F.col("_first")).drop("_at", "_first", *[f"_g_{b}" for b in by])
+
+
 def order_interval(df: DataFrame, by: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
     """(by..., lo, hi, n): the values at places int(alpha/2 * n) and min(int((1 - alpha/2) * n), n - 1) from 0 of each
     group's order; no interpolation. Draws of one statistic are one group."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
-    keys = [F.col(b) for b in by]
-    ranked = df.select(*keys, F.col(value).alias("v")).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("v")) - 1)
-    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    ranked = numbered_within(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")), by, ["v"])
     lo = F.floor(F.lit(alpha / 2) * F.col("n"))
     hi = F.least(F.floor(F.lit(1 - alpha / 2) * F.col("n")), F.col("n") - 1)
     return ranked.groupBy(*by).agg(F.max(F.when(F.col("i") == lo, F.col("v"))).alias("lo"), F.max(F.when(F.col("i") == hi, F.col("v"))).alias("hi"), F.max("n").alias("n"))
@@ -77,9 +89,7 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
 
     Numbered units are dealt over places and draws; sums combine before they shuffle. strata [] is one stratum.
     """
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    numbered = units.select(*strata, F.col(unit).alias("_u"), *sums)
-    numbered = numbered.withColumn("_i", (F.row_number().over(w.orderBy("_u")) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    numbered = numbered_within(units.select(*strata, F.col(unit).alias("_u"), *sums), strata, ["_u"]).withColumnsRenamed({"i": "_i", "n": "_n"})
     draws = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     places = numbered.select(*strata, F.col("_i").alias("place"), "_n", draws.alias("draw")).withColumn("_i", pick(F.col("place"), F.col("draw"), F.col("_n"), seed))
     picked = places.select(*strata, "draw", "_i").join(numbered.drop("_u", "_n"), [*strata, "_i"])
