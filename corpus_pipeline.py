@@ -44,7 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     given = docs.select("doc_id", "source", "lang", "text", whole.alias("sha256"))
-    both = tokens.decode(tokens.encode_bytes(given, path, public_tokenizers.PATTERN, keep_text=False), path)
+    both = tokens.encode_bytes(given, path, public_tokenizers.PATTERN, keep_text=False, decoded_col="decoded")
     exact = F.sha2("decoded", 256) == F.col("sha256")
     return both.select("doc_id", "source", "lang", "n_tokens", "ids", exact.alias("exact"))
 

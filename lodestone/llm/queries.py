@@ -68,7 +68,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = tokens.decode(tokens.encode_bytes(docs, path, public_tokenizers.PATTERN, keep_text=False), path)
+    both = tokens.encode_bytes(docs, path, public_tokenizers.PATTERN, keep_text=False, decoded_col="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -186,14 +186,15 @@ def _packed(lists: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary())
 
 
-def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", with_offsets: bool = False, keep_text: bool = True) -> DataFrame:
+def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", with_offsets: bool = False, keep_text: bool = True, decoded_col: str | None = None) -> DataFrame:
     """docs with n_tokens and ids, a binary of little-endian unsigned 32-bit integers; with_offsets adds token_start and
-    token_end, arrays of character positions; without keep_text the text isn't sent back.
+    token_end, arrays of character positions; without keep_text the text isn't sent back. With
+    decoded_col, the ids are decoded again by the same worker, as decode() does it, and that column has the bytes.
 
     Every row keeps its columns; ones of the new names are replaced. A null text counts as an empty one, which has no
     ids. An empty table gives an empty result.
     """
-    new = {n_col: "long", ids_col: "binary"} | ({"token_start": "array<long>", "token_end": "array<long>"} if with_offsets else {})
+    new = {n_col: "long", ids_col: "binary"} | ({"token_start": "array<long>", "token_end": "array<long>"} if with_offsets else {}) | ({decoded_col: "binary"} if decoded_col else {})
     kept = docs.drop(*(c for c in new if c != text_col))
     names = [c for c in kept.columns if keep_text or c != text_col]
 
@@ -208,6 +209,8 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                     if with_offsets:
                         both = [offsets(x, path) for x in ids]
                         columns += [pa.array([b[k] for b in both], pa.list_(pa.int64())) for k in (0, 1)]
+                    if decoded_col:
+                        columns.append(pa.array([decode_bytes(x, path) for x in ids], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names), *(f"`{n}` {t}" for n, t in new.items())])

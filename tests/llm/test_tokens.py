@@ -112,5 +112,7 @@ def test_empty_tables_and_kept_columns(spark, tmp_path):
     assert tokens.encode_bytes(empty, BYTE, P.PATTERN).count() == 0
     tokens.write_tokens(empty, f"{tmp_path}/e", WORD, 2)
     assert tokens.token_digests(tokens.read_tokens(spark, f"{tmp_path}/e")).count() == 0
+    both = tokens.decode(tokens.encode_bytes(spark.createDataFrame([(1, "é x"), (2, None)], "doc_id long, text string"), BYTE, P.PATTERN, decoded_col="same"), BYTE)
+    assert all(r.decoded == r.same == (r.text or "").encode() for r in both.collect())
     full = tokens.encode_bytes(spark.createDataFrame([(1, "é x", "old")], "doc_id long, text string, n_tokens string"), BYTE, P.PATTERN, with_offsets=True)
     assert full.columns == ["doc_id", "text", "n_tokens", "ids", "token_start", "token_end"] and full.first().token_end[-1] == 3
