@@ -23,6 +23,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 4_000_000
 CALIBRATE = 4
 #: Hashed emission weights, and lengths of the word beginnings that have one besides the whole word.
 BUCKETS, PREFIXES = 1 << 18, (3, 4, 5, 6)
+#: A feature marks toxic words if toxic documents hold it surely (one and a half standard errors) so many times as often.
+MARKED = 4.0
 #: Steps of the optimiser, and length of the blocks in which chains are scanned.
 STEPS, BLOCK = 60, 128
 #: Tokens of this marginal belong to a span.
@@ -168,7 +170,7 @@ def _token_labels(at: np.ndarray, codes: np.ndarray, n: np.ndarray, y: np.ndarra
     k = np.bincount(feature[y[d] == 1], minlength=BUCKETS)
     z = np.bincount(feature[y[d] == 0], minlength=BUCKETS)
     odds = np.log((k + 0.5) / (y.sum() + 1)) - np.log((z + 0.5) / ((1 - y).sum() + 1)) - 1.5 * np.sqrt(1 / (k + 0.5) + 1 / (z + 0.5))
-    marked = ((k >= 3) & (odds > np.log(2)))[at].any(axis=1)
+    marked = ((k >= 3) & (odds > np.log(MARKED)))[at].any(axis=1)
     return (marked[codes] & (y[doc] == 1)).astype(np.float64)
 
 
