@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Pieces that a worker keeps, and the longest piece, in characters, that it keeps.
-CACHE_PIECES, CACHE_CHARS = 300_000, 64
+#: Pieces that a worker keeps, of words and of bytes, and the longest piece, in characters, that it keeps.
+WORD_PIECES, BYTE_PIECES, CACHE_CHARS = 600_000, 300_000, 64
 #: Documents that are encoded at a time, by words and by bytes; the latter become a Python string for each piece.
-SLICE, BYTE_SLICE = 1500, 400
+SLICE, BYTE_SLICE = 2500, 400
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -36,8 +36,8 @@ class Pieces:
     """Ids of pieces, packed as 32-bit integers, from encode (many distinct pieces at once) or memory. The pieces seen first are kept; frequent ones
     are among them, and the others are encoded anew in every slice of documents."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+        self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces distinct[codes], joined, and how many each piece has."""
@@ -47,7 +47,7 @@ class Pieces:
             fresh = dict(zip(new, self.encode(new), strict=True))
             got = [fresh[piece] if ids is None else ids for piece, ids in zip(distinct, got, strict=True)]
             for piece in new:
-                if len(self.known) >= CACHE_PIECES:
+                if len(self.known) >= self.most:
                     break
                 if len(piece) <= CACHE_CHARS:
                     self.known[piece] = fresh[piece]
@@ -88,7 +88,7 @@ def _word_pieces(path: str) -> Pieces:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # in a document their strings are ordinary text
-    return Pieces(_encoder(tokenizer, "`"))
+    return Pieces(_encoder(tokenizer, "`"), WORD_PIECES)
 
 
 def _cut(ids: np.ndarray, of_piece: np.ndarray, pieces: np.ndarray) -> list[np.ndarray]:
@@ -141,7 +141,7 @@ def _byte_pieces(path: str) -> Pieces:
     merges = [(named[t[:i]], named[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     tokenizer = Tokenizer(models.BPE({named[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
     tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return Pieces(_encoder(tokenizer))
+    return Pieces(_encoder(tokenizer), BYTE_PIECES)
 
 
 def _free_bytes() -> None:
