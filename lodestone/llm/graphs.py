@@ -204,11 +204,19 @@ class SmallWorld:
             start = at[ids[:, 0]]
         return ids, near
 
+    def _both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of level 0 in both directions: ends[starts[v]:starts[v + 1]] are the neighbours of v."""
+        graph = self.levels[0][1]
+        a, b = np.repeat(np.arange(len(graph)), graph.shape[1]), graph.ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        code = np.unique(np.concatenate([a * len(graph) + b, b * len(graph) + a]))
+        return np.searchsorted(code, np.arange(len(graph) + 1) * len(graph)), code % len(graph)
+
     def within(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with an inner product of least or more: a beam search of width; where it finds any, also
-        all that are reached from those over level 0 through nodes that are themselves near enough."""
+        all that are reached from those over edges of level 0, either way, through nodes that are themselves near enough."""
         got_q, got_v = [], []
-        graph = self.levels[0][1]
+        starts, ends = self._both_ways()
         for lo in range(0, len(queries), TOGETHER):
             part = queries[lo : lo + TOGETHER]
             ids, near = self.search(part, width)
@@ -219,11 +227,10 @@ class SmallWorld:
             while len(front_q):
                 got_q.append(front_q + lo)
                 got_v.append(front_v)
-                next_v = graph[front_v]
-                next_q = np.repeat(front_q, next_v.shape[1])
-                next_v = next_v.ravel()
-                ok = next_v >= 0
-                ok[ok] = ~seen[next_q[ok], next_v[ok]]
+                n = starts[front_v + 1] - starts[front_v]
+                next_q = np.repeat(front_q, n)
+                next_v = ends[np.repeat(starts[front_v] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ok = ~seen[next_q, next_v]
                 code = np.unique(next_q[ok] * len(self.x) + next_v[ok])
                 next_q, next_v = code // len(self.x), code % len(self.x)
                 seen[next_q, next_v] = True
