@@ -35,6 +35,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     n, m = x.shape
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
+    # features of two values go by one product of matrices, the others by histograms
+    two = np.flatnonzero([len(e) == 1 and len(np.unique(c)) == 2 for e, c in zip(edges, x.T, strict=True)])
+    many = [j for j in range(m) if j not in set(two) and len(edges[j])]
+    above = np.ascontiguousarray((binned[:, two] > 0).T, dtype=np.float64)
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     score, inner = np.full(n, base), 2**depth - 1
     features, thresholds, leaves = [], [], []
@@ -47,7 +51,17 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             place = at - first
             best, cut = np.full(width, 1e-6), np.full(width, BINS)
             which = np.zeros(width, np.int64)
-            for j in range(m):
+            if len(two):
+                spread_g, spread_h = np.zeros((n, width)), np.zeros((n, width))
+                spread_g[np.arange(n), place], spread_h[np.arange(n), place] = g, h
+                gr, hr, gt, ht = above @ spread_g, above @ spread_h, spread_g.sum(axis=0), spread_h.sum(axis=0)
+                gain = gr**2 / (hr + ridge) + (gt - gr) ** 2 / (ht - hr + ridge) - gt**2 / (ht + ridge)
+                gain[(hr < least) | (ht - hr < least)] = 0
+                k = gain.argmax(axis=0)
+                top = gain[k, np.arange(width)]
+                better = top > best
+                best[better], which[better], cut[better] = top[better], two[k[better]], 0
+            for j in many:
                 code = place * BINS + binned[:, j]
                 gs = np.bincount(code, g, width * BINS).reshape(width, BINS).cumsum(axis=1)
                 hs = np.bincount(code, h, width * BINS).reshape(width, BINS).cumsum(axis=1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import boosting, page_samples, shared
 
 #: Generated pages that the trees are fitted on.
-SAMPLE_PAGES = 1500
+SAMPLE_PAGES = 1000
 SLICE = 200
 
 # Kinds of HTML elements, and words in class, id and role that hint at what an element is for.
