@@ -37,5 +37,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
+def rising(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """logistic() with no negative weight: with few rows, one of several features that say the same may get a negative one.
+    The most negative is set to 0 and the rest is fitted again, until there is none."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, use], y, ridge)
+        if not use or w[:-1].min() >= 0:
+            break
+        use.pop(int(w[:-1].argmin()))
+    out = np.zeros(x.shape[1] + 1)
+    out[[*use, -1]] = w
+    return out
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(z, -500, 500) / 2))

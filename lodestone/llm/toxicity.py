@@ -190,7 +190,7 @@ def fit(texts: list[str], y: np.ndarray, rates: tuple[float, float] = (1.0, 1.0)
     rest = [t for t, h in zip(texts, held, strict=True) if h]
     if rest:
         marginals, n = model.tokens(pa.array(rest, pa.string()), known)
-        model.document = fitting.logistic(evidence(marginals, n), y[held], ridge=0.1)
+        model.document = fitting.rising(evidence(marginals, n), y[held], ridge=0.1)
     else:
         model.document = fitting.logistic(np.zeros((len(y), 4)), y)
     model.document[-1] += np.log(rates[0] / rates[1])
