@@ -12,6 +12,9 @@ from lodestone.llm.shared import Scratch, table
 #: The stages train and score models, so SQL can't express them; tests/llm/test_pipeline.py follows them one by one.
 ORACLE_SQL = None
 
+#: Jaccard similarity, in percent, from which two documents are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -28,8 +31,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.keep_one(spark, docs)
+    """One document of each group of near-duplicates, linked from NEAR_PERCENT on."""
+    return near_dedup.keep_one(spark, docs, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

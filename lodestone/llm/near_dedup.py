@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from . import shared, shingles
 
 #: Signature coordinates are BANDS x ROWS. At a Jaccard similarity of 0.85 all bands miss with probability 2e-4.
 BANDS, ROWS = 26, 8
+#: At lower similarities as many rows as COORDINATES allow, and bands enough that a pair at the threshold is missed with at most MISS.
+COORDINATES, MISS = 256, 2.6e-4
 #: A block of a large candidate group has about so many documents and at most about so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1_000_000
 #: Columns of the dense 0/1 matrices that count intersections.
@@ -24,18 +27,33 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("comp", pa.int64()), ("blocks", pa.i
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with shared.worker("shingles", shingles.free):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                n, fps, keys = [], [], []
-                for text in part.column("text"):
-                    s = shingles.shingle_set(text.as_py())
-                    n.append(len(s))
-                    fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    keys.append(shingles.band_keys(shingles.signature(s, BANDS * ROWS), BANDS) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for links of percent or more: BANDS x ROWS from 85, more bands of fewer rows below."""
+    if percent >= 85:
+        return BANDS, ROWS
+    share = max(percent, 1) / 100
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log(1 - share**rows))
+        if bands * rows <= COORDINATES:
+            break
+    return bands, rows
+
+
+def _sketches(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with shared.worker("shingles", shingles.free):
+            for batch in batches:
+                for at in range(0, len(batch), 1000):
+                    part = batch.slice(at, 1000)
+                    n, fps, keys = [], [], []
+                    for text in part.column("text"):
+                        s = shingles.shingle_set(text.as_py())
+                        n.append(len(s))
+                        fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                        keys.append(shingles.band_keys(shingles.signature(s, bands * rows), bands) if len(s) else None)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
+
+    return sketches
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +124,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     """
     tmp = shared.Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = tmp.cut(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, fp binary, keys array<long>"), "sketch")
+    sketch = tmp.cut(docs.mapInArrow(_sketches(*banding(percent)), "doc_id long, n_shingles long, fp binary, keys array<long>"), "sketch")
     ids = sketch.select("doc_id", "n_shingles", "fp")
 
     copies = ids.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")

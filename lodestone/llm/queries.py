@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,24 @@ def test_bands_find_similar_sets(share):
         keys = [shingles.band_keys(shingles.signature(x, near_dedup.BANDS * near_dedup.ROWS), near_dedup.BANDS) for x in (h, other)]
         hits += bool((keys[0] == keys[1]).any())
     assert hits == 100
+
+
+@pytest.mark.parametrize("percent", [50, 80, 84, 85, 100])
+def test_banding_seldom_misses_a_pair_at_the_threshold(percent):
+    bands, rows = near_dedup.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= 2.6e-4
+
+
+def test_pairs_from_80_percent_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        copy = list(base)
+        for at in (50, 100, 150, 190)[: rng.randrange(3, 5)]:
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, docs, percent=80).collect()}
+    assert got == brute(rows, 80) and sum(d != c for d, (_, c) in got.items()) > 100
+    assert sum(d != c for d, (_, c) in brute(rows).items()) < 100

@@ -74,3 +74,14 @@ def test_odd_documents_and_an_empty_table(spark, tmp_path):
             docs = spark.read.parquet(path)
             if k < len(C.STAGES) - 1:
                 assert docs.columns == before.columns
+
+
+def test_near_dedup_stage_links_from_80_percent(spark):
+    base = [f"w{i}" for i in range(104)]
+    near, far = list(base), [f"v{i}" for i in range(104)]
+    near[30] = near[60] = "changed"  # 90 of 110 shingles
+    rows = [(i, " ".join(w)) for i, w in enumerate((base, near, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in C.distinct(spark, docs, D).collect())
+    assert kept == sorted(d for d, (_, c) in brute(rows, 80).items() if d == c) == [0, 2]
+    assert sum(d == c for d, (_, c) in brute(rows).items()) == 3
