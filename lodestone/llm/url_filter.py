@@ -13,6 +13,7 @@ MAX_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
 
 
@@ -46,20 +47,40 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return best
 
 
+def _undotted(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    empty = F.array().cast("array<string>")
+    step = lambda up, x: F.when(x == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(1)))).when(x == ".", up).otherwise(F.concat(up, F.array(x)))
+    return F.concat(F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The absolute address that to means on a page at base. Null for an empty one, a fragment alone, a scheme without ://
+    (mailto:), and for relative ones if base has no ://."""
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    own, tail = F.regexp_extract(to, r"(?s)^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path(base), "^/", ""), "[^/]*$", ""))
+    whole = F.when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(own == "", F.concat(site, path(base), tail))
+    whole = whole.otherwise(F.concat(site, _undotted(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), tail))
+    whole = F.when(base.contains("://") & (to != "") & ~to.startswith("#"), whole)
+    return F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), whole)
+
+
 def _links(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses of pages and of what their canonical links and refreshes point to."""
+    """(a, b): addresses of pages and of what their canonical links and refreshes point to, all of them."""
     tagged = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
-    tag = lambda pattern: F.regexp_extract("html", pattern, 0)
-    value = lambda t, key, end: F.regexp_extract(t, rf"(?is)\b{key}\s*=\s*[\"']?\s*([^\"'\s>{end}]+)", 1)
-    to = F.explode(F.array(value(tag(_CANONICAL), "href", ""), value(tag(_REFRESH), "url", ";")))
-    return tagged.select("url", to.alias("to")).select("url", F.regexp_replace("to", "&amp;", "&").alias("to"))
+    value = lambda t, key, end: F.replace(F.regexp_extract(t, rf"(?is)\b{key}\s*=\s*[\"']?\s*([^\"'\s>{end}]+)", 1), F.lit("&amp;"), F.lit("&"))
+    values = lambda pattern, key, end: F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), lambda t: value(t, key, end))
+    base = F.coalesce(resolved(value(F.regexp_extract("html", _BASE, 0), "href", ""), F.col("url")), F.col("url"))
+    to = F.explode(F.concat(values(_CANONICAL, "href", ""), values(_REFRESH, "url", ";")))
+    return tagged.select("url", base.alias("base"), to.alias("to")).select("url", resolved(F.col("to"), F.col("base")).alias("to"))
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, component (an address).
 
     A page that a rule fits gets the rule's verdict. Any other page gets that of its component: addresses joined by
-    redirects (columns url and target), canonical links and refreshes of the pages, absolute ones. A component that
+    redirects (columns url and target), all canonical links and refreshes of the pages, relative ones resolved. A component that
     holds an address that a rule allows is allowed; else one that holds a blocked address is blocked; else it is
     allowed. Addresses that are only pointed to count too. Defined results: a null url, or one without ://, has empty
     host and path, no rule and no component, and is allowed; null html has no links; repeated rows are judged alike;
@@ -68,8 +89,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
     tmp = shared.Scratch(spark, "url-filter")
     links = _links(pages.select("url", "html"))
     if redirects is not None:
-        links = links.unionAll(redirects.select("url", F.col("target").alias("to")))
-    links = tmp.cut(links.where("url is not null and to like '%://%'").distinct(), "links")
+        links = links.unionAll(redirects.select("url", resolved(F.col("target"), F.col("url")).alias("to")))
+    links = tmp.cut(links.where("url is not null and to is not null").distinct(), "links")
 
     def judged(df: DataFrame) -> DataFrame:
         df = df.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "node": address(F.col("url"))})

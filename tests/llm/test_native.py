@@ -79,6 +79,24 @@ def test_redirects_carry_blocks_and_allow_wins(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_relative_targets_and_all_tags_are_edges(spark):
+    two = link("http://other.org/x") + link("http://y.net/fr/2") + '<meta http-equiv=refresh content="0; url=http://o.org"><meta http-equiv=refresh content="0; url=//z.net/es/3">'
+    rows = [(1, "http://a.net/en/p/1.html", link("/fr/1.html")), (2, "http://a.net/fa/q/2", link("../../es/2?a=1&amp;b=2")), (3, "http://b.org/", link("//y.net/fr/1")), (4, "http://c.org", two), (5, "http://d.org/", '<meta http-equiv=refresh content="0; URL=//z.net/es/3">')]
+    rows += [(6, "http://e.org/", '<base href="//w.net/es/"><link rel=canonical href="k">'), (7, "http://f.org/", link("mailto:x@y.net/fr/") + link("#top")), (8, "none", link("/fr/1")), (9, "http://g.org/", link("/r?to=http://y.net/fr/")), (10, "http://z.com", link("http://q.org/a")), (11, "http://q.org/b/", link("../a")), (12, "http://q.org/c", link("http://s.net/fr/") + link("a"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("http://h.net/", "/fr/1"), ("http://i.org/x", "http://h.net/")], "url string, target string")
+    got = {r.page_id: (r.verdict, r.component) for r in url_filter.judge(spark, pages, RULES, redirects).collect()}
+    assert [got[i][0] for i in range(1, 7)] == ["block"] * 6
+    assert [got[i][0] for i in range(7, 10)] == ["allow"] * 3
+    assert got[10][1] == got[11][1] == got[12][1]
+
+
+@pytest.mark.parametrize("to, want", [("g", "/b/c/g"), ("./g/", "/b/c/g/"), ("/g", "/g"), ("?y", "/b/c/d;p?y"), ("g?y#s", "/b/c/g?y#s"), (".", "/b/c/"), ("..", "/b/"), ("../..", "/"), ("../../../g", "/g"), ("/./g", "/g"), ("g;x=1/../y", "/b/c/y"), ("g?y/../x", "/b/c/g?y/../x")])
+def test_targets_resolve_as_in_rfc_3986(spark, to, want):
+    row = spark.createDataFrame([(to, "http://a/b/c/d;p?q")], "t string, u string")
+    assert row.select(url_filter.resolved(F.col("t"), F.col("u"))).first()[0] == "http://a" + want
+
+
 def test_op6_empty(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op6_url_filter(spark, str(tmp_path)).count() == 0
