@@ -21,6 +21,8 @@ SLICE = 200
 # Kinds of HTML elements, and words in class, id and role that hint at what an element is for.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "object", "audio", "video", "canvas", "select", "button", "textarea", "input", "map", "math"}
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "script", "style", "noscript", "noframes", "template"}
+ENDS_SELECT = {"input", "textarea", "select", "caption", "table", "tbody", "tfoot", "thead", "tr", "td", "th"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody"}}
@@ -57,6 +59,12 @@ class Dom(HTMLParser):
         self.silent, self.link, self.fresh = 0, 0, True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
+        if self.silent and tag in ENDS_SELECT:
+            self._close({"select"}, SILENT - {"select"})
+        if self.silent and tag == "button":
+            self._close({"button"}, SILENT - {"button"})
         if tag == "br":
             self._say(" ")
             return
@@ -120,6 +128,11 @@ class Dom(HTMLParser):
             if self.stack[k][0] in until:
                 return
 
+    def _end_head(self) -> None:
+        """What can't be in a head ends one whose end tag is left out."""
+        while self.stack[-1][0] == "head":
+            self._pop()
+
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body"):
             return
@@ -132,6 +145,8 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         self._say(data)
 
     def _say(self, data: str) -> None:

@@ -68,6 +68,25 @@ def test_other_parts_are_left_out(trees, part, first):
     assert pages.main_texts([page], trees) == [want]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body>{}</body></html>", "<html><head><meta charset=utf-8><title>x</title>{}", "<head><head><title>x</title><body>{}", "<head><title>x</title><script>1</script><noscript><style>p</style></noscript><body>{}",
+        "<head><title>x</title></head><body><select><option>a<input>{}", "<head><title>x</title></head><body><button>a<button>b</button>{}",
+    ],
+)
+def test_omitted_end_tags_silence_nothing(trees, page):
+    article = "<article><h1>A headline of words</h1><p>First of the paragraphs, with some words in it.</p><p>The last one, which is somewhat longer than the others are.</p></article>"
+    want = "A headline of words\n\nFirst of the paragraphs, with some words in it.\n\nThe last one, which is somewhat longer than the others are."
+    assert pages.main_texts([page.format(article)], trees) == [want]
+
+
+def test_text_ends_a_head():
+    said = lambda page: ["".join(words).strip() for _, words in pages.parse(page).runs]
+    assert said("<head><title>x</title>\n some words") == ["some words"]
+    assert [s for s in said("<head><title>x</title>\n</head>\n<p>a</p>") if s] == ["a"]
+
+
 def test_choices_never_contradict(trees):
     for page in page_samples.pages(30, seed=6):
         dom = pages.parse(page)
