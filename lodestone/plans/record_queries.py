@@ -211,14 +211,16 @@ r AS (SELECT doc_id, sent_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g')))
 )
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Spans made from the first sentences of labelled documents: whole, cut, extended; and all their sentences."""
-    only = read(spark, sf_dir, "labels").select("doc_id").distinct()
-    docs = read(spark, sf_dir, "documents").join(only, "doc_id", "left_semi")
+def _spans(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spans made from sentences: whole, cut, extended; and all sentences of their documents. every: from each sentence of
+    each document; else, as _SPANS has it, from the first four of labelled documents."""
+    docs = read(spark, sf_dir, "documents")
+    if not every:
+        docs = docs.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     index = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_id", "text"))
     way = F.col("sent_id") % 3
     span = F.when(way == 0, F.col("text")).when(way == 1, F.substring("text", 1, 30)).otherwise(F.concat("text", F.lit(" and more")))
-    made = index.where("sent_id < 4").select("doc_id", F.col("sent_id").cast("long").alias("span_no"), span.alias("span"))
+    made = (index if every else index.where("sent_id < 4")).select("doc_id", F.col("sent_id").cast("long").alias("span_no"), span.alias("span"))
     return made, index.withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
@@ -230,8 +232,8 @@ def normalize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def normalize_spans_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans mapped to sentences, with reasons and modes."""
-    made, index = _spans(spark, sf_dir)
+    """Spans of all sentences mapped to sentences, with reasons and modes."""
+    made, index = _spans(spark, sf_dir, every=True)
     a = made.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "span"))), lambda x: x["span"]).alias("spans"))
     b = index.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "text"))), lambda x: x["text"]).alias("sentences"))
     m = a.join(b, "doc_id").select("doc_id", spans.mapped("spans", "sentences").alias("m"))

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import catalogue
+from lodestone.functions import text
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +44,9 @@ def test_query_against_sql(spark, db, name):
 def test_other_queries_run(spark, name):
     df = catalogue.queries()[name](spark, D)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_every_sentence_is_a_span_to_map(spark):
+    got = catalogue.queries()["normalize_spans_exact"](spark, D)
+    index = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", F.explode(text.sentences(F.col("text"))))
+    assert {r.doc_id: r.n_accepted + r.n_rejected for r in got.collect()} == {r.doc_id: r["count"] for r in index.groupBy("doc_id").count().collect()}
