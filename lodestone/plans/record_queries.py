@@ -298,7 +298,7 @@ def model_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flow(spark: SparkSession, sf_dir: str) -> dataflow.Run:
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return dataflow.Run(items, read(spark, sf_dir, "documents").select("doc_id", "text"), dataflow.Stub(), k=3)
+    return dataflow.Run(items, read(spark, sf_dir, "documents").select("doc_id", "text"), dataflow.Stub())
 
 
 @query()
@@ -311,4 +311,4 @@ def dataflow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataflow_solo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of the one-call control."""
     run = _flow(spark, sf_dir)
-    return dataflow.solo(run.questions, run.passages, run.generator, k=3).all_calls()
+    return dataflow.solo(run.questions, run.passages, run.generator).all_calls()

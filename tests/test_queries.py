@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalogue
 from lodestone.functions import text
+from lodestone.plans import record_queries
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,3 +51,10 @@ def test_every_sentence_is_a_span_to_map(spark):
     got = catalogue.queries()["normalize_spans_exact"](spark, D)
     index = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", F.explode(text.sentences(F.col("text"))))
     assert {r.doc_id: r.n_accepted + r.n_rejected for r in got.collect()} == {r.doc_id: r["count"] for r in index.groupBy("doc_id").count().collect()}
+
+
+def test_dataflow_reads_ten_documents_a_step(spark):
+    run = record_queries._flow(spark, D)
+    run.answers()
+    per = run.all_calls().where("role = 'extractor'").groupBy("question_id", "stage").count()
+    assert per.agg(F.max("count")).first()[0] == 10
