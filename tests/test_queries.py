@@ -58,3 +58,8 @@ def test_dataflow_reads_ten_documents_a_step(spark):
     run.answers()
     per = run.all_calls().where("role = 'extractor'").groupBy("question_id", "stage").count()
     assert per.agg(F.max("count")).first()[0] == 10
+
+
+def test_exact_means_take_the_reference_number_of_draws(spark):
+    got = catalogue.queries()["bootstrap_mean_numpy"](spark, D).collect()
+    assert min(r.p for r in got) == pytest.approx(1 / 10_001)
