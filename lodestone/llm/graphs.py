@@ -6,40 +6,65 @@ neighbours of each node, padded with -1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Queries that are searched at a time; their visited marks take so many bytes for each node.
-TOGETHER = 256
+#: Queries that are searched at a time, and nodes that are compared with them at a time.
+TOGETHER, CHUNK = 256, 8192
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, spread: int = 4) -> tuple[np.ndarray, np.ndarray]:
+class Visits:
+    """Which nodes each query of a search has come to: a stamp for each query and node. A new search raises the stamp that
+    counts, so nothing is cleared, and a step costs what it reads and not the size of the graph."""
+
+    def __init__(self, nodes: int, queries: int = TOGETHER):
+        self.nodes, self.now, self.floor = nodes, 0, 0
+        self.stamps = np.zeros(nodes * queries, np.int32)
+
+    def begin(self) -> None:
+        if self.now > 2**30:
+            self.stamps[:] = self.now = 0
+        self.floor = self.now
+
+    def fresh(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Places of the pairs that are seen for the first time, each pair once; they are marked."""
+        flat = rows * self.nodes + nodes
+        at = np.flatnonzero(self.stamps[flat] <= self.floor)
+        flat = flat[at]
+        stamp = np.arange(self.now + 1, self.now + 1 + len(flat), dtype=np.int32)
+        self.stamps[flat] = stamp
+        self.now += len(flat)
+        return at[self.stamps[flat] == stamp]
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, spread: int = 4, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The width nearest nodes that a beam search finds for each query, nearest first: node numbers (-1: none) and inner
     products. entry gives start nodes for each query, (queries, entries). In each step every query opens the spread best
     nodes of its beam that it has not opened yet; it ends when there are none."""
-    q, n = len(queries), len(x)
+    q = len(queries)
     ids = np.full((q, width), -1, np.int64)
     near = np.full((q, width), -np.inf, np.float32)
     opened = np.ones((q, width), bool)
-    seen = np.zeros((q, n), bool)
+    visits = visits or Visits(len(x), q)
+    visits.begin()
 
     def add(rows: np.ndarray, nodes: np.ndarray) -> None:
         """Puts nodes (len(rows), k), -1 for none, into the beams of rows."""
         flat_r, flat_n = np.repeat(rows, nodes.shape[1]), nodes.ravel()
         at = np.flatnonzero(flat_n >= 0)
-        at = at[~seen[flat_r[at], flat_n[at]]]
+        at = at[visits.fresh(flat_r[at], flat_n[at])]
+        d = np.einsum("ij,ij->i", queries[flat_r[at]], x[flat_n[at]])
+        better = d > near[flat_r[at], -1]
+        at, d = at[better], d[better]
         if not len(at):
             return
-        # one node twice in one step counts once
-        _, first = np.unique(flat_r[at] * n + flat_n[at], return_index=True)
-        at = at[np.sort(first)]
         r, v = flat_r[at], flat_n[at]
-        seen[r, v] = True
-        d = np.einsum("ij,ij->i", queries[r], x[v])
-        some, start, count = np.unique(r, return_index=True, return_counts=True)
-        col = np.arange(len(r)) - np.repeat(start, count)
+        start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        some, count = r[start], np.diff(np.append(start, len(r)))
         k = int(count.max())
+        col = np.arange(len(r)) - np.repeat(start, count)
         new_ids, new_near = np.full((len(some), k), -1, np.int64), np.full((len(some), k), -np.inf, np.float32)
         row = np.repeat(np.arange(len(some)), count)
         new_ids[row, col], new_near[row, col] = v, d
@@ -53,7 +78,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np
     live = np.arange(q)
     while len(live):
         closed = ~opened[live]
-        live, closed = live[closed.any(axis=1)], closed[closed.any(axis=1)]
+        some = closed.any(axis=1)
+        live, closed = live[some], closed[some]
         if not len(live):
             break
         order = np.argsort(~closed, axis=1, kind="stable")[:, :spread]
@@ -100,13 +126,13 @@ def build(x: np.ndarray, degree: int, width: int, alpha: float, rounds: tuple[fl
     n = len(x)
     graph = np.full((n, degree), -1, np.int64)
     entry = int(np.argmax(x @ x.mean(axis=0)))
-    order = np.random.default_rng(seed).permutation(n)
+    visits, order = Visits(n), np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
     for k, a in enumerate(rounds or (alpha,)):
         at, batch = (1, 1) if k == 0 else (0, TOGETHER)
         while at < n:
             of = order[at : at + batch]
-            found, _ = beam_search(x, graph, x[of], np.full((len(of), 1), entry), width)
+            found, _ = beam_search(x, graph, x[of], np.full((len(of), 1), entry), width, visits=visits)
             graph[of] = prune(x, of, np.concatenate([found, graph[of]], axis=1), degree, a)
             src, dst = np.repeat(of, degree), graph[of].ravel()
             src, dst = src[dst >= 0], dst[dst >= 0]
@@ -175,6 +201,7 @@ class SmallWorld:
     shrink: int = 16
     seed: int = 0
     levels: list[tuple[np.ndarray, np.ndarray, int]] = field(default_factory=list)
+    visits: dict[int, Visits] = field(default_factory=dict)
 
     def build(self) -> SmallWorld:
         n, rng = len(self.x), np.random.default_rng(self.seed)
@@ -200,7 +227,9 @@ class SmallWorld:
         start = None
         for at, graph, entry in reversed(self.levels):
             begin = np.full((len(queries), 1), entry) if start is None else np.stack([np.full(len(queries), entry), np.searchsorted(at, start)], axis=1)
-            ids, near = beam_search(self.x[at], graph, queries, begin, width if len(at) == len(self.x) else 4)
+            base = len(at) == len(self.x)
+            marks = self.visits.setdefault(len(at), Visits(len(at)))
+            ids, near = beam_search(self.x if base else self.x[at], graph, queries, begin, width if base else 4, visits=marks)
             start = at[ids[:, 0]]
         return ids, near
 
@@ -212,29 +241,85 @@ class SmallWorld:
         code = np.unique(np.concatenate([a * len(graph) + b, b * len(graph) + a]))
         return np.searchsorted(code, np.arange(len(graph) + 1) * len(graph)), code % len(graph)
 
-    def within(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) with an inner product of least or more: a beam search of width; where it finds any, also
-        all that are reached from those over edges of level 0, either way, through nodes that are themselves near enough."""
-        got_q, got_v = [], []
-        starts, ends = self._both_ways()
+    def near_ones(self, queries: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups (queries, nodes), as numbers, such that every query of a group has all its near nodes that are found in
+        the group: near ones have an inner product of least or more. Each query beam-searches for itself. Queries that
+        find near nodes are put in order of the components of what they find, TOGETHER at a time; such a slice also
+        follows the edges of level 0, either way, from every node that is near one of its queries. A query that finds
+        nothing near is in no group."""
+        found_q, found_v = [], []
         for lo in range(0, len(queries), TOGETHER):
-            part = queries[lo : lo + TOGETHER]
-            ids, near = self.search(part, width)
-            hit_q, hit_c = np.nonzero(near >= least)
-            front_q, front_v = hit_q, ids[hit_q, hit_c]
-            seen = np.zeros((len(part), len(self.x)), bool)
-            seen[front_q, front_v] = True
-            while len(front_q):
-                got_q.append(front_q + lo)
-                got_v.append(front_v)
-                n = starts[front_v + 1] - starts[front_v]
-                next_q = np.repeat(front_q, n)
-                next_v = ends[np.repeat(starts[front_v] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                ok = ~seen[next_q, next_v]
-                code = np.unique(next_q[ok] * len(self.x) + next_v[ok])
-                next_q, next_v = code // len(self.x), code % len(self.x)
-                seen[next_q, next_v] = True
-                ok = np.einsum("ij,ij->i", part[next_q], self.x[next_v]) >= least
-                front_q, front_v = next_q[ok], next_v[ok]
-        cat = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
-        return cat(got_q), cat(got_v)
+            ids, near = self.search(queries[lo : lo + TOGETHER], width)
+            q, c = np.nonzero(near >= least)
+            found_q.append(q + lo)
+            found_v.append(ids[q, c])
+        q, v = np.concatenate(found_q or [np.zeros(0, np.int64)]), np.concatenate(found_v or [np.zeros(0, np.int64)])
+        if not len(q):
+            return
+        label = np.full(len(queries), -1)
+        node, root = forest(q, v + len(queries))
+        label[node[node < len(queries)]] = root[node < len(queries)]
+        hit = np.unique(q)
+        label[hit] = np.where(label[hit] < 0, hit, label[hit])
+        hit = hit[np.argsort(label[hit], kind="stable")]
+        by = np.argsort(q, kind="stable")
+        q, v = q[by], v[by]
+        starts, ends = self._both_ways()
+        known = np.zeros(len(self.x), np.int64)
+        for nth, lo in enumerate(range(0, len(hit), TOGETHER), 1):
+            part = hit[lo : lo + TOGETHER]
+            i, j = np.searchsorted(q, part), np.searchsorted(q, part, "right")
+            front = np.unique(v[np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i) + np.arange((j - i).sum())])
+            group, mine = [front], queries[part]
+            known[front] = nth
+            while len(front):
+                n = starts[front + 1] - starts[front]
+                to = ends[np.repeat(starts[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                to = np.unique(to[known[to] != nth])
+                known[to] = nth
+                good = [(self.x[to[k : k + CHUNK]] @ mine.T).max(axis=1) >= least for k in range(0, len(to), CHUNK)]
+                front = to[np.concatenate(good)] if good else to
+                group.append(front)
+            yield part, np.concatenate(group)
+
+    def within(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) of near_ones() with an inner product of least or more."""
+        found = [np.nonzero(queries[part] @ self.x[group].T >= least) + (part, group) for part, group in self.near_ones(queries, least, width)]
+        pairs = [(part[i], group[j]) for i, j, part, group in found] or [(np.zeros(0, np.int64),) * 2]
+        return tuple(map(np.concatenate, zip(*pairs, strict=True)))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, label): stars over the components of the pairs, to the smallest node of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    away = label != np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
+def linked_groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) pairs that join what the true cells of a matrix join: at most one for each row and each column."""
+    rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    m = linked[np.ix_(rows, cols)]
+    # a row's first column, and a column's first row, join all but the components that meet in neither
+    a, b = np.concatenate([np.arange(len(rows)), m.argmax(axis=0) if len(cols) else cols]), np.concatenate([m.argmax(axis=1) if len(rows) else rows, np.arange(len(cols))])
+    more_a, more_b = [a], [b]
+    while len(rows):
+        node, root = forest(np.concatenate(more_a), np.concatenate(more_b) + len(rows))
+        label = np.arange(len(rows) + len(cols))
+        label[node] = root
+        apart = m & (label[: len(rows), None] != label[None, len(rows) :])
+        if not apart.any():
+            break
+        r = np.flatnonzero(apart.any(axis=1))
+        more_a.append(r)
+        more_b.append(apart[r].argmax(axis=1))
+    a, b = np.concatenate(more_a), np.concatenate(more_b)
+    return rows[a], cols[b]

@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if its rows have been counted and take no more bytes than this.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,12 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most limit rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def small(df: DataFrame, rows: int | None = None, width: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows take at most BROADCAST_BYTES; beyond that Spark shuffles both sides. A row takes
+    width bytes, or what its columns of fixed size take, and 32 for each other one."""
+    fixed = {"bigint": 8, "double": 8, "int": 4, "float": 4, "boolean": 1}
+    width = width or 8 + sum(fixed.get(f.dataType.simpleString(), 32) for f in df.schema)
+    return F.broadcast(df) if (df.count() if rows is None else rows) * width <= BROADCAST_BYTES else df
 
 
 #: What the functions of this Python worker keep between tasks, by name, and how to let go of it.

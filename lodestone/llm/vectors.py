@@ -1,14 +1,17 @@
 """Nearest neighbours by robust-pruned graphs, and near-duplicate vectors by small-world graphs, in shards.
 
 Vectors are dealt to shards by a hash, so shards are even; equal vectors come to one shard and are one node. A shard's
-graph is built once and written as one row. Queries are dealt to (shard, block of queries); each task holds one shard
-and one block. Vectors of different lengths are never compared.
+graph is built once and written as one row. Nearest neighbours: queries are dealt to (shard, block of queries). Links:
+the vectors of each shard query its own graph and those of all later shards, so each pair of shards meets once, and what
+is found counts for both ends. A task holds one shard's graph and one block or shard of queries. Vectors of different
+lengths are never compared.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +22,15 @@ from . import graphs, shared
 
 #: Shards at least, so that small tables use several machines too.
 LEAST_SHARDS = 6
-#: Distinct vectors a shard of either kind holds, about, and queries a block holds, about.
-ANN_SHARD, LINK_SHARD, BLOCK = 4096, 16_384, 32_768
-#: Out-degree, beam of the builder and of the search, and relaxation of the pruned graph.
-DEGREE, BUILD_WIDTH, SEARCH_WIDTH, ALPHA = 32, 64, 128, 1.2
-#: The recall that a shard's audit asks for, over so many queries of the block, and the first beam.
-AUDIT_RECALL, AUDIT_QUERIES, FIRST_WIDTH = 0.999, 128, 64
-#: Embeddings are broadcast up to so many rows.
-BROADCAST_VECTORS = 100_000
+#: Distinct vectors that a shard holds at most, about, and bytes of their components; queries that a block holds, about.
+SHARD_ROWS, SHARD_BYTES, BLOCK = 131_072, 64 << 20, 32_768
+#: Out-degree, beam of the builder, and relaxation of the pruned graph.
+DEGREE, BUILD_WIDTH, ALPHA = 32, 64, 1.2
+#: Each task audits its beam: over so many of its queries and, for links, as many planted ones, so much of what a comparison
+#: with the whole shard finds must be found, or the beam is doubled. First beams of nearest neighbours and of links.
+AUDIT_QUERIES, NEAREST_RECALL, LINK_RECALL, NEAREST_WIDTH, LINK_WIDTH = 128, 0.99, 0.999, 32, 16
+#: Components of vectors that are compared in double precision at a time.
+TOGETHER = 4_000_000
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -73,6 +77,11 @@ def _index(group: pa.Table, blob: bytes) -> pa.Table:
 _INDEX = "dim int, shard long, blob binary"
 
 
+def _shards(rows: int, dim: int | None) -> int:
+    """How many shards hold so many vectors of so many components."""
+    return max(LEAST_SHARDS, math.ceil(rows / max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * max(dim or 1, 1))))))
+
+
 def _shard(n: int) -> F.Column:
     return F.pmod(F.xxhash64("v"), F.lit(n))
 
@@ -99,7 +108,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
 
     Each shard's graph: greedy beam searches propose neighbours, robust pruning with relaxation ALPHA keeps diverse
     edges (one round with 1, one with ALPHA), and nodes that a search misses get an edge. Queries beam-search every
-    shard; the best are scored again on the original vectors in double precision. Defined results: unusable vectors and
+    shard, with a beam that an audit of each task widens until it finds NEAREST_RECALL of the k + 1 nearest of the shard;
+    the best are scored again on the original vectors in double precision. Defined results: unusable vectors and
     null ids take no part, as query or candidate; rows repeated with id and vector count once; of equal vectors the k + 1
     smallest ids are kept, which is all that can come up; with fewer than k candidates all are given; an empty table
     gives an empty result; other columns are ignored.
@@ -108,14 +118,16 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     clean = tmp.cut(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "vectors")
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
     nodes = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
-    shards = max(LEAST_SHARDS, math.ceil(clean.count() / ANN_SHARD))
+    total, dim = clean.agg(F.count("*"), F.max("dim")).first()
+    shards = _shards(total, dim)
 
     def build(group: pa.Table) -> pa.Table:
         v, ids = _matrix(group.column("v")), group.column("id").to_numpy()
         rep, place = _distinct(v)
         x = _unit(v[rep])
         graph, entry = graphs.build(x, DEGREE, BUILD_WIDTH, ALPHA, rounds=(1.0, ALPHA))
-        graph = graphs.repair(x, graph, lambda g, y: graphs.beam_search(x, g, y, np.full((len(y), 1), entry), BUILD_WIDTH // 2)[0])
+        visits = graphs.Visits(len(x))
+        graph = graphs.repair(x, graph, lambda g, y: graphs.beam_search(x, g, y, np.full((len(y), 1), entry), BUILD_WIDTH // 2, visits=visits)[0])
         return _index(group, _dump(v=v[rep], ids=ids, place=place, graph=graph.astype(np.int32), entry=np.array(entry)))
 
     index = tmp.cut(nodes.withColumn("shard", _shard(shards)).groupBy("dim", "shard").applyInArrow(build, _INDEX), "index")
@@ -130,10 +142,12 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
             x, q, qid, qhash = _unit(v), _matrix(right.column("v")), right.column("id").to_numpy(), right.column("hash").to_numpy()
             order = np.lexsort([ids, place])
             starts = np.searchsorted(place[order], np.arange(len(v) + 1))
-            graph = graph.astype(np.int64)
+            visits = graphs.Visits(len(x))
+            beam = lambda y, width: graphs.beam_search(x, graph, y, np.full((len(y), 1), int(entry)), width, visits=visits)
+            width = _audited(x, _unit(q[np.random.default_rng(0).permutation(len(q))[:AUDIT_QUERIES]]), k + 1, beam)
             for lo in range(0, len(q), graphs.TOGETHER):
                 part = q[lo : lo + graphs.TOGETHER]
-                found, _ = graphs.beam_search(x, graph, _unit(part), np.full((len(part), 1), int(entry)), SEARCH_WIDTH)
+                found, _ = beam(_unit(part), width)
                 found = found[:, : 2 * k + 6]
                 row, col = np.nonzero(found >= 0)
                 score = cosine(part[row], v[found[row, col]])
@@ -159,82 +173,137 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, label): stars over the components of the pairs."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
+def _audited(x: np.ndarray, audit: np.ndarray, k: int, beam: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> int:
+    """The beam, doubled from NEAREST_WIDTH, with which the audit's queries find enough of their k nearest nodes."""
+    width = max(NEAREST_WIDTH, 4 * k)
+    scores = audit @ x.T
+    least = np.partition(scores, max(len(x) - k, 0), axis=1)[:, max(len(x) - k, 0)] - 1e-6
+    while width < len(x):
+        found = sum(int((beam(audit[lo : lo + graphs.TOGETHER], width)[1][:, :k] >= least[lo : lo + graphs.TOGETHER, None]).sum()) for lo in range(0, len(audit), graphs.TOGETHER))
+        if found >= NEAREST_RECALL * len(audit) * min(k, len(x)):
+            break
+        width *= 2
+    return width
+
+
+def _linked(x: np.ndarray, q: np.ndarray, part: np.ndarray, y: np.ndarray, v: np.ndarray, cols: np.ndarray, least: float) -> np.ndarray:
+    """Which of the vectors q[part] and v[cols] have a cosine of least or more. x and y are their unit vectors in single
+    precision; what that can't decide is decided in double precision."""
+    score = x[part] @ y[cols].T
+    slack = 2e-7 * (x.shape[1] + 16)
+    linked = score >= least + slack
+    r, c = np.nonzero((score >= least - slack) & ~linked)
+    step = max(1, TOGETHER // x.shape[1])
+    for lo in range(0, len(r), step):
+        i, j = r[lo : lo + step], c[lo : lo + step]
+        linked[i, j] = cosine(q[part[i]], v[cols[j]]) >= least
+    return linked
+
+
+def _planted(x: np.ndarray, least: float, count: int) -> np.ndarray:
+    """Unit vectors with a cosine from least to 1 to a node, so that there is something to be found whatever the table."""
+    rng = np.random.default_rng(1)
+    of = x[rng.integers(0, len(x), count)].astype(np.float64)
+    away = rng.normal(size=of.shape)
+    away -= (away * of).sum(axis=1, keepdims=True) * of
+    away /= np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), 1e-30)
+    c = rng.uniform(least + 0.001, 1.0, (count, 1))
+    return _unit(c * of + np.sqrt(1 - c * c) * away)
+
+
+def _link_width(world: graphs.SmallWorld, x: np.ndarray, least: float, own: bool) -> int:
+    """The beam, doubled from LINK_WIDTH, with which audit queries find enough of their links in the shard. A vector of
+    the shard finds itself; that counts as no link."""
+    audit = np.concatenate([x[np.random.default_rng(0).permutation(len(x))[:AUDIT_QUERIES]], _planted(world.x, least, AUDIT_QUERIES)])
+    mine = min(AUDIT_QUERIES, len(x)) if own else 0
+    want, width = int((audit @ world.x.T >= least).sum()) - mine, LINK_WIDTH
+    while width < len(world.x):
+        found = sum(int((audit[part] @ world.x[group].T >= least).sum()) for part, group in world.near_ones(audit, least, width)) - mine
+        if found >= LINK_RECALL * want:
             break
-        label = new
-    away = label != np.arange(len(nodes))
-    return nodes[away], nodes[label[away]]
+        width *= 2
+    return width
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors are linked if their cosine in double precision is least or more. Each shard has a hierarchical small-world
-    graph; every vector queries every shard. For each task an audit compares the links that the graph finds for some
-    queries with all there are in the shard, and the beam is doubled until AUDIT_RECALL is met. n_links counts the other
-    vectors linked directly; component_id is the smallest id reachable; kept says whether that is the row's own. Defined
-    results: unusable vectors link with nothing; equal vectors are one node, whose copies link with each other; rows
-    with one id and vector count once; a null id gets a null component_id and is kept; an empty table gives an empty
-    result; other columns are ignored. Tasks give counts and a spanning forest of their links, never all pairs.
+    graph; every vector queries its own shard's and all later ones, so all pairs of shards are searched. For each task an
+    audit compares the links that the graph finds for some of its queries, and for planted ones, with all there are in
+    the shard, and the beam is doubled until LINK_RECALL is met. n_links counts the other vectors linked directly;
+    component_id is the smallest id reachable; kept says whether that is the row's own. Defined results: unusable vectors
+    link with nothing; equal vectors are one node, whose copies link with each other; rows with one id and vector count
+    once; of one id's different vectors each has its own n_links, but they share their component; a null id gets a null
+    component_id and is kept; an empty table gives an empty result; other columns are ignored. Tasks give counts and a
+    spanning forest of their links and never hold all pairs.
     """
     tmp = shared.Scratch(spark, "vector-links")
     clean = usable(vectors, id_col, vec_col)
     reps = clean.groupBy("v", "id").agg(F.lit(1).alias("one")).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    reps = tmp.cut(reps.withColumn("dim", F.size("v")), "distinct")
-    total = reps.count()
-    shards, blocks = max(LEAST_SHARDS, math.ceil(total / LINK_SHARD)), max(1, math.ceil(total / BLOCK))
+    reps = tmp.cut(reps.withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "distinct")
+    total, dim = reps.agg(F.count("*"), F.max("dim")).first()
+    shards = _shards(total, dim)
 
     def build(group: pa.Table) -> pa.Table:
         v = _matrix(group.column("v"))
         world = graphs.SmallWorld(_unit(v)).build()
         levels = {f"{part}{i}": value for i, level in enumerate(world.levels) for part, value in zip("agn", (level[0].astype(np.int32), level[1].astype(np.int32), np.array(level[2])), strict=True)}
-        return _index(group, _dump(v=v, ids=group.column("id").to_numpy(), n=group.column("n").to_numpy(), **levels))
+        return _index(group, _dump(v=v, **{c: group.column(c).to_numpy() for c in ("node", "id", "n")}, **levels))
 
-    index = tmp.cut(reps.withColumn("shard", _shard(shards)).groupBy("dim", "shard").applyInArrow(build, _INDEX), "index")
+    placed = reps.withColumn("shard", _shard(shards))
+    index = tmp.cut(placed.groupBy("dim", "shard").applyInArrow(build, _INDEX), "index")
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        links, forest = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        node, count, a, b = (np.zeros(0, np.int64) for _ in range(4))
         if left.num_rows and right.num_rows:
+            own = key[1].as_py() == key[2].as_py()
             at = np.load(io.BytesIO(left.column("blob")[0].as_py()))
-            v, ids, n, world = at["v"], at["ids"], at["n"], graphs.SmallWorld(_unit(at["v"]))
-            world.levels = [(at[f"a{i}"].astype(np.int64), at[f"g{i}"].astype(np.int64), int(at[f"n{i}"])) for i in range(sum(k[0] == "g" for k in at.files))]
-            q, qid = _matrix(right.column("v")), right.column("id").to_numpy()
-            x, loose, width = _unit(q), least - 1e-3, FIRST_WIDTH
-            audit = x[np.random.default_rng(0).permutation(len(x))[:AUDIT_QUERIES]]
-            want = int((audit @ world.x.T >= loose).sum())
-            while width < len(v) and len(world.within(audit, loose, width)[0]) < AUDIT_RECALL * want:
-                width *= 2
-            a, b = world.within(x, loose, width)
-            keep = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 100_000):
-                part = slice(lo, lo + 100_000)
-                keep[part] = (cosine(q[a[part]], v[b[part]]) >= least) & (qid[a[part]] != ids[b[part]])
-            a, b = a[keep], b[keep]
-            count = np.bincount(a, weights=n[b], minlength=len(q)).astype(np.int64)
-            links, forest = (qid[count > 0], count[count > 0]), _forest(qid[a], ids[b])
+            v, world = at["v"], graphs.SmallWorld(_unit(at["v"]))
+            world.levels = [(at[f"a{i}"].astype(np.int64), at[f"g{i}"], int(at[f"n{i}"])) for i in range(sum(k[0] == "g" for k in at.files))]
+            q, mine, theirs = _matrix(right.column("v")), {c: right.column(c).to_numpy() for c in ("node", "id", "n")}, {c: at[c] for c in ("node", "id", "n")}
+            x, of_q, of_v, joined, waiting = _unit(q), np.zeros(len(q)), np.zeros(len(v)), [], 0
+            for part, group in world.near_ones(x, least - 1e-3, _link_width(world, x, least, own)):
+                for lo in range(0, len(group), graphs.CHUNK):
+                    cols = group[lo : lo + graphs.CHUNK]
+                    linked = _linked(x, q, part, world.x, v, cols, least)
+                    if own:
+                        linked &= mine["node"][part][:, None] != theirs["node"][cols][None, :]
+                    weight = linked.astype(np.float64)
+                    of_q[part] += weight @ theirs["n"][cols]
+                    if not own:
+                        of_v[cols] += mine["n"][part] @ weight
+                    i, j = graphs.linked_groups(linked)
+                    joined.append((mine["id"][part[i]], theirs["id"][cols[j]]))
+                    waiting += len(i)
+                    if waiting > 1_000_000:
+                        joined, waiting = [graphs.forest(*map(np.concatenate, zip(*joined, strict=True)))], 0
+            if joined:
+                a, b = graphs.forest(*map(np.concatenate, zip(*joined, strict=True)))
+            node, count = np.concatenate([mine["node"], theirs["node"]]), np.concatenate([of_q, of_v]).astype(np.int64)
+            node, count = node[count > 0], count[count > 0]
         none = lambda m: pa.nulls(m, pa.int64())
-        k, m = len(links[0]), len(forest[0])
         both = lambda x, y: pa.chunked_array([x, y])
-        return pa.table({"id": both(pa.array(links[0]), pa.array(forest[0])), "links": both(pa.array(links[1]), none(m)), "label": both(none(k), pa.array(forest[1]))})
-
-    dealt = _dealt(reps.select("dim", "id", "v"), shards, blocks)
-    found = _with_blocks(index, blocks).groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block"))
-    found = tmp.cut(found.applyInArrow(search, "id long, links long, label long"), "links")
-    labels = shared.components(tmp, found.where("label is not null").select(F.col("id").alias("a"), F.col("label").alias("b")))
-    counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    judged = reps.join(shared.small(tmp.cut(counts, "counts")), "id", "left").join(shared.small(labels.withColumnRenamed("node", "id")), "id", "left")
+        k, m = len(node), len(a)
+        return pa.table({"node": both(pa.array(node), none(m)), "links": both(pa.array(count), none(m)), "a": both(none(k), pa.array(a)), "b": both(none(k), pa.array(b))})
+
+    upto = lambda lo, hi: F.explode(F.sequence(F.lit(lo).cast("long") if isinstance(lo, int) else lo, F.lit(hi).cast("long") if isinstance(hi, int) else hi))
+    queries = placed.withColumnRenamed("shard", "i").withColumn("j", upto(F.col("i"), shards - 1)).groupBy("dim", "i", "j")
+    graph = index.withColumnRenamed("shard", "j").withColumn("i", upto(0, F.col("j"))).groupBy("dim", "i", "j")
+    found = tmp.cut(graph.cogroup(queries).applyInArrow(search, "node long, links long, a long, b long"), "links")
+
+    # ids that have several vectors join the components of all of them
+    several = clean.groupBy("id").agg(F.min(F.xxhash64("v")).alias("lo"), F.max(F.xxhash64("v")).alias("hi")).where("lo <> hi").select(F.col("id").alias("a"))
+    several = tmp.cut(several, "several")
+    edges = found.where("a is not null").select("a", "b")
+    if not several.isEmpty():
+        of = clean.select(F.col("id").alias("a"), "v").distinct().join(shared.small(several), "a")
+        edges = edges.unionAll(of.join(reps.select("v", F.col("id").alias("b")), "v").select("a", "b"))
+    labels = shared.components(tmp, edges).select(F.col("node").alias("id"), "component")
+    counts = tmp.cut(found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    judged = reps.join(shared.small(counts), "node", "left").join(shared.small(labels), "id", "left")
     judged = judged.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    judged = shared.small(tmp.cut(judged, "judged"), total, BROADCAST_VECTORS)
+    judged = shared.small(tmp.cut(judged, "judged"), total, 8 * (dim or 1) + 32)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("v")))
     out = rows.join(judged, "v", "left")
     component = F.coalesce("component_id", "vec_id")

@@ -124,3 +124,53 @@ def test_many_equal_directions_end(spark):
 def test_huge_and_tiny_components():
     a = np.array([[1e200, 1e200], [1e-200, 2e-200]])
     assert vectors.cosine(a, a).tolist() == pytest.approx([1.0, 1.0])
+
+
+def test_links_of_ids_with_several_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0, "", ""), (2, [1.0, 0.0, 0.0], 0, "", ""), (1, [0.0, 1.0, 0.0], 0, "", ""), (7, [0.0, 1.0, 0.05], 0, "", ""), (9, [0.0, 0.0, 1.0], 0, "", "")], SCHEMA)
+    got = vectors.near_duplicates(spark, df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (7, 1, 1), (9, 0, 9)]
+    # 5 is a copy of 3 and also near 9, so 9 reaches 3
+    df = spark.createDataFrame([(3, [1.0, 0.0], 0, "", ""), (5, [1.0, 0.0], 0, "", ""), (5, [0.0, 1.0], 0, "", ""), (9, [0.0, 1.0], 0, "", "")], SCHEMA)
+    got = vectors.near_duplicates(spark, df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (9, 1, 3)]
+
+
+def test_links_of_a_dense_clump(spark):
+    rng = np.random.default_rng(3)
+    x = (np.eye(1, 8) + 0.05 * rng.normal(size=(3000, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "", "") for i, v in enumerate(x)], SCHEMA).repartition(4)
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(axis=1))[:, None]
+    want = (y @ y.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark, df).collect()}
+    assert [got[i] for i in range(3000)] == [(int(n), 0) for n in want]
+
+
+def test_joined_cells_are_few_and_join_all(spark):
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.005, 0.02, 0.3, 1.0):
+        linked = rng.random((60, 90)) < share
+        a, b = graphs.linked_groups(linked)
+        assert linked[a, b].all()
+        label = lambda i, j: dict(zip(*map(np.ndarray.tolist, graphs.forest(i, j + 60)), strict=True))
+        assert label(a, b) == label(*np.nonzero(linked))
+
+
+def test_visits_mark_each_pair_once():
+    marks = graphs.Visits(10, 4)
+    for _ in range(2):
+        marks.begin()
+        at = marks.fresh(np.array([0, 0, 1, 0, 3]), np.array([5, 5, 5, 6, 9]))
+        assert sorted(zip(np.array([0, 0, 1, 0, 3])[at].tolist(), np.array([5, 5, 5, 6, 9])[at].tolist(), strict=True)) == [(0, 5), (0, 6), (1, 5), (3, 9)]
+        assert len(marks.fresh(np.array([0, 2]), np.array([6, 6]))) == 1
+
+
+def test_very_long_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5000))
+    x[50:] = x[:10] + 0.01 * rng.normal(size=(10, 5000))
+    df = spark.createDataFrame([(50 * i, v.tolist(), 1, 2, 3, 4) for i, v in enumerate(x)], "vec_id long, embedding array<double>, id int, v int, node int, n_links int")
+    near = {r.query_id: r.vec_id for r in vectors.nearest(spark, df, k=1).collect()}
+    assert len(near) == 60 and all(near[50 * i] == 50 * (50 + i) for i in range(10))
+    assert sum(r.n_links for r in vectors.near_duplicates(spark, df).collect()) == 20
