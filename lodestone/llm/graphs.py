@@ -103,19 +103,22 @@ def prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, al
     twice[:, 1:] = (candidates[:, 1:] == candidates[:, :-1]) & (candidates[:, 1:] >= 0)
     v = x[candidates]
     between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    between *= alpha * alpha
     open_ = (candidates >= 0) & ~twice
     kept = np.full((b, degree), -1, np.int64)
-    count, rows = np.zeros(b, np.int64), np.arange(b)
+    count, live = np.zeros(b, np.int64), np.arange(b)
     for _ in range(degree):
         first = open_.argmax(axis=1)
-        has = open_[rows, first]
-        if not has.any():
-            break
-        r, f = rows[has], first[has]
-        kept[r, count[r]] = candidates[r, f]
-        count[r] += 1
-        open_[r] &= alpha * alpha * between[r, f] > d[r]
-        open_[r, f] = False
+        has = open_[np.arange(len(live)), first]
+        if not has.all():
+            live, first, open_, between, d = live[has], first[has], open_[has], between[has], d[has]
+            if not len(live):
+                break
+        rows = np.arange(len(live))
+        kept[live, count[live]] = candidates[live, first]
+        count[live] += 1
+        open_ &= between[rows, first] > d
+        open_[rows, first] = False
     return kept
 
 

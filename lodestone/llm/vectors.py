@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import graphs, shared
 
-#: Shards at least, so that small tables use several machines too.
-LEAST_SHARDS = 6
+#: Shards at least, so that small tables use several machines too: for nearest neighbours, whose few queries make many
+#: shards cheap and their builds even, and for links, where all vectors query half of all shards.
+NEAREST_SHARDS, LINK_SHARDS = 12, 6
 #: Distinct vectors that a shard holds at most, about, and bytes of their components; queries that a block holds, about.
 SHARD_ROWS, SHARD_BYTES, BLOCK = 131_072, 64 << 20, 32_768
 #: Out-degree, beam of the builder, and relaxation of the pruned graph.
@@ -77,9 +78,9 @@ def _index(group: pa.Table, blob: bytes) -> pa.Table:
 _INDEX = "dim int, shard long, blob binary"
 
 
-def _shards(rows: int, dim: int | None) -> int:
+def _shards(rows: int, dim: int | None, least: int) -> int:
     """How many shards hold so many vectors of so many components."""
-    return max(LEAST_SHARDS, math.ceil(rows / max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * max(dim or 1, 1))))))
+    return max(least, math.ceil(rows / max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * max(dim or 1, 1))))))
 
 
 def _shard(n: int) -> F.Column:
@@ -119,7 +120,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
     nodes = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
     total, dim = clean.agg(F.count("*"), F.max("dim")).first()
-    shards = _shards(total, dim)
+    shards = _shards(total, dim, NEAREST_SHARDS)
 
     def build(group: pa.Table) -> pa.Table:
         v, ids = _matrix(group.column("v")), group.column("id").to_numpy()
@@ -243,7 +244,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.9,
     reps = clean.groupBy("v", "id").agg(F.lit(1).alias("one")).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     reps = tmp.cut(reps.withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "distinct")
     total, dim = reps.agg(F.count("*"), F.max("dim")).first()
-    shards = _shards(total, dim)
+    shards = _shards(total, dim, LINK_SHARDS)
 
     def build(group: pa.Table) -> pa.Table:
         v = _matrix(group.column("v"))
