@@ -142,3 +142,46 @@ def test_pairs_from_80_percent_match_brute_force(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, docs, percent=80).collect()}
     assert got == brute(rows, 80) and sum(d != c for d, (_, c) in got.items()) > 100
     assert sum(d != c for d, (_, c) in brute(rows).items()) < 100
+
+
+def test_ids_with_several_texts_join_all_their_groups(spark):
+    a, b = "one two three four five six", "red green blue white black grey"
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (11, "alone")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (11, 11, True)]
+
+
+def test_large_groups_of_several_originals_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 6)
+    rng = random.Random(7)
+    base, rows = [f"w{rng.randrange(900)}" for _ in range(160)], []
+    for i in range(150):  # a chain: every text keeps most of the one before and loses its beginning at times
+        for _ in range(rng.randrange(3)):
+            base[rng.randrange(len(base))] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(base[rng.randrange(3) :])))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_long_chain_is_compared_in_linear_work(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("id as doc_id", "explode(array(id, id + 1)) as key", "cast(100 as long) as n_shingles")
+    tmp = near_dedup.shared.Scratch(spark, "chain")
+    keys = tmp.cut(rows.where(f"key between 1 and {n - 1}"), "keys")
+    placed = near_dedup.dealt(tmp, keys, 85)
+    within = {r.block: r["count"] for r in placed.groupBy("block").count().collect()}
+    pairs, members = near_dedup.crossing(tmp, keys, placed, spark.createDataFrame([], "node long, component long"))
+    size = {r.block: r["count"] for r in members.groupBy("block").count().collect()}
+    pairs = pairs.collect()
+    compared = sum(k * k for k in within.values()) + sum(size[r.i] * size[r.j] for r in pairs)
+    assert sum(within.values()) == n and compared <= 20 * n
+    # each pair that shares a bucket is in one block or in a pair of blocks
+    block = {r.doc_id: r.block for r in placed.collect()}
+    met = {(r.i, r.j) for r in pairs}
+    assert all(block[i] == block[i + 1] or tuple(sorted((block[i], block[i + 1]))) in met for i in range(n - 1))
+
+
+def test_one_of_repeated_rows_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d e f", i) for i in range(5)] + [(1, "other text that stays as well", 9), (2, "a b c d e f", 0), (None, "x", 1), (None, "x", 1)]
+    want = [(None, 1), (None, 1), (1, 0), (1, 9)]
+    for order in (rows, rows[::-1]):
+        got = near_dedup.keep_one(spark, spark.createDataFrame(order, "doc_id long, text string, kept int").repartition(3)).collect()
+        assert sorted(((r.doc_id, r.kept) for r in got), key=lambda r: (r[0] is not None, r)) == want
