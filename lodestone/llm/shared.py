@@ -8,11 +8,16 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its rows have been counted and take no more bytes than this.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of text that a Python worker works on at a time.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,13 +84,21 @@ def worker(name: str, free: Callable[[], object] | None = None) -> Iterator[None
         yield
     finally:
         gc.collect()
-        import pyarrow as pa
-
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def parts(batch: pa.RecordBatch, column: str, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most rows rows, whose texts take at most size bytes in all; one longer text is a slice of its own."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node of an edge between two different
     nodes; component is the smallest node that can be reached. Nulls make no edge. Only DataFrame operations.

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -82,13 +84,37 @@ def _encoder(tokenizer, joint: str | None = None) -> Callable[[list[str]], list[
     return encode
 
 
+#: The normalizer and pre-tokenizer for which word_ids() may part texts at white space.
+_PARTED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
+@dataclass
+class Words:
+    """A tokenizer file: the library's own tokenizer, the strings that it takes for added tokens wherever they stand, and
+    the pieces of other texts, or None if the file's rules don't allow texts to be parted at white space."""
+
+    whole: object
+    added: list[str]
+    pieces: Pieces | None
+
+
 @functools.cache
-def _word_pieces(path: str) -> Pieces:
+def _words(path: str) -> Words:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # in a document their strings are ordinary text
-    return Pieces(_encoder(tokenizer, "`"), WORD_PIECES)
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    added = rules.get("added_tokens") or []
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+    pieces = None
+    if plain and (rules.get("normalizer"), rules.get("pre_tokenizer")) == _PARTED:
+        ordinary = Tokenizer.from_file(path)
+        ordinary.encode_special_tokens = True  # a piece in lower case may look like an added token that the text doesn't hold
+        pieces = Pieces(_encoder(ordinary, "`"), WORD_PIECES)
+    return Words(Tokenizer.from_file(path), [t["content"] for t in added], pieces)
 
 
 def _cut(ids: np.ndarray, of_piece: np.ndarray, pieces: np.ndarray) -> list[np.ndarray]:
@@ -103,12 +129,29 @@ _EDGE = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?%*&$#|()])"
 
 
 def word_ids(texts: pa.Array | list[str | None], path: str) -> list[np.ndarray]:
-    """Ids by a tokenizer file whose pre-tokenizer drops white space: no token, normal form or case rule of it reaches
-    over a space or line feed, and it lower-cases; so A-Z are lower-cased first and the texts are parted there."""
+    """Ids of whole texts by a tokenizer file, as the library gives them without special tokens around them. If the file's
+    rules are _PARTED, no token, normal form or case rule reaches over a space or line feed, and they lower-case; so A-Z
+    are lower-cased first and the texts are parted there. Texts that hold an added token go to the library as they are,
+    as do all texts by other files."""
     texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    words = _words(path)
+    apart = functools.reduce(pc.or_, [pc.match_substring(texts, t) for t in words.added], pa.array(np.full(len(texts), words.pieces is None)))
+    if pc.any(apart).as_py():
+        where = apart.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for i, e in zip(np.flatnonzero(where), words.whole.encode_batch(texts.filter(apart).to_pylist(), add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        if not where.all():
+            for i, ids in zip(np.flatnonzero(~where), _by_pieces(texts.filter(pc.invert(apart)), words.pieces), strict=True):
+                out[i] = ids
+        return out
+    return _by_pieces(texts, words.pieces)
+
+
+def _by_pieces(texts: pa.Array, pieces: Pieces) -> list[np.ndarray]:
     parts = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), _EDGE, r"\1 \2"), " ")
     coded = parts.flatten().dictionary_encode()
-    ids, n = _word_pieces(path).ids(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+    ids, n = pieces.ids(coded.dictionary.to_pylist(), coded.indices.to_numpy())
     return _cut(ids, n, pc.list_value_length(parts).to_numpy())
 
 
@@ -201,8 +244,7 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("byte_bpe", _free_bytes):
             for batch in batches:
-                for at in range(0, len(batch), BYTE_SLICE):
-                    part = batch.slice(at, BYTE_SLICE)
+                for part in shared.parts(batch, text_col, BYTE_SLICE):
                     ids = byte_ids(part.column(text_col), path, pattern)
                     columns = [part.column(n) for n in names]
                     columns += [pa.array([len(x) for x in ids], pa.int64()), _packed(ids)]
@@ -224,8 +266,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("byte_bpe", _free_bytes):
             for batch in batches:
-                for at in range(0, len(batch), BYTE_SLICE):
-                    part = batch.slice(at, BYTE_SLICE)
+                for part in shared.parts(batch, ids_col, BYTE_SLICE):
                     out = [None if x is None else decode_bytes(np.frombuffer(x, "<u4"), path) for x in part.column(ids_col).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, out_col])
 
@@ -237,21 +278,21 @@ _FILE = "doc_id long, row long, token_ids array<int>"
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20) -> None:
     """Writes the ids of every text, with end_id after each document, as ORC files in ascending doc_id order: the files
-    by name, then the rows of each. token_ids are integers, so ORC writes them by its run-length encoding; each stripe
+    by part number, then the rows of each. token_ids are integers, so ORC writes them by its run-length encoding; each stripe
     has row indexes and a Bloom filter on doc_id.
 
     doc_id null comes first; rows with one doc_id are ordered by their text; a null text counts as empty. An empty
     table makes a folder without rows. The texts are dealt by ranges of doc_id before they are encoded, so each task
-    encodes and writes one range and holds one document's ids at a time.
+    encodes and writes one range and holds the ids of a slice at a time: at most SLICE documents and shared.SLICE_BYTES of
+    text, or one longer document.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
-        with shared.worker("word_bpe", _word_pieces.cache_clear):
+        with shared.worker("word_bpe", _words.cache_clear):
             for batch in batches:
-                for at in range(0, len(batch), SLICE):
-                    part = batch.slice(at, SLICE)
+                for part in shared.parts(batch, "text", SLICE):
                     ids = [np.append(x, np.uint32(end_id)) for x in word_ids(part.column("text"), vocabulary)]
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -272,8 +313,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 def token_digests(tokens: DataFrame) -> DataFrame:
     """For each document of read_tokens(): doc_id, start (ids of all documents before it), n_tokens and ids_crc32, of the
-    ids as little-endian unsigned 32-bit integers. Sums within files and over files give the starts; only one row for
-    each file meets in one task."""
+    ids as little-endian unsigned 32-bit integers. Files stand in the order of their part numbers. Sums within files and
+    over files give the starts; only one row for each file meets in one task."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("digest"):
@@ -285,7 +326,9 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
     rows = tokens.mapInArrow(digest, "file string, doc_id long, row long, n_tokens long, ids_crc32 long")
     rows = shared.Scratch(tokens.sparkSession, "digests").cut(rows, "rows")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # part-100000 comes after part-99999: by number, then by name
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))

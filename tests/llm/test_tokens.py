@@ -15,6 +15,7 @@ from lodestone.llm.queries import op3_token_orc, op8_byte_bpe
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [
     None, "", " ", "\n\n\t \x0b\x0c\r\x1c\x1d\x85\xa0 x", "a\x1cb \x1f\x1f c", "<|endoftext|> <|startoftext|>x", "don't we'll I'M 'S it's", "é ́e ﬁ Ω Ω ΑΣ ΣΑΣ. İ ß ẞ",
+    "<|startoftext|> zz", "a<|endoftext|>b<|endoftext|>", "<|EndOfText|> <|STARTOFTEXT|> It's", "<| endoftext|> <|endoftext|", "Don<|startoftext|>'T É",
     "日本語のテキスト 한국어 עברית 🎉👩‍👩‍👧‍👦 é", "x" * 5000, "ab" * 3000 + " " * 700 + "\n" * 30 + "1234567890" * 40, "\x00\x01�￾", "  leading and   trailing  ", "a b　c​d", "!!!???...((()))#$%&", "aaaa aaaaa aaaaaa aaaaaaa", "word " * 20000,
 ]
 
@@ -33,7 +34,6 @@ def fuzz(n=400):
 
 def test_word_ids_are_those_of_whole_texts():
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     for texts in (ODD, texts_of_sf(), fuzz()):
         want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
         assert [x.tolist() for x in tokens.word_ids(texts, WORD)] == want
@@ -76,7 +76,6 @@ def odd_dir(spark, tmp_path_factory):
 def test_op3_round_trip(spark, odd_dir):
     d, rows = odd_dir
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     at, want = 0, []
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -116,3 +115,43 @@ def test_empty_tables_and_kept_columns(spark, tmp_path):
     assert all(r.decoded == r.same == (r.text or "").encode() for r in both.collect())
     full = tokens.encode_bytes(spark.createDataFrame([(1, "é x", "old")], "doc_id long, text string, n_tokens string"), BYTE, P.PATTERN, with_offsets=True)
     assert full.columns == ["doc_id", "text", "n_tokens", "ids", "token_start", "token_end"] and full.first().token_end[-1] == 3
+
+
+def test_other_rules_send_whole_texts_to_the_library(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = {"type": "NFC"}  # keeps the case, so texts may not be lower-cased first
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = [*ODD[:12], "MiXed Case Words"]
+    assert tokens._words(str(tmp_path / "t.json")).pieces is None and tokens._words(WORD).pieces is not None
+    assert [x.tolist() for x in tokens.word_ids(texts, str(tmp_path / "t.json"))] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_files_stand_in_the_order_of_their_numbers(spark):
+    rows = [(f"part-{n:05d}-x.c000.zstd.orc", doc, 0, [7] * size) for n, doc, size in ((99_999, 1, 3), (100_000, 2, 4), (100_001, 3, 5), (7, 0, 2))]
+    got = tokens.token_digests(spark.createDataFrame(rows, "file string, doc_id long, row long, token_ids array<int>")).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in got) == [(0, 0, 2), (1, 2, 3), (2, 5, 4), (3, 9, 5)]
+
+
+def test_op8_digests_are_those_of_tiktoken(spark, odd_dir):
+    d, rows = odd_dir
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE, "rb"))}
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = t.encode_ordinary(text or "")
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode_bytes(ids)).hexdigest()))
+    assert sorted(map(tuple, op8_byte_bpe(spark, d).collect()), key=str) == sorted(want, key=str)
+
+
+def test_slices_hold_few_rows_and_bytes():
+    import pyarrow as pa
+
+    from lodestone.llm.shared import parts
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (1, 2, 3, 50, 1, 1, 0)] + [None, "é"]})
+    got = [p.column("t").to_pylist() for p in parts(batch, "t", 3, 6)]
+    assert got == [["a", "aa", "aaa"], ["a" * 50], ["a", "a", ""], [None, "é"]]
