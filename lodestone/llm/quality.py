@@ -80,8 +80,7 @@ def logits(docs: DataFrame, model: Classifier, text_col: str = "text", out_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("quality"):
             for batch in batches:
-                for at in range(0, len(batch), SLICE):
-                    part = batch.slice(at, SLICE)
+                for part in shared.parts(batch, text_col, SLICE):
                     z = model.logits(np.array([features(t.as_py()) for t in part.column(text_col)]))
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z)], names=[*names, out_col])
 
@@ -129,7 +128,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str
 
     score is the posterior probability that the document is good: the classifier's log-odds, which stand for the base
     rate, moved to the rate of the document's path. Host and path rates are empirical-Bayes posteriors from the
-    classifier's probabilities of all documents of the site. keep: score >= KEEP_FROM. Defined results: null or empty
+    classifier's probabilities of all documents of the site, the document itself included. keep: score >= KEEP_FROM. Defined results: null or empty
     texts have features of their own and are scored like any; null hosts and paths are sites; rows with null or repeated
     ids are judged one by one; without labels the base rate is one half; an empty table gives an empty result; columns
     with the new names are replaced.
@@ -140,14 +139,10 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str
     kept = [c for c in (columns or docs.columns) if c not in new]
     narrow = columns is not None and "text" not in columns
     needed = docs.select(*dict.fromkeys([*kept, host_col, path_col, "text"]))
-    scored = _site(logits(needed, model, out_col="__logit", keep_text=not narrow), host_col, path_col)
-    if narrow:  # the texts are read once; without them the rest is small enough to be written
-        scored = tmp.cut(scored, "logits")
-        rates = scored
-    else:
-        rates = _site(logits(docs.select(*dict.fromkeys([host_col, path_col]), "text"), model, out_col="__logit", keep_text=False), host_col, path_col)
+    # each text is scored once; what is read twice is written
+    scored = tmp.cut(_site(logits(needed, model, out_col="__logit", keep_text=not narrow), host_col, path_col), "logits")
     p = 1 / (1 + F.exp(-F.col("__logit")))
-    known = tmp.cut(sites(rates.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")), tmp), "sites")
+    known = tmp.cut(sites(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")), tmp), "sites")
     known = known.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("base").alias("__base"), F.col("host_rate").alias("__hr"), F.col("path_rate").alias("__pr"))
     out = scored.join(shared.small(known), ["__host", "__path"], "left")
     moved = 1 / (1 + F.exp(-(F.col("__logit") + _logit(F.col("__pr")) - _logit(F.col("__base")))))
@@ -155,7 +150,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs, with exactly its columns, without the rejected documents."""
+    """docs, with exactly its columns, without the rejected documents. Every row is judged by itself, those with null or
+    repeated ids too; an empty table gives an empty result."""
     names = {c: f"__col{i}" for i, c in enumerate(docs.columns) if c in ("doc_logit", "host_rate", "path_rate", "score", "keep")}
     inside = docs.withColumnsRenamed(names)
     out = judge(spark, inside, labels, host_col, path_col).where("keep")

@@ -29,7 +29,8 @@ MARKED = 4.0
 STEPS, BLOCK = 60, 128
 #: Tokens of this marginal belong to a span.
 SPAN = 0.5
-SLICE, CACHE_WORDS = 1000, 200_000
+#: Documents scored at a time; words a worker keeps, and the longest that it keeps.
+SLICE, CACHE_WORDS, CACHE_CHARS = 1000, 200_000, 64
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’‘…"
@@ -130,7 +131,7 @@ class Model:
         fresh = dict(zip(new, self.weights[at].sum(axis=1).tolist(), strict=True))
         out = np.array([known[w] if w in known else fresh[w] for w in words])
         if len(known) < CACHE_WORDS:
-            known.update(fresh)
+            known.update((w, z) for w, z in fresh.items() if len(w) <= CACHE_CHARS)
         return out
 
     def tokens(self, texts: pa.Array, known: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,16 +228,30 @@ def _optimise(model: Model, at: np.ndarray, codes: np.ndarray, begins: np.ndarra
     assert np.isfinite(model.weights).all() and size.sum() == len(codes)
 
 
+def _fitting(chars: list[int], budget: int) -> list[int]:
+    """Places of the documents that are taken in turn: each that still fits into the budget; if none does, the shortest."""
+    taken, used = [], 0
+    for k, n in enumerate(chars):
+        if used + n <= budget:
+            taken.append(k)
+            used += n
+    return taken or ([min(range(len(chars)), key=chars.__getitem__)] if chars else [])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[str], np.ndarray, tuple[float, float]]:
     """The bounded sample of labelled documents, in an order that doesn't depend on the input's, and its share of either
-    class. A class whose texts would pass SAMPLE_CHARS ends before the first that does."""
+    class. A document that would take its class beyond SAMPLE_CHARS is left out, and the next ones are tried."""
+    tmp = shared.Scratch(docs.sparkSession, "toxicity-sample")
     rows = fitting.labelled(docs, labels, label, SAMPLE_ROWS).withColumn("at", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
-    from pyspark.sql import Window
-
-    upto = F.sum("chars").over(Window.partitionBy("y").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("at", "doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"] or ""))
+    rows = tmp.cut(rows.withColumn("chars", F.coalesce(F.length("text"), F.lit(0))).distinct(), "labelled")
+    heads = sorted(rows.select("at", "doc_id", "y", "chars").collect())
+    taken = []
+    for c in (0, 1):
+        of = [r for r in heads if r["y"] == c]
+        taken += [of[k] for k in _fitting([r["chars"] for r in of], SAMPLE_CHARS)]
+    wanted = docs.sparkSession.createDataFrame([(r["at"], r["doc_id"], r["y"]) for r in taken], "at long, doc_id long, y int")
+    rows = rows.join(F.broadcast(wanted), ["at", "doc_id", "y"], "left_semi").select("at", "doc_id", "text", "y").collect()  # at most 2 * SAMPLE_ROWS rows
+    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"] or "", r["y"]))
     y = np.array([r["y"] for r in rows], np.int64)
     all_ = {r[label]: r["n"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.countDistinct("doc_id").alias("n")).collect()}
     rates = tuple(min(1.0, max(int((y == c).sum()), 1) / max(all_.get(c, 0), 1)) for c in (0, 1))
@@ -282,8 +297,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
         m, known = shared_model.value, {}
         with shared.worker("toxicity"):
             for batch in batches:
-                for at in range(0, len(batch), SLICE):
-                    part = batch.slice(at, SLICE)
+                for part in shared.parts(batch, text_col, SLICE):
                     texts = part.column(text_col)
                     marginals, n = m.tokens(texts, known)
                     out = [pa.array(m.scores(marginals, n), kinds[0])]

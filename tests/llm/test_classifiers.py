@@ -141,3 +141,66 @@ def test_keep_good_agrees_with_judge_and_keeps_columns(spark):
     got = quality.keep_good(spark, docs, labels)
     want = {r.doc_id for r in quality.judge(spark, docs, labels, columns=["doc_id"]).collect() if r.keep}
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
+
+
+def test_giant_documents_leave_room_for_the_others(spark, monkeypatch):
+    assert toxicity._fitting([3, 100, 4, 2, 1], 8) == [0, 2, 4] and toxicity._fitting([90, 70], 8) == [1] and toxicity._fitting([], 8) == []
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50_000)
+    rows, labels = toxic_rows(200)
+    giants = [(7000 + i, f"vile {'wort7 ' * 20_000}", "en", "s", 1, 0.0, "") for i in range(4)]
+    docs = spark.createDataFrame(rows + giants, DOCS)
+    texts, y, _ = toxicity.sample(docs, spark.createDataFrame(labels + [(r[0], 1, 1) for r in giants], LABELS))
+    assert max(map(len, texts)) < 50_000 and y.sum() == 50 and len(y) - y.sum() > 100
+
+
+def by_numpy(rows, model):
+    """Scores of op1 from its formulas, a row at a time."""
+    z = np.array([model.logits(np.array([quality.features(r["text"])]))[0] for r in rows])
+    p = 1 / (1 + np.exp(-z))
+    host, path = [str(r["source"]) for r in rows], [(str(r["source"]), str(r["lang"])) for r in rows]
+    total = lambda keys: {k: (sum(1 for x in keys if x == k), sum(v for x, v in zip(keys, p, strict=True) if x == k)) for k in set(keys)}
+    hosts, paths = total(host), total(path)
+    base = p.sum() / len(p)
+
+    def strength(groups, above):
+        spread = sum(n * (g / n - above(k)) ** 2 - above(k) * (1 - above(k)) for k, (n, g) in groups.items()) / max(sum(n for n, _ in groups.values()) - len(groups), 1)
+        level = sum(n * above(k) * (1 - above(k)) for k, (n, _) in groups.items()) / sum(n for n, _ in groups.values())
+        return min(max(level / max(spread, 1e-9) - 1, quality.LEAST_PRIOR), quality.MOST_PRIOR)
+
+    k = strength(hosts, lambda _: base)
+    host_rate = {h: (k * base + g) / (k + n) for h, (n, g) in hosts.items()}
+    k = strength(paths, lambda s: host_rate[s[0]])
+    path_rate = {s: (k * host_rate[s[0]] + g) / (k + n) for s, (n, g) in paths.items()}
+    logit = lambda q: np.log(np.clip(q, 1e-4, 1 - 1e-4) / (1 - np.clip(q, 1e-4, 1 - 1e-4)))
+    return [(z[i], host_rate[host[i]], path_rate[path[i]], 1 / (1 + np.exp(-(z[i] + logit(path_rate[path[i]]) - logit(base))))) for i in range(len(rows))]
+
+
+def test_op1_against_its_formulas(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, 0), (1, "", "xx", None, 0), (1, "Some short text.", None, "one", 0)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs.select(*odd.columns).unionAll(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.collect()
+    want = sorted((str(r["doc_id"]), *(round(float(v), 6) for v in x), bool(x[3] >= quality.KEEP_FROM)) for r, x in zip(rows, by_numpy(rows, quality.train(docs, labels)), strict=True))
+    got = sorted((str(r.doc_id), *(round(v, 6) for v in (r.doc_logit, r.host_rate, r.path_rate, r.score)), r.keep) for r in op1_quality(spark, str(tmp_path)).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[1:5] == pytest.approx(b[1:5], abs=3e-6) and a[5] == b[5]
+
+
+def test_op1_on_labels_that_were_not_learnt(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.judge(spark, docs, labels.where("doc_id % 2 = 0"), columns=["doc_id"]).collect()
+    truth = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    good, bad = [[r.keep for r in rows if truth.get(r.doc_id) == y] for y in (1, 0)]
+    assert len(good) > 100 and len(bad) > 30 and sum(good) >= 0.98 * len(good) and sum(bad) <= 0.12 * len(bad)
+
+
+def test_keep_good_judges_null_and_repeated_ids_by_row(spark):
+    text = "This is a plain sentence of ordinary words. And here is another one, somewhat longer than it."
+    docs = spark.createDataFrame([(None, text, "en", "s"), (1, text, "en", "s"), (1, text, "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], LABELS)
+    assert quality.keep_good(spark, docs, labels).where("text is not null").count() == 3
