@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Rules become one expression, so their number is bounded.
-MAX_RULES = 1000
+#: So many rules become one expression; more are joined by the suffixes of hosts.
+EXPRESSION_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -37,16 +37,30 @@ def address(url: Column) -> Column:
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(size, rule, verdict) of the longest rule that fits, null if none does. A rule (verdict, host, path) fits its
-    host and all its subdomains if the path begins with its own; ties go to the rule that is first by code point."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    host and all its subdomains if the path begins with its own; ties go to the rule that is first by code point, and of equal ones to allow."""
     best = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(c) for c in r[1] + r[2]])):
+    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(c) for c in r[1] + r[2]], r[0] == "allow")):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         best = F.when(fits, F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
     return best
 
 
+def with_rule(tmp: shared.Scratch, df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """df (host, path, ...) with rule and own, the longest rule's verdict. Long lists of rules are joined by host: each
+    distinct host and path meets the rules of its own host's suffixes only."""
+    if len(rules) <= EXPRESSION_RULES:
+        best = df.withColumn("best", longest_rule(F.col("host"), F.col("path"), rules))
+    else:
+        names = F.split("host", r"\.")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+        table = tmp.spark.createDataFrame(list({(h, p, -len(h + p), h + p, verdict) for verdict, h, p in rules}), "suffix string, begin string, size int, rule string, verdict string")
+        sites = tmp.cut(df.select("host", "path").distinct(), "sites")
+        met = sites.withColumn("suffix", F.explode(suffixes)).join(shared.small(table, len(rules)), "suffix").where(F.col("path").startswith(F.col("begin")))
+        met = tmp.cut(met.groupBy("host", "path").agg(F.min(F.struct("size", "rule", "verdict")).alias("best")), "met")
+        best = df.join(shared.small(met), ["host", "path"], "left")
+    return best.withColumns({"rule": F.col("best.rule"), "own": F.col("best.verdict")}).drop("best")
+
+
 def _undotted(path: Column) -> Column:
     """A path that begins with / without its . and .. segments."""
     empty = F.array().cast("array<string>")
@@ -83,8 +97,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
     redirects (columns url and target), all canonical links and refreshes of the pages, relative ones resolved. A component that
     holds an address that a rule allows is allowed; else one that holds a blocked address is blocked; else it is
     allowed. Addresses that are only pointed to count too. Defined results: a null url, or one without ://, has empty
-    host and path, no rule and no component, and is allowed; null html has no links; repeated rows are judged alike;
-    empty tables give empty results; other columns are ignored.
+    host and path, no rule and no component, and is allowed; null html has no links; repeated rows are judged alike; of
+    repeated rules with different verdicts the allowing one counts; empty tables give empty results; other columns are ignored.
     """
     tmp = shared.Scratch(spark, "url-filter")
     links = _links(pages.select("url", "html"))
@@ -94,8 +108,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
 
     def judged(df: DataFrame) -> DataFrame:
         df = df.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "node": address(F.col("url"))})
-        best = longest_rule(F.col("host"), F.col("path"), rules)
-        return df.withColumn("best", best).withColumns({"rule": F.col("best.rule"), "own": F.col("best.verdict")}).drop("best")
+        return with_rule(tmp, df, rules)
 
     labels = shared.components(tmp, links.select(address(F.col("url")).alias("a"), address(F.col("to")).alias("b")))
     labels = shared.small(labels)

@@ -140,3 +140,20 @@ def test_op7_empty_and_all_null(spark, tmp_path):
     assert op7_mixing(spark, f"{tmp_path}/a").count() == 0
     spark.createDataFrame([(None, None, None)], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert op7_mixing(spark, f"{tmp_path}/b").collect() == [(None, 0, 0, 0.0, 0)]
+
+
+def test_long_lists_of_rules_are_joined(spark, monkeypatch):
+    rng = random.Random(4)
+    part = lambda: rng.choice(["a", "b", "example", "x-y", "com"])
+    rules = [(rng.choice(["allow", "block"]), ".".join(part() for _ in range(rng.randint(1, 3))), "/" + rng.choice(["", "a/", "en/", "en/b"])) for _ in range(120)]
+    pages = [(i, f"http://{'.'.join(part() for _ in range(rng.randint(1, 4)))}/{rng.choice(['', 'a/', 'en/', 'en/b/c', 'z'])}", None) for i in range(400)] + [(900, None, None), (901, "no address", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    answer = lambda: sorted(map(tuple, url_filter.judge(spark, df, rules).select("page_id", "host", "path", "rule", "verdict").collect()))
+    want = answer()
+    assert {r[4] for r in want} == {"allow", "block"} and len(want) == len(pages)
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 3)
+    assert answer() == want
+    monkeypatch.undo()
+    rules = [(f"{v}", f"h{k}.net", "/") for k in range(3000) for v in ("block", "allow") if v == "block" or k % 2]
+    df = spark.createDataFrame([(k, f"https://www.H{k}.net/p", None) for k in (0, 1, 2999, 3000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter.judge(spark, df, rules).collect()) == [(0, "block", "h0.net/"), (1, "allow", "h1.net/"), (2999, "allow", "h2999.net/"), (3000, "allow", None)]
