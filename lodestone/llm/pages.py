@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from . import boosting, page_samples, shared
 
 #: Generated pages that the trees are fitted on.
-SAMPLE_PAGES = 1000
-SLICE = 200
+SAMPLE_PAGES = 1500
+#: Pages that are read at a time, and nodes whose features are held at a time (or those of one page).
+SLICE, NODES = 200, 100_000
 
 # Kinds of HTML elements, and words in class, id and role that hint at what an element is for.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "object", "audio", "video", "canvas", "select", "button", "textarea", "input", "map", "math"}
+SILENT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "audio", "video", "canvas", "select", "button", "textarea", "input", "map", "annotation", "annotation-xml"}
 IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "script", "style", "noscript", "noframes", "template"}
 ENDS_SELECT = {"input", "textarea", "select", "caption", "table", "tbody", "tfoot", "thead", "tr", "td", "th"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "object", "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mstyle", "mspace", "mpadded", "mfenced", "menclose", "mtable", "mtr", "mtd", "annotation", "annotation-xml"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody"}}
 HOLDS = {"ul", "ol", "dl", "table", "select", "menu"}
@@ -56,6 +57,8 @@ class Dom(HTMLParser):
         self.depth, self.links = [0], [0]
         self.runs: list[tuple[int, list[str]]] = []
         self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that holds their text
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag, and those of what isn't inline
+        self.blocks: list[int] = [0]
         self.silent, self.link, self.fresh = 0, 0, True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -73,16 +76,14 @@ class Dom(HTMLParser):
                 self.fresh = True
             return
         if tag in CLOSES_P:
-            self._close({"p"}, HOLDS | {"td", "th", "div", "article", "section", "body", "li"})
+            self._close({"p"}, HOLDS | SILENT | {"td", "th", "div", "article", "section", "body", "li"})
         if tag in SAME:
-            self._close(SAME[tag], HOLDS - {"table"} if tag in ("li", "dt", "dd") else {"table"})
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack):
+            self._close(SAME[tag], SILENT - {"select"} | (HOLDS - {"table"} if tag in ("li", "dt", "dd") else {"table"}))
+        if tag in ("html", "body") and self.open.get(tag):
             return
         if tag in SILENT or self.silent:
-            self.stack.append((tag, self.stack[-1][1]))
+            self._push(tag, self.stack[-1][1])
             self.silent += tag in SILENT
-            if tag not in INLINE:
-                self.fresh = True
             return
         words, hidden, mark = [], False, None
         for name, value in attrs:
@@ -94,8 +95,9 @@ class Dom(HTMLParser):
                 mark = value
         hints = tuple({_HINT[w] for w in words if w in _HINT})
         self.link += tag == "a"
-        if tag in INLINE and not (hints and tag != "a") and not hidden:
-            self.stack.append((tag, self.stack[-1][1]))
+        apart = "skip" in words if tag == "a" else bool(hints)
+        if tag in INLINE and not apart and not hidden:
+            self._push(tag, self.stack[-1][1])
             return
         up = self.stack[-1][1]
         self.tag.append(tag)
@@ -105,28 +107,36 @@ class Dom(HTMLParser):
         self.mark.append(mark)
         self.depth.append(self.depth[up] + 1)
         self.links.append(0)
-        self.stack.append((tag, len(self.tag) - 1))
+        self._push(tag, len(self.tag) - 1)
         self.fresh = True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do: only void elements close themselves
 
+    def _push(self, tag: str, node: int) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
     def _pop(self) -> None:
         tag, _ = self.stack.pop()
+        self.open[tag].pop()
         self.silent -= tag in SILENT and self.silent > 0
         self.link -= tag == "a" and self.link > 0
         if tag not in INLINE:
-            self.fresh = True
+            self.blocks.pop()
+            self.fresh |= tag not in SILENT and not self.silent  # a script or picture amid a text doesn't part it
+
+    def _last(self, tags: set[str]) -> int:
+        """Place of the innermost open element of tags, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         """Closes the nearest of tags, unless one of until is open within it."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] in tags:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if self.stack[k][0] in until:
-                return
+        if (k := self._last(tags)) and k > self._last(until - tags):
+            while len(self.stack) > k:
+                self._pop()
 
     def _end_head(self) -> None:
         """What can't be in a head ends one whose end tag is left out."""
@@ -136,13 +146,11 @@ class Dom(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body"):
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return
+        # an inline end tag closes nothing beyond the block it stands in
+        k = self._last({tag})
+        if k and (tag not in INLINE or k > self.blocks[-1]):
+            while len(self.stack) > k:
+                self._pop()
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -251,15 +259,24 @@ def decode(dom: Dom, logits: np.ndarray) -> list[bool]:
 
 
 def main_texts(htmls: list[str | None], trees: boosting.Boosted) -> list[str]:
-    doms = [parse(h) for h in htmls]
-    rows = [features(d) for d in doms]
-    if not rows:
-        return []
-    logits = np.split(trees.logits(np.concatenate([x for x, _ in rows])), np.cumsum([len(x) for x, _ in rows])[:-1])
-    out = []
-    for dom, (_, blocks), z in zip(doms, rows, logits, strict=True):
-        kept = decode(dom, z)
-        out.append("\n\n".join(text for node, text in blocks if kept[node]))
+    out, waiting, nodes = [], [], 0
+
+    def judge() -> None:
+        if waiting:
+            logits = np.split(trees.logits(np.concatenate([x for _, x, _ in waiting])), np.cumsum([len(x) for _, x, _ in waiting])[:-1])
+            for (dom, _, blocks), z in zip(waiting, logits, strict=True):
+                kept = decode(dom, z)
+                out.append("\n\n".join(text for node, text in blocks if kept[node]))
+            waiting.clear()
+
+    for html in htmls:
+        dom = parse(html)
+        if nodes + len(dom.tag) > NODES:
+            judge()
+            nodes = 0
+        waiting.append((dom, *features(dom)))
+        nodes += len(dom.tag)
+    judge()
     return out
 
 
@@ -278,8 +295,7 @@ def extract(spark: SparkSession, pages: DataFrame, html_col: str = "html", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("pages"):
             for batch in batches:
-                for at in range(0, len(batch), SLICE):
-                    part = batch.slice(at, SLICE)
+                for part in shared.parts(batch, html_col, SLICE):
                     texts = main_texts(part.column(html_col).to_pylist(), trees.value)
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, text_col, chars_col])
 

@@ -112,3 +112,79 @@ def test_odd_rows(spark):
     assert len(found) == len(rows) and found[1, None] == found[2, ""] == ""
     assert found[4, rows[3][1]] == ("word " * 50000).strip()
     assert pages.extract(spark, spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_formulas_and_fallbacks_are_text(trees):
+    first = "First of the paragraphs, with some words in it, and here <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>no</annotation></math> stands for a number."
+    page = f"<article><h1>A headline of words</h1><p>{first}</p><p>The last one, <object data='a.swf'>a film of it</object> is somewhat longer than the others are.</p></article>"
+    want = "A headline of words\n\nFirst of the paragraphs, with some words in it, and here x=2 stands for a number.\n\nThe last one, a film of it is somewhat longer than the others are."
+    assert pages.main_texts([page], trees) == [want]
+
+
+def test_silent_elements_amid_a_paragraph_do_not_part_it(trees):
+    page = "<article><h1>A headline of words</h1><p>First of the paragraphs<script>var x = 1;</script>, with a <svg><text>no</text></svg> picture<noscript><p>no</p></noscript> in it.</p><p>The last one, which is somewhat longer than the others are.</p></article>"
+    want = "A headline of words\n\nFirst of the paragraphs, with a picture in it.\n\nThe last one, which is somewhat longer than the others are."
+    assert pages.main_texts([page], trees) == [want]
+
+
+@pytest.mark.parametrize("start, end", [("<b>", "</i>"), ("<i><p>", ""), ("<i>", "<p></b>"), ("<b>", "</b></i>"), ("<li>", "</p>"), ("<p><b>", "</a>")])
+def test_broken_pages_take_linear_time(start, end):
+    import time
+
+    def seconds(n):
+        page = "<i><div>" + start * n + end * n
+        at = time.process_time()
+        pages.parse(page)
+        return time.process_time() - at
+
+    seconds(2000)
+    assert seconds(32_000) < 5 * max(seconds(8000), 0.05)
+
+
+def test_slices_by_nodes_change_nothing(trees, monkeypatch):
+    some = [*page_samples.pages(12, seed=9), None, "", "<p>a</p>"]
+    want = pages.main_texts(some, trees)
+    monkeypatch.setattr(pages, "NODES", 40)
+    assert pages.main_texts(some, trees) == want
+
+
+# Pages written by hand, shaped as common publishing systems shape them; what is kept of each stands after it.
+BY_HAND = [
+    (
+        """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Tide tables - The Harbour Blog</title><link rel="stylesheet" href="s.css"></head>
+<body class="post-template-default single single-post postid-12"><div id="page" class="site"><a class="skip-link" href="#content">Skip to content</a>
+<header id="masthead" class="site-header"><p class="site-title"><a href="/">The Harbour Blog</a></p><nav id="site-navigation"><ul class="menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li><li><a href="/contact">Contact</a></li></ul></nav></header>
+<div id="content" class="site-content"><main id="main"><article id="post-12" class="post hentry"><div class="entry-content"><p>Tide tables are printed a year ahead, because the pull of moon and sun can be worked out long before it is felt.</p>
+<p>What they cannot tell is the wind, which may hold the water back for hours &mdash; or push it over the quay.</p><h2>Reading a table</h2><p>Each day has two high waters and two low ones, most of the time.</p></div></article>
+<div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><p>Thanks, this helped me a lot with my boat.</p></li><li class="comment"><p>Mine says three?</p></li></ol></div></main>
+<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/1">Knots</a></li><li><a href="/2">Ropes</a></li></ul></section></aside></div>
+<footer id="colophon" class="site-footer"><div class="site-info">Proudly powered by a publishing system</div></footer></div></body></html>""",
+        ["Tide tables are printed", "What they cannot tell", "Each day has two high"], ["Skip to", "Contact", "Thanks, this", "Knots", "Proudly", "Mine says"],
+    ),
+    (
+        """<html><body><table width="100%"><tr><td colspan="2" class="banner"><a href="/">City Archive</a></td></tr><tr><td class="sidebar" width="150"><a href="/a">Maps</a><br><a href="/b">Letters</a><br><a href="/c">Photographs</a></td>
+<td class="content"><p>The oldest letter in the archive was written by a miller who complained about the price of grain and the state of the bridge.</p><p>He asked the council to mend it before the winter, and promised two sacks of flour for the workmen.</p>
+<blockquote>It shakes so that the horse will not go over it.</blockquote><p>The bridge was mended in the spring, as the accounts of that year show.</p></td></tr><tr><td colspan="2" class="footer">Copyright City Archive. All rights reserved.</td></tr></table></body></html>""",
+        ["The oldest letter", "He asked the council", "It shakes so", "The bridge was mended"], ["Photographs", "Copyright"],
+    ),
+    (
+        """<body><div class="cookie-banner" role="dialog"><p>We value your privacy. Accept all cookies?</p><button>Accept</button></div><div class="navbar"><a href="/">News</a><a href="/s">Sport</a><a href="/w">Weather</a></div>
+<div class="story"><div class="share-buttons"><a href="#">Tweet</a><a href="#">Share</a></div><p>A heron has built its nest on the roof of the town library, and the reading room below has been closed until the young have flown.</p><div class="ad-slot">Advertisement: new shoes, half price</div>
+<p>The librarian said that readers were welcome to use the hall in the meantime.</p><ul><li>Books may be returned at the side door.</li><li>The hall is open from nine to five.</li></ul></div>
+<div class="related-articles"><h3>More like this</h3><a href="/x">Owls in the tower</a><a href="/y">Swans on the pond</a></div><div class="newsletter-signup"><form><label>Your mail</label><input><button>Subscribe</button></form></div></body>""",
+        ["A heron has built", "The librarian said", "Books may be returned", "The hall is open"], ["We value", "Weather", "Tweet", "half price", "Owls", "Your mail", "Subscribe"],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, kept, gone", BY_HAND)
+def test_pages_written_by_hand(trees, page, kept, gone):
+    text = pages.main_texts([page], trees)[0]
+    assert all(k in text for k in kept), text
+    assert not [g for g in gone if g in text], text
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "<article><p>Some words that make a sentence, and more.</p></article>", "old", "x", 5)], "page_id long, html string, text string, n_chars string, url int")
+    got = pages.extract(spark, df)
+    assert got.columns == ["page_id", "html", "url", "text", "n_chars"] and got.first().n_chars == len(got.first().text) > 0
