@@ -22,6 +22,8 @@ COORDINATES, MISS = 256, 2.6e-4
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1_000_000
 #: The size class of ids that have texts of several sizes; sizes of other classes that differ by more than one make no link.
 ANY_SIZE = -1
+#: Stands for no part, where ids of documents name the others.
+NO_PART = -(1 << 63)
 #: Columns of the dense 0/1 matrices that count intersections.
 COLUMNS = 8192
 
@@ -115,40 +117,54 @@ def _verify(percent: int):
     return verify
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, part, head, size_class, n_shingles) with block: those of one part, head and size class, by a hash of their ids,
+    about BLOCK_DOCS documents and BLOCK_SHINGLES shingles to a block."""
+    by = ["part", "head", "size_class"]
+    salts = docs.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("salts"))
+    return docs.join(salts, by).withColumn("block", F.xxhash64(*by, F.pmod(F.xxhash64("doc_id"), "salts"))).drop("salts")
+
+
 def dealt(tmp: shared.Scratch, keys: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, size_class, head, block): blocks of documents that are likely to be alike, from keys (doc_id, key, n_shingles),
-    the buckets of large candidate groups. A document's head is, of all that share a bucket with it, the one that meets
-    most others, as the original of many copies does. Documents of one head and of sizes that may be linked form blocks
-    of about BLOCK_DOCS documents and BLOCK_SHINGLES shingles."""
-    met = tmp.cut(keys.groupBy("key").agg(F.count("*").alias("met")), "met")
-    often = tmp.cut(keys.join(shared.small(met), "key").groupBy("doc_id").agg(F.sum("met").alias("often")), "often")
-    ranked = keys.join(shared.small(often), "doc_id").select("doc_id", "key", F.struct("often", (-F.col("doc_id")).alias("id")).alias("rank"))
-    tops = tmp.cut(ranked.groupBy("key").agg(F.max("rank").alias("rank")), "tops")
+    """(doc_id, part, head, size_class, n_shingles, block): blocks of documents that are likely to be alike, from keys (doc_id, key,
+    n_shingles), the buckets of large candidate groups. A document's head is, of all that share a bucket with it, the
+    one that meets most others, as the original of many copies does; where few have that head, it is the head's own.
+    Documents of one head and of sizes that may be linked form blocks."""
+    met = keys.groupBy("key").agg(F.count("*").alias("met"))
+    often = keys.join(met, "key").groupBy("doc_id").agg(F.sum("met").alias("often"))
+    ranked = keys.join(often, "doc_id").select("doc_id", "key", F.struct("often", (-F.col("doc_id")).alias("id")).alias("rank"))
+    tops = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
     n = F.col("n_shingles")
-    heads = keys.join(shared.small(tops, width=64), "key").groupBy("doc_id").agg(F.max(n).alias("n_shingles"), (F.min(n) < F.max(n)).alias("several"), (-F.max("rank")["id"]).alias("head"))
+    heads = keys.join(tops, "key").groupBy("doc_id").agg(F.max(n).alias("n_shingles"), (F.min(n) < F.max(n)).alias("several"), (-F.max("rank")["id"]).alias("head"))
     step = math.log(100 / min(max(percent, 1), 99)) * (1 + 1e-9)
     size_class = F.when(F.col("several"), ANY_SIZE).otherwise(F.floor(F.log(n.cast("double")) / step)).cast("long")
-    heads = tmp.cut(heads.withColumn("size_class", size_class), "doc-heads")
-    salts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
-    salts = tmp.cut(heads.groupBy("head", "size_class").agg(salts.alias("salts")), "salts")
-    salt = F.pmod(F.xxhash64("doc_id"), "salts")
-    placed = heads.join(shared.small(salts), ["head", "size_class"]).withColumn("block", F.xxhash64("head", "size_class", salt))
-    return tmp.cut(placed.select("doc_id", "size_class", "head", "block"), "placed")
+    heads = tmp.cut(heads.select("doc_id", F.lit(NO_PART).alias("part"), "head", size_class.alias("size_class"), "n_shingles"), "heads")
+    for _ in range(2):
+        up = heads.select(F.col("doc_id").alias("head"), F.col("head").alias("up"))
+        held = heads.groupBy("head").agg(F.count("*").alias("held")).join(up, "head")
+        above = F.when(F.col("held") < BLOCK_DOCS, F.col("up")).otherwise(F.col("head"))
+        heads = heads.join(held, "head").select("doc_id", "part", above.alias("head"), "size_class", "n_shingles")
+    return tmp.cut(_blocks(heads), "placed")
 
 
 def crossing(tmp: shared.Scratch, keys: DataFrame, placed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is to be compared once documents have labels (node, component) from the links within their blocks: pairs of
-    blocks (i, j) that share a bucket, and the documents (doc_id, block) of such buckets. Left out are buckets whose
-    documents are all linked already, pairs of blocks of which that is true, and pairs whose sizes differ too much."""
-    named = keys.join(shared.small(placed.select("doc_id", "size_class", "block")), "doc_id").join(shared.small(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
-    named = tmp.cut(named.select("doc_id", "key", "size_class", "block", F.coalesce("component", "doc_id").alias("label")), "named")
-    open_ = tmp.cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
-    named = tmp.cut(named.join(shared.small(open_), "key", "left_semi"), "unsettled")
-    sides = tmp.cut(named.groupBy("key", "size_class", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "sides")
+    """What is to be compared once documents have labels (node, component) from the links within their blocks. The documents
+    are dealt to blocks again, those of a label that many have apart from the rest: pairs of blocks (i, j), or one block with itself,
+    that share a bucket, and the documents (doc_id, block) of such buckets. Left out are buckets and pairs of blocks
+    whose documents are all linked already, and pairs whose sizes differ too much."""
+    named = placed.drop("block").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    named = tmp.cut(named.drop("component"), "labelled")
+    many = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK_DOCS).select("label", F.col("label").alias("many"))
+    blocks = _blocks(named.join(many, "label", "left").withColumn("part", F.coalesce("many", "part")).drop("many"))
+    named = keys.select("doc_id", "key").distinct().join(blocks.select("doc_id", "size_class", "block", "label"), "doc_id")
+    named = tmp.cut(named, "named")
+    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    named = tmp.cut(named.join(open_, "key", "left_semi"), "unsettled")
+    sides = named.groupBy("key", "size_class", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     left, right = (sides.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("size_class", "block", "lo", "hi"))) for k in "ij")
     alike = (F.abs(F.col("size_class_i") - F.col("size_class_j")) <= 1) | (F.least("size_class_i", "size_class_j") == ANY_SIZE)
     settled = (F.col("lo_i") == F.col("hi_i")) & (F.col("lo_i") == F.col("lo_j")) & (F.col("lo_j") == F.col("hi_j"))
-    pairs = left.join(right, "key").where((F.col("block_i") < F.col("block_j")) & alike & ~settled)
+    pairs = left.join(right, "key").where((F.col("block_i") <= F.col("block_j")) & alike & ~settled)
     pairs = tmp.cut(pairs.select(F.col("block_i").alias("i"), F.col("block_j").alias("j")).distinct(), "pairs")
     return pairs, named.select("doc_id", "block").distinct()
 
@@ -161,12 +177,12 @@ def _large_links(tmp: shared.Scratch, keys: DataFrame, docs: DataFrame, percent:
     sets = tmp.cut(texts.mapInArrow(_sets_of(), "doc_id long, shingles binary"), "sets")
     here = F.lit(0).cast("long").alias("side")
     own = placed.select("doc_id", "block").unionAll(placed.select(F.col("head").alias("doc_id"), "block")).distinct()
-    own = sets.join(shared.small(own), "doc_id").select("doc_id", F.col("block").alias("of"), here, "shingles")
+    own = sets.join(own, "doc_id").select("doc_id", F.col("block").alias("of"), here, "shingles")
     links = tmp.cut(own.groupBy("of").applyInArrow(_verify(percent), "a long, b long"), "links-within")
     pairs, members = crossing(tmp, keys, placed, shared.components(tmp, links))
     members = sets.join(members, "doc_id")
     pairs = pairs.withColumn("of", F.xxhash64("i", "j"))
-    sides = pairs.select("of", F.col("i").alias("block"), here).unionAll(pairs.select("of", F.col("j").alias("block"), F.lit(1).cast("long")))
+    sides = pairs.select("of", F.col("i").alias("block"), here).unionAll(pairs.where("i < j").select("of", F.col("j").alias("block"), F.lit(1).cast("long")))
     both = members.join(sides, "block").select("doc_id", "of", "side", "shingles")
     return [links, tmp.cut(both.groupBy("of").applyInArrow(_verify(percent), "a long, b long"), "links-across")]
 

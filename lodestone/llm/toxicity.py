@@ -25,8 +25,8 @@ CALIBRATE = 4
 BUCKETS, PREFIXES = 1 << 18, (3, 4, 5, 6)
 #: A feature marks toxic words if toxic documents hold it surely (one and a half standard errors) so many times as often.
 MARKED = 4.0
-#: Steps of the optimiser, and length of the blocks in which chains are scanned.
-STEPS, BLOCK = 60, 128
+#: Steps of the optimiser, tokens of whole documents that it works on at a time, and length of the blocks in which chains are scanned.
+STEPS, TOKENS, BLOCK = 60, 200_000, 128
 #: Tokens of this marginal belong to a span.
 SPAN = 0.5
 #: Documents scored at a time; words a worker keeps, and the longest that it keeps.
@@ -209,19 +209,27 @@ def _optimise(model: Model, at: np.ndarray, codes: np.ndarray, begins: np.ndarra
     inside = ~begins
     seen = np.array([[((before == i) & (label == j) & inside).sum() for j in (0, 1)] for i in (0, 1)], np.float64)
     size = np.bincount(codes, minlength=len(at)).astype(np.float64)
+    starts = np.append(np.flatnonzero(begins), len(label))
+    cuts = [0]
+    for start in starts.tolist():
+        if start - cuts[-1] >= TOKENS or start == len(label):
+            cuts.append(start)
     for _ in range(STEPS):
-        chain = Chain(np.exp(step), np.exp(first))
-        emit = _emit(model.weights[at].sum(axis=1)[codes] + model.bias)
-        f0, f1, b0, b1 = chain.messages(emit, begins)
-        p = f1 * b1 / (f0 * b0 + f1 * b1)
-        word = np.bincount(codes, label - p, minlength=len(at))
+        chain, score = Chain(np.exp(step), np.exp(first)), model.weights[at].sum(axis=1) + model.bias
+        word, expected = np.zeros(len(at)), np.zeros((2, 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            emit = _emit(score[codes[lo:hi]])
+            f0, f1, b0, b1 = chain.messages(emit, begins[lo:hi])
+            p = f1 * b1 / (f0 * b0 + f1 * b1)
+            word += np.bincount(codes[lo:hi], label[lo:hi] - p, minlength=len(at))
+            g0, g1 = np.concatenate([[1.0], f0[:-1]]), np.concatenate([[1.0], f1[:-1]])
+            joint = [[g0 * chain.step[0, 0] * b0, g0 * chain.step[0, 1] * emit * b1], [g1 * chain.step[1, 0] * b0, g1 * chain.step[1, 1] * emit * b1]]
+            total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+            expected += np.array([[(joint[i][j] / total)[inside[lo:hi]].sum() for j in (0, 1)] for i in (0, 1)])
         gradient = np.bincount(at.ravel(), np.repeat(word, at.shape[1]), minlength=BUCKETS) - 0.05 * model.weights
         squares += gradient * gradient
         model.weights += 0.7 * gradient / np.sqrt(squares)
-        g0, g1 = np.concatenate([[1.0], f0[:-1]]), np.concatenate([[1.0], f1[:-1]])
-        joint = [[g0 * chain.step[0, 0] * b0, g0 * chain.step[0, 1] * emit * b1], [g1 * chain.step[1, 0] * b0, g1 * chain.step[1, 1] * emit * b1]]
-        total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        gradient = seen - np.array([[(joint[i][j] / total)[inside].sum() for j in (0, 1)] for i in (0, 1)]) - 0.1 * step
+        gradient = seen - expected - 0.1 * step
         step_squares += gradient * gradient
         step += 0.2 * gradient / np.sqrt(step_squares)
     model.chain = Chain(np.exp(step), np.exp(first))
@@ -259,7 +267,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[li
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    return fit(*sample(docs, labels, label))
+    with shared.worker("toxicity-fit"):  # lets go of what fitting took on the driver
+        return fit(*sample(docs, labels, label))
 
 
 def _offsets(text: str, marginals: np.ndarray) -> list[dict[str, int]]:
