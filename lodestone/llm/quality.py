@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import operator
 from collections.abc import Iterator
 
@@ -152,7 +153,10 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """docs, with exactly its columns, without the rejected documents. Every row is judged by itself, those with null or
     repeated ids too; an empty table gives an empty result."""
-    names = {c: f"__col{i}" for i, c in enumerate(docs.columns) if c in ("doc_logit", "host_rate", "path_rate", "score", "keep")}
-    inside = docs.withColumnsRenamed(names)
-    out = judge(spark, inside, labels, host_col, path_col).where("keep")
-    return out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    # what is decided hangs on text, host and path alone, so narrow rows are judged and the rejected ones taken out
+    tmp, text = shared.Scratch(spark, "keep-good"), F.col("text")
+    key = {"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text), "__h": F.col(host_col), "__p": F.col(path_col)}
+    given = docs.select("doc_id", "text", *(c.alias(n) for n, c in key.items()))
+    gone = judge(spark, given, labels, "__h", "__p", columns=list(key)).where("not keep").select(*key).distinct()
+    gone = shared.small(tmp.cut(gone, "gone"))
+    return docs.join(gone, functools.reduce(operator.and_, [c.eqNullSafe(gone[n]) for n, c in key.items()]), "left_anti")

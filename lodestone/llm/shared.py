@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its rows have been counted and take no more bytes than this.
 BROADCAST_BYTES = 24 << 20
 #: Bytes of text that a Python worker works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

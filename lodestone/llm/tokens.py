@@ -30,6 +30,8 @@ from . import shared
 WORD_PIECES, BYTE_PIECES, CACHE_CHARS = 600_000, 300_000, 64
 #: Documents that are encoded at a time, by words and by bytes; the latter become a Python string for each piece.
 SLICE, BYTE_SLICE = 2500, 400
+#: Bytes of text that are encoded by words at a time; by bytes it is shared.SLICE_BYTES.
+SLICE_BYTES = 8 << 20
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -283,8 +285,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
 
     doc_id null comes first; rows with one doc_id are ordered by their text; a null text counts as empty. An empty
     table makes a folder without rows. The texts are dealt by ranges of doc_id before they are encoded, so each task
-    encodes and writes one range and holds the ids of a slice at a time: at most SLICE documents and shared.SLICE_BYTES of
-    text, or one longer document.
+    encodes and writes one range and holds the ids of a slice at a time: at most SLICE documents and SLICE_BYTES of text,
+    or one longer document.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -292,7 +294,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
         row = 0
         with shared.worker("word_bpe", _words.cache_clear):
             for batch in batches:
-                for part in shared.parts(batch, "text", SLICE):
+                for part in shared.parts(batch, "text", SLICE, SLICE_BYTES):
                     ids = [np.append(x, np.uint32(end_id)) for x in word_ids(part.column("text"), vocabulary)]
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))

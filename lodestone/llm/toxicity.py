@@ -29,8 +29,8 @@ MARKED = 4.0
 STEPS, TOKENS, BLOCK = 60, 200_000, 128
 #: Tokens of this marginal belong to a span.
 SPAN = 0.5
-#: Documents scored at a time; words a worker keeps, and the longest that it keeps.
-SLICE, CACHE_WORDS, CACHE_CHARS = 1000, 200_000, 64
+#: Documents scored at a time, and bytes of their text; words a worker keeps, and the longest that it keeps.
+SLICE, SLICE_BYTES, CACHE_WORDS, CACHE_CHARS = 1000, 1 << 20, 200_000, 64
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’‘…"
@@ -306,7 +306,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
         m, known = shared_model.value, {}
         with shared.worker("toxicity"):
             for batch in batches:
-                for part in shared.parts(batch, text_col, SLICE):
+                for part in shared.parts(batch, text_col, SLICE, SLICE_BYTES):
                     texts = part.column(text_col)
                     marginals, n = m.tokens(texts, known)
                     out = [pa.array(m.scores(marginals, n), kinds[0])]
