@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import lineage
 
 K1, B = 1.5, 0.75
 #: Queries are broadcast if they have at most so many distinct terms.
@@ -36,14 +37,19 @@ def weight(tf: Column, length: Column, avgdl: Column, idf: Column, k1: float = K
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl)) * idf
 
 
-def index(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """Postings (term, id, tf, weight); with terms, only of those, which are filtered before anything is shuffled."""
-    tf = docs.select(F.col(id_col), tokens.alias("_t")).select(id_col, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+def index(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame | None = None, few: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    """Postings (term, id, tf, weight); with terms, only of those, which are filtered before anything is shuffled. Then the
+    postings are kept, so texts are split once for them and once for the mean length. few: there are few enough terms for
+    their document frequencies to be broadcast, so that postings of frequent terms stay where they are."""
+    # explode() would have the optimiser test the size of the tokens first, and so split the text once more
+    tf = docs.select(F.col(id_col), tokens.alias("_t")).select(id_col, F.size("_t").alias("length"), F.explode_outer("_t").alias("term")).where("term is not null")
     if terms is not None:
         tf = tf.join(terms, "term", "left_semi")
     tf = tf.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
-    stats = lengths(docs, tokens)  # one row
-    both = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(stats))
+    if terms is not None:
+        tf = lineage.cut(tf)
+    df = document_frequencies(tf)
+    both = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(lengths(docs, tokens)))  # lengths is one row
     return both.select("term", id_col, "tf", weight(F.col("tf"), F.col("length"), F.col("avgdl"), idf(F.col("n"), F.col("df")), k1, b).alias("weight"))
 
 
@@ -58,7 +64,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     terms = asked.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
     near = lambda df: F.broadcast(df) if few else df
-    postings = index(docs, doc_id, doc_tokens, near(terms))
+    postings = index(docs, doc_id, doc_tokens, near(terms), few)
     hits = postings.join(near(asked), "term").groupBy(query_id, doc_id).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
     hits = hits.withColumn("score", F.round("score", 6))
     if fill:

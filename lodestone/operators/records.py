@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import stats
 from .corpus import numbered
 
 BATCH = 32
@@ -30,10 +31,11 @@ def changed(planned: DataFrame, done: DataFrame, keys: list[str], columns: list[
 
 
 def batches(calls: DataFrame, stage: str, order: list[str], size: int = BATCH) -> DataFrame:
-    """calls with batch_no, batch_id and place: consecutive calls of a stage, size to a batch."""
-    nth = F.row_number().over(Window.partitionBy(stage).orderBy(*order)) - 1
-    no = F.floor(nth / size).cast("long")
-    return calls.withColumn("place", (nth % size).cast("int")).withColumn("batch_no", no).withColumn("batch_id", F.format_string("%s:%06d", F.col(stage), no))
+    """calls with batch_no, batch_id and place: consecutive calls of a stage, size to a batch. Places are taken by ranges of
+    all calls, so a stage may hold any share of them."""
+    numbered_calls = stats.numbered_within(calls, [stage], order)
+    no = F.floor(F.col("i") / size).cast("long")
+    return numbered_calls.withColumns({"place": (F.col("i") % size).cast("int"), "batch_no": no, "batch_id": F.format_string("%s:%06d", F.col(stage), no)}).drop("i", "n")
 
 
 def batch_certificates(batched: DataFrame, question: str, index: str) -> DataFrame:

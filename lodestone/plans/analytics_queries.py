@@ -235,10 +235,10 @@ SELECT role, half, n_calls, cut_rate, (SELECT max(o.n) FROM o WHERE o.role = g.r
 def cap_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a cap bites, and order statistics of lengths."""
     keys = ["role", "half"]
-    t = read(spark, sf_dir, "conversations").select("role", (F.col("turn") % 2).alias("half"), F.length("text").cast("long").alias("n"))
-    o = t.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("n")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col("n")))
-    return o.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.round(F.avg((F.col("n") >= 200).cast("int")), 9).alias("cut_rate"), at(F.floor(F.col("m") / 2)).alias("median"), at(F.floor(F.lit(0.9) * F.col("m"))).alias("p90"))
+    t = read(spark, sf_dir, "conversations").select("role", (F.col("turn") % 2).alias("half"), F.length("text").cast("long").alias("size"))
+    o = stats.numbered_within(t, keys, ["size"]).withColumnRenamed("n", "m")  # by ranges: there are few keys
+    at = lambda place: F.max(F.when(F.col("i") == place, F.col("size")))
+    return o.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.round(F.avg((F.col("size") >= 200).cast("int")), 9).alias("cut_rate"), at(F.floor(F.col("m") / 2)).alias("median"), at(F.floor(F.lit(0.9) * F.col("m"))).alias("p90"))
 
 
 @query("""

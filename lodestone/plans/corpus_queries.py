@@ -265,10 +265,10 @@ def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.gold_coverage(gold, index, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(_BM25 + "SELECT item_id, string_agg('[' || rank || '] ' || doc_id || ': ' || left(text, 60), chr(10) ORDER BY rank) AS passages FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY item_id")
+@query(_BM25 + "SELECT item_id, string_agg('[' || rank || '] ' || doc_id || ': ' || text, chr(10) ORDER BY rank) AS passages FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY item_id")
 def render_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best passages, looked up and rendered."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("body"))
+    """The best passages, looked up and rendered whole."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     return corpus.rendered(bm25.lookup(_ranked(spark, sf_dir, 5), docs, "doc_id"), "item_id", "rank", "doc_id", "body")
 
 

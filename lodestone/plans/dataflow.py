@@ -145,7 +145,7 @@ class Run:
         kind = F.when(has & F.col("out.type").isin(*outputs.TASK_TYPES), F.col("out.type")).otherwise("question-answering")
         tasks = defined.select("question_id", "question", "goal", "known", kind.alias("type"), F.when(has, F.trim("out.task")).otherwise(composed).alias("task"), F.when(has, F.col("source")).otherwise("fallback").alias("task_source"))
         follow = F.size("known") > 0 if i else F.lit(False)
-        unseen = F.filter("known", lambda a: ~text.has_phrase(text.norm(F.col("task")), text.norm(a)))
+        unseen = F.filter("known", lambda a: ~F.contains(text.norm(F.col("task")), text.norm(a)))
         query = F.when(follow, F.array_join(F.concat(F.array("task"), unseen), " | ")).otherwise(F.col("question"))
         asks = F.col("type") != "aggregate"
         tasks = lineage.cut(tasks.withColumns({"query": F.when(asks, query), "query_source": F.when(asks, F.when(follow, "grounded_step_task").otherwise("original_question_anchor"))}))

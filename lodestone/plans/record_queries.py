@@ -177,11 +177,11 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'schema_mismatch' WHEN 3 THEN 'refusal_or_offtopic' WHEN 5 THEN 'empty_output' ELSE CASE WHEN event_id % 12 = 4 THEN 'truncated' ELSE 'malformed_json' END END AS status,
-  event_id % 6 = 0 AS strict_format_ok, event_id % 6 = 0 AS protocol_ok, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL""")
+SELECT CASE WHEN value IS NULL AND event_id % 6 IN (0, 1, 4) OR props IS NULL AND event_id % 6 = 2 THEN 'empty_output' ELSE CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'schema_mismatch' WHEN 3 THEN 'refusal_or_offtopic' WHEN 5 THEN 'empty_output' ELSE CASE WHEN event_id % 12 = 4 THEN 'truncated' ELSE 'malformed_json' END END END AS status,
+  event_id % 6 = 0 AND value IS NOT NULL AS strict_format_ok, event_id % 6 = 0 AND value IS NOT NULL AS protocol_ok, count(*) AS n FROM events GROUP BY ALL""")
 def parse_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of outputs."""
-    rows = _raw(spark, sf_dir).where("raw is not null").withColumn("p", outputs.parsed("role", "raw", "hit_cap"))
+    rows = _raw(spark, sf_dir).withColumn("p", outputs.parsed("role", "raw", "hit_cap"))
     return rows.groupBy("p.status", "p.strict_format_ok", "p.protocol_ok").agg(F.count("*").alias("n"))
 
 
@@ -204,24 +204,19 @@ def json_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS = (
     corpus_queries._INDEX
     + r"""
-, x0 AS (SELECT doc_id, sent_id AS span_no, CASE sent_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, 30) ELSE text || ' and more' END AS span FROM idx WHERE sent_id < 4 AND doc_id IN (SELECT doc_id FROM labels)),
+, x0 AS (SELECT doc_id, sent_id AS span_no, CASE sent_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, 30) ELSE text || ' and more' END AS span FROM idx),
 l AS (SELECT doc_id, span_no, lower(trim(regexp_replace(span, '\s+', ' ', 'g'))) AS s FROM x0),
 r AS (SELECT doc_id, sent_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM idx)
 """
 )
 
 
-def _spans(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Spans made from sentences: whole, cut, extended; and all sentences of their documents. every: from each sentence of
-    each document; else, as _SPANS has it, from the first four of labelled documents."""
-    docs = read(spark, sf_dir, "documents")
-    if not every:
-        docs = docs.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    index = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_id", "text"))
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spans made from every sentence of every document: whole, cut, extended; and all sentences."""
+    index = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_id", "text"))
     way = F.col("sent_id") % 3
     span = F.when(way == 0, F.col("text")).when(way == 1, F.substring("text", 1, 30)).otherwise(F.concat("text", F.lit(" and more")))
-    made = (index if every else index.where("sent_id < 4")).select("doc_id", F.col("sent_id").cast("long").alias("span_no"), span.alias("span"))
-    return made, index.withColumn("sent_id", F.col("sent_id").cast("long"))
+    return index.select("doc_id", F.col("sent_id").cast("long").alias("span_no"), span.alias("span")), index.withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
 @query(_SPANS + "SELECT l.doc_id, span_no, count(*) FILTER (s = t) AS n_exact, count(*) FILTER (contains(s, t)) AS n_within, count(*) FILTER (contains(t, s)) AS n_around FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND t <> '' GROUP BY ALL")
@@ -233,7 +228,7 @@ def normalize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def normalize_spans_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all sentences mapped to sentences, with reasons and modes."""
-    made, index = _spans(spark, sf_dir, every=True)
+    made, index = _spans(spark, sf_dir)
     a = made.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "span"))), lambda x: x["span"]).alias("spans"))
     b = index.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "text"))), lambda x: x["text"]).alias("sentences"))
     m = a.join(b, "doc_id").select("doc_id", spans.mapped("spans", "sentences").alias("m"))
@@ -262,7 +257,7 @@ def attribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, p AS (SELECT DISTINCT l.doc_id, sent_id FROM l JOIN r ON r.doc_id = l.doc_id WHERE length(s) >= 25 AND (contains(t, s) OR (contains(s, t) AND length(t) >= 25))),
 g AS (SELECT doc_id, sent_id FROM r WHERE sent_id < 3),
 d AS (SELECT DISTINCT doc_id FROM r),
-c AS (SELECT d.doc_id, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id) AS np, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS ng, (SELECT count(*) FROM p JOIN g USING (doc_id, sent_id) WHERE p.doc_id = d.doc_id) AS tp FROM d WHERE doc_id IN (SELECT doc_id FROM labels))
+c AS (SELECT d.doc_id, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id) AS np, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS ng, (SELECT count(*) FROM p JOIN g USING (doc_id, sent_id) WHERE p.doc_id = d.doc_id) AS tp FROM d)
 SELECT doc_id, CASE WHEN np > 0 THEN round(tp / np, 9) ELSE 0.0 END::DOUBLE AS precision, round(tp / ng, 9) AS recall, CASE WHEN tp > 0 THEN round(2.0 * tp / (np + ng), 9) ELSE 0.0 END::DOUBLE AS f1, (np = tp AND ng = tp)::INTEGER::DOUBLE AS em FROM c"""
 )
 def evidence_prf(spark: SparkSession, sf_dir: str) -> DataFrame:

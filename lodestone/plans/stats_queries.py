@@ -117,16 +117,16 @@ def clustered_ratio_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id % 10 = 0),
-p AS (SELECT event_type, {_pick("i", "d", "n")} AS i, d FROM b CROSS JOIN range(50) t(d)),
+WITH b AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+p AS (SELECT event_type, {_pick("i", "d", "n")} AS i, d FROM b CROSS JOIN range(100) t(d)),
 m AS (SELECT d, sum(value) / (SELECT count(DISTINCT user_id) FROM events) AS v FROM p JOIN b USING (event_type, i) GROUP BY d)
 SELECT d::INTEGER AS draw, round(v, 6) AS seconds FROM m""")
 def stratified_time_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches are drawn within their stage, times summed over stages and put per question. As its SQL has it,
-    only every tenth event is a batch and there are 50 draws, so seconds is not the whole time per user."""
+    """Batches are drawn within their stage, times summed over stages and put per question; every event is a
+    batch, every user a question."""
     events = read(spark, sf_dir, "events")
     users = events.agg(F.countDistinct("user_id").alias("users"))
-    draws = stats.hashed_draws(events.where("event_id % 10 = 0"), ["event_type"], "event_id", ["value"], 50)
+    draws = stats.hashed_draws(events, ["event_type"], "event_id", ["value"], 100)
     total = draws.groupBy("draw").agg(F.sum("value").alias("v")).crossJoin(F.broadcast(users))
     return total.select("draw", F.round(F.col("v") / F.col("users"), 6).alias("seconds"))
 

@@ -79,10 +79,11 @@ def test_numbering_and_fingerprint_ignore_partitions(spark, parts):
 
 
 def test_tokens_and_mentions(spark):
-    assert one(spark, text.exact_tokens("s"), s="Xawery Żuławski ﬁn_x") == ["xawery", "żuławski", "fin", "x"]
+    assert one(spark, text.exact_tokens("s"), s="Crème BRÛLÉE, ﬂat_x ４") == ["crème", "brûlée", "flat", "x", "4"]
     said = lambda t, q: one(spark, text.title_mentioned(F.col("t"), F.col("q")), t=t, q=q)
-    assert said("Polish-Russian War (film)", "Who directed Polish-Russian War?") and not said("Xawery Zulawski", "Who directed Polish-Russian War?")
-    assert not said("(film)", "a film") and not said("art", "party")
+    asked = "In which year did The Lamplighter first come out?"
+    assert said("The Lamplighter (novel)", asked) and not said("Harbour Lights", asked)
+    assert not said("(album)", "an album") and not said("ink", "drinking")
 
 
 @pytest.mark.parametrize(("anchor", "task", "want"), [
@@ -94,12 +95,11 @@ def test_fusion(spark, anchor, task, want):
 
 
 def test_names_and_followups(spark):
-    assert fusion.names(["Paris and Xawery Zulawski met."]) == ["Xawery Zulawski", "Paris"]
-    assert "University of Texas" in fusion.names(["She attended the University of Texas."])
-    assert fusion.names(["The cat. However it", None]) == []
+    assert fusion.names(["it was Ruth van Meer who moved to Ghent", "Ghent is old"]) == ["Ruth van Meer", "Ghent"]
+    assert fusion.names(["Later they left. During it", None, ""]) == []
     follow = lambda s, q, t: one(spark, fusion.followup(fusion.candidate_names("s"), F.col("q"), F.col("t")), s=s, q=q, t=t)
-    assert follow(["Polish-Russian War is a 2009 film directed by Xawery Zulawski."], "Who?", ["Polish-Russian War"]) == "Xawery Zulawski"
-    assert follow(["Polish-Russian War is a film."], "Who?", ["Polish-Russian War"]) == ""
+    assert follow(["a lighthouse on Skerry Point, drawn by Ada Quill"], "What stands on Skerry Point?", ["Lighthouses"]) == "Ada Quill"
+    assert follow(["Quill Press printed it"], "Where?", ["Quill Press of Leith"]) == ""
 
 
 # --- outputs and spans -----------------------------------------------------------------------------------------------
@@ -268,23 +268,23 @@ class Scripted:
 
     def generate(self, role, fields):
         if role == "planner":
-            return json.dumps({"analysis": "a", "sub_questions": ["Who directed Polish-Russian War?", "Where was the director born?"]}), False
+            return json.dumps({"analysis": "a", "sub_questions": ["Which beck flows past Oldmere Castle?", "In which country does that beck end?"]}), False
         if role == "step_definer":
             step = fields["step"]
             return (json.dumps({"type": self.task_type if step == "2" else "question-answering", "task": fields["goal"]}) if self.task else "no json"), False
         if role == "extractor":
-            return json.dumps({"spans": [s.strip() + "." for s in fields["document"].split(".") if "directed" in s or "born" in s]}), False
+            return json.dumps({"spans": [s.strip() + "." for s in fields["document"].split(".") if "flows" in s or "ends" in s]}), False
         if role == "qa":
-            first = "directed" in fields["task"]
-            return json.dumps({"analysis": "a", "rating": 5} | (self.qa.get(1 if first else 2) or {"answer": "Xawery Zulawski" if first else "Warsaw", "success": "yes"})), False
+            first = "flows past" in fields["task"]
+            return json.dumps({"analysis": "a", "rating": 5} | (self.qa.get(1 if first else 2) or {"answer": "Tarn Beck" if first else "Norway", "success": "yes"})), False
         return json.dumps({"output": "Successful", "answer": fields["prior"].split("answer: ")[-1], "score": 9}), False
 
 
-PASSAGES = [(0, "Polish-Russian War is a film. It was directed by the artist Xawery Zulawski"), (1, "The director Xawery Zulawski was born in the city of Warsaw")] + [(i, f"Noise page {i} about nothing") for i in range(2, 30)]
+PASSAGES = [(0, "Oldmere Castle stands on a low hill. On its north side Tarn Beck flows past"), (1, "After forty miles Tarn Beck ends in a lake of Norway")] + [(i, f"Recipe {i} for bread") for i in range(2, 30)]
 
 
 def flow(spark, generator):
-    run = dataflow.Run(spark.createDataFrame([("q", "Where was the director of Polish-Russian War born?")], "question_id string, question string"), spark.createDataFrame(PASSAGES, "doc_id long, text string"), generator, k=3)
+    run = dataflow.Run(spark.createDataFrame([("q", "In which country does the beck at Oldmere Castle end?")], "question_id string, question string"), spark.createDataFrame(PASSAGES, "doc_id long, text string"), generator, k=3)
     plans = run.plans()
     return run, plans, run.steps(plans)
 
@@ -292,27 +292,27 @@ def flow(spark, generator):
 def test_second_step_asks_with_what_is_grounded(spark):
     run, plans, steps = flow(spark, Scripted())
     first, second = steps.orderBy("step").collect()
-    assert first.query_source == "original_question_anchor" and first.grounded and first.answer == "Xawery Zulawski"
-    assert second.query_source == "grounded_step_task" and "Xawery Zulawski" in second.query and second.answer == "Warsaw" and second.grounded
+    assert first.query_source == "original_question_anchor" and first.grounded and first.answer == "Tarn Beck"
+    assert second.query_source == "grounded_step_task" and "Tarn Beck" in second.query and second.answer == "Norway" and second.grounded
     answer = run.summaries(plans, steps).first()
-    assert (answer.parsed, answer.stop_reason) == ("Warsaw", "plan_complete")
+    assert (answer.parsed, answer.stop_reason) == ("Norway", "plan_complete")
 
 
 def test_ungrounded_answers_are_withheld(spark):
-    _, _, steps = flow(spark, Scripted(qa={1: {"answer": "Bay of Biscay", "success": "yes"}}))
+    _, _, steps = flow(spark, Scripted(qa={1: {"answer": "a mill pond", "success": "yes"}}))
     first, second = steps.orderBy("step").collect()
-    assert not first.grounded and second.query_source == "original_question_anchor" and "Biscay" not in second.query
+    assert not first.grounded and second.query_source == "original_question_anchor" and "mill pond" not in second.query
 
 
 def test_a_no_ends_the_steps(spark):
-    run, plans, steps = flow(spark, Scripted(qa={1: {"answer": "Xawery Zulawski", "success": "no"}}))
+    run, plans, steps = flow(spark, Scripted(qa={1: {"answer": "Tarn Beck", "success": "no"}}))
     assert steps.count() == 1 and run.summaries(plans, steps).first().stop_reason == "semantic_inability"
 
 
 def test_missing_tasks_and_aggregates(spark):
     _, _, steps = flow(spark, Scripted(task=False))
     second = steps.where("step = 1").first()
-    assert second.task_source == "fallback" and "Prior answers: Xawery Zulawski" in second.task and "Original question" in second.task
+    assert second.task_source == "fallback" and "Prior answers: Tarn Beck" in second.task and "Original question" in second.task
     _, _, steps = flow(spark, Scripted(task_type="aggregate"))
     second = steps.where("step = 1").first()
     assert second.query is None and second.titles == [] and second.n_documents == 0
@@ -320,3 +320,10 @@ def test_missing_tasks_and_aggregates(spark):
 
 def test_stages_are_in_order():
     assert dataflow.stages()[:5] == ["planner", "step_definer", "extractor", "qa", "step_definer_step2"] and len(dataflow.stages()) == 18
+
+
+def test_answers_that_the_task_holds_are_not_asked_again(spark):
+    """Part of a word counts: what is left out stands in the task's normal form as a piece of text."""
+    _, _, steps = flow(spark, Scripted(qa={1: {"answer": "Beck", "success": "yes"}}))
+    second = steps.where("step = 1").first()
+    assert second.query == second.task
