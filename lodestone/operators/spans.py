@@ -72,22 +72,31 @@ def mapped(spans: pd.Series, sentences: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([map_spans(blank(a), blank(b)) for a, b in zip(spans, sentences, strict=True)], columns=[f.name for f in MAPPED])
 
 
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(f"{name}_size", F.length(name))
+
+
+def _holds(a: str, b: str) -> Column:
+    """Whether text a holds text b; sizes are compared first, which settles half of all pairs."""
+    return (F.col(f"{a}_size") >= F.col(f"{b}_size")) & F.contains(a, b)
+
+
 def located(spans: DataFrame, index: DataFrame, by: str) -> DataFrame:
     """spans (by, span_no, span) with n_exact, n_within and n_around: how many sentences of the same by (index: by, sent_id,
     text) are the span, are in it, have it in them. The set-based twin of locate(): an equi-join on by, then tests."""
-    a = spans.select(by, "span_no", text.loose(F.col("span")).alias("_s"))
-    b = index.select(by, text.loose(F.col("text")).alias("_t")).where("_t <> ''")
+    a = _sized(spans.select(by, "span_no", text.loose(F.col("span")).alias("_s")), "_s")
+    b = _sized(index.select(by, text.loose(F.col("text")).alias("_t")), "_t").where("_t <> ''")
     both = a.join(b, by, "left")
-    counts = both.groupBy(by, "span_no", "_s").agg(F.count_if(F.col("_s") == F.col("_t")).alias("n_exact"), F.count_if(F.contains("_s", "_t")).alias("n_within"), F.count_if(F.contains("_t", "_s")).alias("n_around"))
+    counts = both.groupBy(by, "span_no", "_s").agg(F.count_if(F.col("_s") == F.col("_t")).alias("n_exact"), F.count_if(_holds("_s", "_t")).alias("n_within"), F.count_if(_holds("_t", "_s")).alias("n_around"))
     return counts.drop("_s")
 
 
 def attributed(spans: DataFrame, index: DataFrame, by: str, least: int = MIN_CHARS) -> DataFrame:
     """(by, span_no, sent_id): sentences that a span of at least that length is part of, or that, if they are that long,
     are part of it."""
-    a = spans.select(by, "span_no", text.loose(F.col("span")).alias("_s")).where(F.length("_s") >= least)
-    b = index.select(by, "sent_id", text.loose(F.col("text")).alias("_t"))
-    near = F.contains("_t", "_s") | (F.contains("_s", "_t") & (F.length("_t") >= least))
+    a = _sized(spans.select(by, "span_no", text.loose(F.col("span")).alias("_s")), "_s").where(F.col("_s_size") >= least)
+    b = _sized(index.select(by, "sent_id", text.loose(F.col("text")).alias("_t")), "_t")
+    near = _holds("_t", "_s") | ((F.col("_t_size") >= least) & _holds("_s", "_t"))
     return a.join(b, by).where(near).select(by, "span_no", "sent_id")
 
 
