@@ -9,8 +9,6 @@ from ..functions import text
 from . import lineage
 
 K1, B = 1.5, 0.75
-#: Queries are broadcast if they have at most so many distinct terms.
-BROADCAST_TERMS = 500_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -62,7 +60,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     doc_tokens, query_tokens = text.tokens(F.col(doc_text)), text.tokens(F.col(query_text))
     asked = queries.select(F.col(query_id), F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
+    few = lineage.small(asked)
     near = lambda df: F.broadcast(df) if few else df
     postings = index(docs, doc_id, doc_tokens, near(terms), few)
     hits = postings.join(near(asked), "term").groupBy(query_id, doc_id).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -15,3 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
+
+
+#: A side is broadcast if its rows, written as JSON, take at most so many bytes.
+BROADCAST_BYTES = 24_000_000
+
+
+def small(df: DataFrame) -> bool:
+    """Whether df takes at most BROADCAST_BYTES. It is computed once for this, so it should be cut or cheap."""
+    taken = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first().b
+    return (taken or 0) <= BROADCAST_BYTES

@@ -87,13 +87,16 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
     """(strata..., draw, sums...): for each draw and stratum, the sums over as many units, picked with replacement, as the
     stratum has. All sums of a draw go by the same picks. units: a row per unit.
 
-    Numbered units are dealt over places and draws; sums combine before they shuffle. strata [] is one stratum.
+    Numbered units are dealt over places and draws; sums combine before they shuffle, and few units (by their bytes) are
+    broadcast, so picks stay where they are made. The result, a row for each draw and stratum, is kept. strata [] is one
+    stratum.
     """
     numbered = numbered_within(units.select(*strata, F.col(unit).alias("_u"), *sums), strata, ["_u"]).withColumnsRenamed({"i": "_i", "n": "_n"})
     draws = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     places = numbered.select(*strata, F.col("_i").alias("place"), "_n", draws.alias("draw")).withColumn("_i", pick(F.col("place"), F.col("draw"), F.col("_n"), seed))
-    picked = places.select(*strata, "draw", "_i").join(numbered.drop("_u", "_n"), [*strata, "_i"])
-    return picked.groupBy(*strata, "draw").agg(*[F.sum(s).alias(s) for s in sums], F.count("*").alias("n"))
+    values = numbered.drop("_u", "_n")
+    picked = places.select(*strata, "draw", "_i").join(F.broadcast(values) if lineage.small(values) else values, [*strata, "_i"])
+    return lineage.cut(picked.groupBy(*strata, "draw").agg(*[F.sum(s).alias(s) for s in sums], F.count("*").alias("n")))
 
 
 def exact_means(df: DataFrame, by: list[str], unit: str, values: list[str], replicates: int = REPLICATES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
