@@ -166,11 +166,13 @@ def system_latency(batches: DataFrame, run: str, strata: list[str], batch: str,
     """(run, kind, estimate, lo, hi, ratio, ratio_lo, ratio_hi, n_batches): seconds a question, of generation alone and of
     the whole service. Batches are drawn within strata (stage, repeat) and added up; ratios to the baseline are taken draw
     by draw. batches: generation and service seconds; questions: (run, n), one row for each run."""
-    kinds = _long(batches, [run, *strata, batch], {k: {"seconds": F.col(k)} for k in ("generation", "service")}).withColumnRenamed("metric", "kind")
-    draws = stats.hashed_draws(kinds, [run, "kind", *strata], batch, ["seconds"], replicates)
+    kinds = ("generation", "service")
+    each = lambda df, keep: _long(df, keep, {k: {"s": F.col(k)} for k in kinds}).withColumnRenamed("metric", "kind")
     sizes = F.broadcast(questions.select(run, F.col("n").alias("_q")))
-    per = draws.groupBy(run, "kind", "draw").agg(F.sum("seconds").alias("s")).join(sizes, run).select(run, "kind", "draw", (F.col("s") / F.col("_q")).alias("v"))
-    whole = kinds.groupBy(run, "kind").agg(F.sum("seconds").alias("s"), F.count("*").alias("n_batches")).join(sizes, run).select(run, "kind", (F.col("s") / F.col("_q")).alias("estimate"), "n_batches")
+    draws = stats.hashed_draws(_named(batches, [run, *strata]), [run, *strata], batch, list(kinds), replicates)
+    per = each(draws.groupBy(run, "draw").agg(*[F.sum(k).alias(k) for k in kinds]), [run, "draw"]).join(sizes, run).select(run, "kind", "draw", (F.col("s") / F.col("_q")).alias("v"))
+    whole = _named(batches, [run, *strata]).groupBy(run).agg(*[F.sum(k).alias(k) for k in kinds], F.count("*").alias("n_batches"))
+    whole = each(whole, [run, "n_batches"]).join(sizes, run).select(run, "kind", (F.col("s") / F.col("_q")).alias("estimate"), "n_batches")
     of_base = lambda df, keys, c: df.join(df.where(F.col(run) == baseline).select(*keys, F.col(c).alias("_base")), keys, "left").withColumn("ratio", F.when(F.col("_base") > 0, F.col(c) / F.col("_base"))).drop("_base")
     per, whole = of_base(per, ["kind", "draw"], "v"), of_base(whole, ["kind"], "estimate")
     keys = [run, "kind"]
