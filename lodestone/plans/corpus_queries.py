@@ -13,11 +13,12 @@ _TOKENS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'
 _SENTENCES = "list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda s: trim(s)), lambda s: s <> '')"
 
 _BM25 = rf"""
-WITH tok AS (SELECT doc_id, len({_TOKENS}) AS dl, unnest({_TOKENS}) AS term FROM documents),
+WITH tk AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+tok AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tk),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-st AS (SELECT count(*) AS n, avg(len({_TOKENS})) AS avgdl FROM documents),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk),
 sc AS (SELECT item_id, doc_id, round(sum(times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score
   FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY item_id, doc_id),
 ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)
