@@ -65,12 +65,14 @@ def sentence_index(passages: DataFrame, id_col: str, sentences: Column, only: Da
 
 def fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row: rows and a SHA-256 that depends on every row and on their order by id. Rows are hashed where they are;
-    blocks of hashes are hashed in order, and only the blocks' hashes meet."""
+    hashes are hashed in order by blocks of a thousand ids, those by blocks of a thousand blocks, and so once more, so only
+    a hash for each thousand million ids meets the others."""
     line = F.sha2(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.col(text_col)), 256)
-    rows = df.select(F.col(id_col).alias("id"), line.alias("h"), F.floor(F.col(id_col) / 1000).alias("block"))
-    joined = lambda by: F.array_join(F.transform(F.sort_array(F.collect_list(by)), lambda x: x["h"]), "\n")
-    blocks = rows.groupBy("block").agg(F.sha2(joined(F.struct("id", "h")), 256).alias("h"), F.count("*").alias("n"))
-    return blocks.agg(F.sum("n").alias("n_rows"), F.sha2(joined(F.struct("block", "h")), 256).alias("sha256"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "\n")
+    level = df.select(F.col(id_col).alias("at"), line.alias("h"), F.lit(1).alias("n"))
+    for _ in range(3):
+        level = level.groupBy(F.floor(F.col("at") / 1000).alias("block")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("block", "at")
+    return level.agg(F.sum("n").alias("n_rows"), F.sha2(joined, 256).alias("sha256"))
 
 
 def rendered(ranked: DataFrame, by: str, rank: str, title: str, body: str) -> DataFrame:

@@ -99,6 +99,15 @@ def grounded(answer: Column, evidence: Column) -> Column:
     return F.coalesce(F.exists(evidence, lambda t: text.has_phrase(text.norm(t), needle)), F.lit(False))
 
 
+def grounded_before(df: DataFrame, by: str, turn: str, words: str, answer: str) -> DataFrame:
+    """(by, turn, grounded): whether the answer of a turn stands in the words of an earlier one. Normal forms are made once and
+    meet in one row for each of by; no turn carries a copy of those before it."""
+    row = F.struct(F.col(turn).alias("t"), text.norm(F.col(words)).alias("w"), text.norm(F.col(answer)).alias("a"))
+    turns = df.groupBy(by).agg(F.collect_list(row).alias("_turns"))
+    found = lambda x: F.exists("_turns", lambda p: F.coalesce((p["t"] < x["t"]) & text.has_phrase(p["w"], x["a"]), F.lit(False)))
+    return turns.select(by, F.inline(F.transform("_turns", lambda x: F.struct(x["t"].alias(turn), found(x).alias("grounded")))))
+
+
 def first_seen(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """Each value once for each of keys, where it comes first by order."""
     rest = [c for c in df.columns if c not in (*keys, value)]

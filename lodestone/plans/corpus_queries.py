@@ -138,8 +138,10 @@ def sentence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT doc_id AS id, doc_id // 1000 AS block, sha256(doc_id::VARCHAR || chr(31) || text) AS h FROM documents),
-b AS (SELECT block, sha256(string_agg(h, chr(10) ORDER BY id, h)) AS h, count(*) AS n FROM r GROUP BY block)
-SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(h, chr(10) ORDER BY block)) AS sha256 FROM b""")
+b AS (SELECT block, sha256(string_agg(h, chr(10) ORDER BY id, h)) AS h, count(*) AS n FROM r GROUP BY block),
+c AS (SELECT block // 1000 AS block, sha256(string_agg(h, chr(10) ORDER BY block)) AS h, sum(n) AS n FROM b GROUP BY block // 1000),
+d AS (SELECT block // 1000 AS block, sha256(string_agg(h, chr(10) ORDER BY block)) AS h, sum(n) AS n FROM c GROUP BY block // 1000)
+SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(h, chr(10) ORDER BY block)) AS sha256 FROM d""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of all documents in order."""
     return corpus.fingerprint(read(spark, sf_dir, "documents"), "doc_id", "text")

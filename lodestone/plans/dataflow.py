@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import outputs, text
+from ..operators import answers as answer_records
 from ..operators import bm25, lineage, records, spans
 
 MAX_STEPS, K = 5, 10
@@ -98,6 +99,7 @@ class Run:
     generator: Generator
     k: int = K
     calls: list[DataFrame] = field(default_factory=list)
+    made: DataFrame | None = None
 
     def call(self, planned: DataFrame, role: str, stage: str, payload: T.StructType) -> DataFrame:
         """planned (question_id, call_index, fields, ...) with out (the payload, parsed or salvaged), source and status.
@@ -209,9 +211,17 @@ class Run:
             F.count("query").alias("query_count"), F.count_if(F.col("query_source") == "grounded_step_task").alias("followups"), F.size(F.array_distinct(F.flatten(F.collect_list("titles")))).alias("n_titles"), F.sum("n_spans").alias("n_spans"),
             F.sum("n_accepted").alias("n_accepted"), F.sum("n_documents").alias("n_documents"), F.sum("n_blocks").alias("n_blocks"),
         )
+        self.made = steps
         depth = plans.select("question_id", F.size("plan").alias("plan_depth"))
         return final.join(depth, "question_id").join(did, "question_id", "left").join(summary.select("question_id", "stop_reason"), "question_id", "left")
 
+    def scored(self, gold: DataFrame) -> DataFrame:
+        """answers() with exact match and F1, and what retrieval found, by gold (question_id, gold_answer, gold_titles: array
+        of doc_id). A step asks one query, of the original question or of its task; an aggregate step none."""
+        done = answer_records.with_scores(self.answers(), gold, "question_id").drop("query_count")  # retrieval has it
+        asked = self.made.select("question_id", "step", F.col("query_source").alias("name"), F.col("query").isNotNull().alias("attempted"), "titles")
+        return done.join(answer_records.retrieval_metrics(asked, gold, "question_id"), "question_id", "left")
+
     def all_calls(self) -> DataFrame:
         out = self.calls[0]
         for c in self.calls[1:]:

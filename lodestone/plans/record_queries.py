@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import outputs, text
-from ..operators import records, spans
+from ..operators import answers, records, spans
 from . import corpus_queries, dataflow
 from .registry import query, read
 
@@ -117,12 +117,9 @@ e AS (SELECT a.conv_id, a.turn, bool_or({_NORM.format("answer")} <> '' AND conta
 SELECT conv_id, turn, coalesce(g, false) AS grounded FROM e""")
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a turn's first words stand in the turns before it."""
-    from pyspark.sql import Window
-
     t = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    before = F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("evidence", before).withColumn("answer", F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
-    return t.select("conv_id", "turn", records.grounded(F.col("answer"), F.col("evidence")).alias("grounded"))
+    t = t.withColumn("answer", F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
+    return records.grounded_before(t, "conv_id", "turn", "text", "answer")
 
 
 @query(
@@ -307,3 +304,41 @@ def dataflow_solo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of the one-call control."""
     run = _flow(spark, sf_dir)
     return dataflow.solo(run.questions, run.passages, run.generator).all_calls()
+
+
+_RETRIEVED = """
+WITH c AS (SELECT l_orderkey AS question_id, l_linenumber AS step, CASE WHEN l_linenumber % 2 = 1 THEN 'a' ELSE 't' END AS name, l_returnflag <> 'N' AS attempted, CASE WHEN l_returnflag = 'R' AND l_discount < 0.03 THEN NULL ELSE l_partkey % 20 END AS title FROM lineitem),
+g AS (SELECT DISTINCT o_orderkey AS question_id, unnest([o_custkey % 20, o_custkey % 7]) AS title FROM orders),
+gn AS (SELECT question_id, count(*) AS n FROM g GROUP BY ALL),
+found AS (SELECT question_id, count(*) AS all_n, count(*) FILTER (a) AS a_n, count(*) FILTER (t) AS t_n, count(*) FILTER (t AND NOT a) AS inc
+  FROM (SELECT g.question_id, g.title, bool_or(c.name = 'a') AS a, bool_or(c.name = 't') AS t FROM g JOIN c ON c.question_id = g.question_id AND c.title = g.title AND c.attempted GROUP BY ALL) GROUP BY question_id),
+q AS (SELECT question_id, count(DISTINCT step) FILTER (attempted) AS steps, count(*) FILTER (attempted) AS queries, count(*) FILTER (attempted AND title IS NULL) AS zero, count(*) FILTER (attempted AND name = 'a') AS anchors, count(*) FILTER (attempted AND name = 't') AS tasks FROM c GROUP BY question_id)
+"""
+
+
+@query(
+    _RETRIEVED
+    + """SELECT gn.question_id, gn.n::INTEGER AS n_gold, round(coalesce(all_n, 0) / gn.n, 9) AS recall, coalesce(all_n, 0) = gn.n AS all_gold, coalesce(steps, 0) AS step_count, coalesce(queries, 0) AS query_count, coalesce(zero, 0) AS zero_result_count,
+  CASE WHEN anchors > 0 THEN round(coalesce(a_n, 0) / gn.n, 9) END AS anchor_recall, CASE WHEN tasks > 0 THEN round(coalesce(t_n, 0) / gn.n, 9) END AS task_recall, coalesce(tasks, 0) AS task_query_count, coalesce(tasks, 0) > 0 AS followup_fired,
+  CASE WHEN steps > 0 THEN round(tasks / steps, 9) ELSE 0.0 END::DOUBLE AS firing_rate, round(coalesce(inc, 0) / gn.n, 9) AS incremental_recall
+FROM gn LEFT JOIN found USING (question_id) LEFT JOIN q USING (question_id)"""
+)
+def answer_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval of each question; orders are questions, their lineitems queries in turn of the question and of tasks."""
+    items, part = read(spark, sf_dir, "lineitem"), F.col("l_partkey") % 20
+    attempted = F.col("l_returnflag") != "N"
+    titles = F.when(attempted & ~((F.col("l_returnflag") == "R") & (F.col("l_discount") < 0.03)), F.array(part)).otherwise(F.array().cast("array<bigint>"))
+    name = F.when(F.col("l_linenumber") % 2 == 1, answers.ANCHOR).otherwise(answers.TASK)
+    asked = items.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("step"), name.alias("name"), attempted.alias("attempted"), titles.alias("titles"))
+    gold = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.array(F.col("o_custkey") % 20, F.col("o_custkey") % 7).alias("gold_titles"))
+    made = answers.retrieval_metrics(asked, gold, "question_id").withColumn("n_gold", F.size("gold_titles")).drop("gold_titles", "titles", "retrieved_gold", "incremental_gold")
+    return made.withColumns({c: F.round(c, 9) for c in ("recall", "anchor_recall", "task_recall", "firing_rate", "incremental_recall")})
+
+
+@query()
+def dataflow_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the dataflow scored against each item's first words and the documents that hold the item."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("gold_answer"))
+    held = corpus_queries.gold_documents(spark, sf_dir).groupBy(F.col("item_id").alias("question_id")).agg(F.sort_array(F.collect_set("doc_id")).alias("gold_titles"))
+    gold = items.join(held, "question_id", "left").withColumn("gold_titles", F.coalesce("gold_titles", F.array().cast("array<bigint>")))
+    return _flow(spark, sf_dir).scored(gold)
