@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, pages, quality, sql, tokens, toxicity, url_filter, vectors
+from . import exact, fim, lexical, mixing, near_dedup, pages, quality, sql, tokens, toxicity, url_filter, vectors
 from .shared import Scratch, table
 
 #: Where the public vocabularies lie; none is copied into the repository.
@@ -80,9 +80,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    whole = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": sql.URL_FILTER, "op7_mixing": sql.MIXING}
+    return {
+        "op6_url_filter": sql.URL_FILTER, "op7_mixing": sql.MIXING, "op11_tiered_search": sql.TIERED_SEARCH, "op12_fill_in_middle": sql.FILL_IN_MIDDLE,
+        "op13_exact_dedup": sql.EXACT_DEDUP,
+    }
