@@ -11,7 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import lineage, stats
+
+#: Names that are compared with each other, and arms of a unit, at most.
+MOST_NAMES = 1000
 
 
 def _named(df: DataFrame, by: list[str]) -> DataFrame:
@@ -36,7 +39,7 @@ def clustered_rates(calls: DataFrame, by: list[str], unit: str, metrics: dict[st
     keys = [*by, "metric"]
     draws = stats.hashed_draws(long, keys, unit, ["num", "den"], replicates).withColumn("v", F.col("num") / F.col("den"))
     whole = long.groupBy(*keys).agg((F.sum("num") / F.sum("den")).alias("estimate"), F.count("*").alias("n_units"), F.sum("den").cast("long").alias("n"))
-    return whole.join(stats.order_interval(draws, keys, "v", alpha).drop("n"), keys).select(*keys, "estimate", "lo", "hi", "n_units", "n")
+    return whole.join(stats.draw_interval(draws, keys, "v", alpha).drop("n"), keys).select(*keys, "estimate", "lo", "hi", "n_units", "n")
 
 
 def failure_report(calls: DataFrame, run: str, levels: list[str], unit: str, replicates: int = stats.REPLICATES) -> DataFrame:
@@ -72,9 +75,10 @@ def accuracy(answers: DataFrame, run: str, stratum: str, unit: str, values: list
 
 def contrasts(rows: DataFrame, arm: str, unit: str, metrics: list[str], baseline: str) -> DataFrame:
     """(arm, metric, unit, difference): every other arm less the baseline. All arms have a row for every unit, which is
-    checked: another number of rows is an error. A unit's rows are as many as there are arms."""
+    checked: another number of rows is an error. A unit's rows are as many as there are arms, MOST_NAMES at most."""
     per = rows.groupBy(unit).agg(F.collect_list(F.struct(arm, *metrics)).alias("_a"), F.count_distinct(arm).alias("_n"), F.max(F.when(F.col(arm) == baseline, F.struct(*metrics))).alias("_b"))
     arms = rows.agg(F.count_distinct(arm).alias("_arms"))  # one row
+    arms = arms.select(F.when(F.col("_arms") <= MOST_NAMES, F.col("_arms")).otherwise(F.raise_error(F.lit("there are too many arms")).cast("long")).alias("_arms"))
     whole = (F.size("_a") == F.col("_arms")) & (F.col("_n") == F.col("_arms")) & F.col("_b").isNotNull()
     checked = per.crossJoin(F.broadcast(arms)).withColumn("_a", F.when(whole, F.col("_a")).otherwise(F.raise_error(F.lit("arms have different units")).cast(per.schema["_a"].dataType)))
     each = checked.select(unit, "_b", F.explode("_a").alias("_x")).where(F.col(f"_x.{arm}") != baseline).withColumn(arm, F.col(f"_x.{arm}"))
@@ -83,11 +87,15 @@ def contrasts(rows: DataFrame, arm: str, unit: str, metrics: list[str], baseline
 
 def effects(rows: DataFrame, arm: str, unit: str, metrics: list[str], baseline: str, replicates: int = stats.REPLICATES) -> tuple[DataFrame, DataFrame]:
     """Means (arm, metric, estimate, n_units) and draws (arm, metric, draw, v) of contrasts with the baseline. Arms have
-    the same units, so all share the picks of a draw and their draws may be added up."""
-    diffs = contrasts(rows, arm, unit, metrics, baseline)
-    draws = stats.hashed_draws(diffs, [arm, "metric"], unit, ["difference"], replicates)
+    the same units; a unit's contrasts stand in one row, so all share the picks of a draw and their draws may be added up."""
+    diffs = lineage.cut(contrasts(rows, arm, unit, metrics, baseline))
+    arms = [r[0] for r in diffs.select(arm).distinct().orderBy(arm).limit(MOST_NAMES + 1).collect()]  # contrasts() allows no more
+    named = {f"_x{i}": (a, m) for i, (a, m) in enumerate((a, m) for a in arms for m in metrics)}
+    wide = diffs.groupBy(unit).agg(*[F.max(F.when((F.col(arm) == a) & (F.col("metric") == m), F.col("difference"))).alias(x) for x, (a, m) in named.items()])
+    draws = stats.hashed_draws(wide, [], unit, list(named), replicates)
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias(arm), F.lit(m).alias("metric"), (F.col(x) / F.col("n")).alias("v")) for x, (a, m) in named.items()]))
     means = diffs.groupBy(arm, "metric").agg(F.avg("difference").alias("estimate"), F.count("*").alias("n_units"))
-    return means, draws.select(arm, "metric", "draw", (F.col("difference") / F.col("n")).alias("v"))
+    return means, draws.select("draw", each.alias("_e")).select("_e.*", "draw")
 
 
 def family(rows: DataFrame, arm: str, unit: str, metrics: list[str], baseline: str, adjusted: str, replicates: int = stats.REPLICATES) -> DataFrame:
@@ -98,7 +106,7 @@ def family(rows: DataFrame, arm: str, unit: str, metrics: list[str], baseline: s
     far = F.count_if(F.abs(F.col("v") - F.col("estimate")) >= F.abs("estimate") - 1e-12)
     p = draws.join(F.broadcast(means), keys).groupBy(*keys, "estimate", "n_units").agg(((far + 1) / (replicates + 1.0)).alias("p"))  # means: a row for each contrast
     out = stats.holm(p, ["metric"], arm, "p").withColumn("adjusted", F.when(F.col("metric") == adjusted, F.col("adjusted")))
-    return out.join(stats.order_interval(draws, keys, "v").drop("n"), keys).select(*keys, "estimate", "lo", "hi", "p", "adjusted", "n_units")
+    return out.join(stats.draw_interval(draws, keys, "v").drop("n"), keys).select(*keys, "estimate", "lo", "hi", "p", "adjusted", "n_units")
 
 
 def ranked_draws(draws: DataFrame, name: str, value: str) -> DataFrame:
@@ -112,9 +120,9 @@ def ranked_draws(draws: DataFrame, name: str, value: str) -> DataFrame:
 
 def rank_report(draws: DataFrame, name: str, value: str, alpha: float = stats.ALPHA) -> DataFrame:
     """(name, mean_rank, rank_lo, rank_hi, p_most, p_least): interval bounds are the values nearest to the quantiles."""
-    placed = stats.numbered_within(ranked_draws(draws, name, value), [name], ["k", "draw"])
-    at = lambda q: F.max(F.when(F.col("i") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col("k")))
-    return placed.groupBy(name).agg(F.avg("k").alias("mean_rank"), at(alpha / 2).alias("rank_lo"), at(1 - alpha / 2).alias("rank_hi"), F.avg("most").alias("p_most"), F.avg("least").alias("p_least"))
+    folded = ranked_draws(draws, name, value).groupBy(name).agg(F.sort_array(F.collect_list("k")).alias("_k"), F.avg("k").alias("mean_rank"), F.avg("most").alias("p_most"), F.avg("least").alias("p_least"))
+    at = lambda q: F.get("_k", F.bround(F.lit(q) * (F.size("_k") - 1)).cast("int"))
+    return folded.select(name, "mean_rank", at(alpha / 2).alias("rank_lo"), at(1 - alpha / 2).alias("rank_hi"), "p_most", "p_least")
 
 
 def rank_distribution(draws: DataFrame, name: str, value: str) -> DataFrame:
@@ -125,7 +133,9 @@ def rank_distribution(draws: DataFrame, name: str, value: str) -> DataFrame:
 
 def pairwise(draws: DataFrame, name: str, value: str) -> DataFrame:
     """(name, other, p_greater): how often one name's value is strictly greater than another's in the same draw. There is a
-    row for each two names, so names are few; draws are joined by number."""
+    row for each two names, so more than MOST_NAMES are an error; draws are joined by number."""
+    if draws.select(name).distinct().count() > MOST_NAMES:
+        raise ValueError(f"there are more than {MOST_NAMES} names to compare with each other")
     other = draws.select("draw", F.col(name).alias("other"), F.col(value).alias("_o"))
     both = draws.join(other, "draw").where(F.col(name) != F.col("other"))
     return both.groupBy(name, "other").agg(F.avg((F.col(value) > F.col("_o")).cast("int")).alias("p_greater"))
@@ -176,8 +186,8 @@ def system_latency(batches: DataFrame, run: str, strata: list[str], batch: str,
     of_base = lambda df, keys, c: df.join(df.where(F.col(run) == baseline).select(*keys, F.col(c).alias("_base")), keys, "left").withColumn("ratio", F.when(F.col("_base") > 0, F.col(c) / F.col("_base"))).drop("_base")
     per, whole = of_base(per, ["kind", "draw"], "v"), of_base(whole, ["kind"], "estimate")
     keys = [run, "kind"]
-    out = whole.join(stats.order_interval(per, keys, "v").drop("n"), keys)
-    return out.join(stats.order_interval(per, keys, "ratio").select(*keys, F.col("lo").alias("ratio_lo"), F.col("hi").alias("ratio_hi")), keys, "left")
+    out = whole.join(stats.draw_interval(per, keys, "v").drop("n"), keys)
+    return out.join(stats.draw_interval(per, keys, "ratio").select(*keys, F.col("lo").alias("ratio_lo"), F.col("hi").alias("ratio_hi")), keys, "left")
 
 
 def batch_coverage(batches: DataFrame, members: DataFrame, calls: DataFrame, batch: str, call: list[str], fingerprint: str) -> dict[str, DataFrame]:

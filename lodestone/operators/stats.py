@@ -1,13 +1,17 @@
 """Rank statistics, calibration, intervals and bootstraps.
 
 Bootstraps come in two modes. The portable one picks the unit of a draw by a hash of (place, draw), so any engine gets
-the same draws and the work is a join and a sum; the exact one runs numpy's generator over one group's values.
+the same draws and tasks share the work of a stratum; the exact one runs numpy's generator over one group's values.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,32 +81,116 @@ def holm(df: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
     return df.withColumn("_step", step).withColumn("adjusted", F.least(F.lit(1.0), F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_step")
 
 
-def pick(place: Column, draw: Column, n: Column, seed: int = 0) -> Column:
-    """The unit, from 0, that fills a place in a draw with replacement: eight hex digits of an MD5, modulo n."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), place.cast("string"), F.lit("|"), draw.cast("string"))), 1, 8)
-    return F.pmod(F.conv(digits, 16, 10).cast("long"), n)
+#: Places of a stratum that one task fills, and distinct value vectors that it looks them up in.
+PLACES, VECTORS = 1 << 16, 1 << 20
+#: Picks that are made at a time.
+_TOGETHER = 1 << 18
+
+
+@functools.lru_cache(256)
+def words(seed: int, kind: str, lo: int, hi: int) -> np.ndarray:
+    """A 32-bit word for each place (kind p) or draw (kind d): eight hex digits of an MD5."""
+    return np.array([int(hashlib.md5(f"{seed}|{kind}|{i}".encode()).hexdigest()[:8], 16) for i in range(lo, hi)], np.uint32)
+
+
+def picks(places: np.ndarray, draws: np.ndarray, n: int) -> np.ndarray:
+    """The unit, from 0 to n - 1, that fills each place of each draw (a row for each draw), from their words: both are
+    joined, mixed by multiplications modulo 2^32, and scaled to n."""
+    x = draws[:, None] ^ places[None, :]
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return (x.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)
+
+
+def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places: tuple[int, int], replicates: int, seed: int = 0, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each draw the sums over places of what fills them, and how many of these are among values: distinct vectors, one
+    a row, of which counts units each have, and which begin at unit base of n. salt is the word of the stratum."""
+    u, v, ends = words(seed, "p", *places), words(seed, "d", 0, replicates) ^ np.uint32(salt), np.cumsum(counts)
+    total = int(ends[-1])
+    table = np.repeat(values, counts, axis=0).T.copy() if total <= 4 * VECTORS else None
+    sums, n_in = np.zeros((replicates, values.shape[1])), np.zeros(replicates, np.int64)
+    step = max(1, _TOGETHER // len(u))
+    for lo in range(0, replicates, step):
+        at = picks(u, v[lo : lo + step], n).view(np.int64)
+        inside = None
+        if base or total < n:
+            at -= base
+            inside = (at >= 0) & (at < total)
+            at[~inside] = 0
+        n_in[lo : lo + step] = at.shape[1] if inside is None else inside.sum(axis=1)
+        place = None if table is not None else np.searchsorted(ends, at, "right")
+        for k in range(values.shape[1]):
+            x = table[k][at] if table is not None else values[place, k]
+            sums[lo : lo + step, k] = x.sum(axis=1) if inside is None else (x * inside).sum(axis=1)
+    return sums, n_in
 
 
 def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str], replicates: int, seed: int = 0) -> DataFrame:
-    """(strata..., draw, sums...): for each draw and stratum, the sums over as many units, picked with replacement, as the
-    stratum has. All sums of a draw go by the same picks. units: a row per unit.
-
-    Numbered units are dealt over places and draws; sums combine before they shuffle, and few units (by their bytes) are
-    broadcast, so picks stay where they are made. The result, a row for each draw and stratum, is kept. strata [] is one
-    stratum.
+    """(strata..., draw, sums..., n): for each draw and stratum, the sums over as many units, picked with replacement, as the
+    stratum has. All sums of a draw go by the same picks; different strata are drawn independently, so what must share its
+    picks belongs in one row. units: a row per unit; null values add nothing.
+
+    Units stand in the order of their values, so those of equal values are one counted row, and no unit is numbered. A task
+    makes all draws of PLACES places at once, against up to VECTORS counted rows, and gives a sum for each draw; no row is
+    made for a pick. The work is units times draws, times each further VECTORS of different values in a stratum.
+    The result, a row for each draw and stratum, is kept. strata [] is one stratum.
     """
-    numbered = numbered_within(units.select(*strata, F.col(unit).alias("_u"), *sums), strata, ["_u"]).withColumnsRenamed({"i": "_i", "n": "_n"})
-    draws = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    places = numbered.select(*strata, F.col("_i").alias("place"), "_n", draws.alias("draw")).withColumn("_i", pick(F.col("place"), F.col("draw"), F.col("_n"), seed))
-    values = numbered.drop("_u", "_n")
-    picked = places.select(*strata, "draw", "_i").join(F.broadcast(values) if lineage.small(values) else values, [*strata, "_i"])
-    return lineage.cut(picked.groupBy(*strata, "draw").agg(*[F.sum(s).alias(s) for s in sums], F.count("*").alias("n")))
+    keys, values = [f"_k{i}" for i in range(len(strata))], [f"_v{i}" for i in range(len(sums))]
+    rows = units.select(*[F.col(s).alias(k) for s, k in zip(strata, keys, strict=True)], *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(v) for s, v in zip(sums, values, strict=True)])
+    counted = lineage.cut(rows.groupBy(*keys, *values).agg(F.count("*").alias("_c")))
+    sizes = counted.groupBy(*[F.col(k).alias(f"_z{k}") for k in keys]).agg(F.sum("_c").alias("_n"), F.count("*").alias("_d"))
+    most, widest = sizes.agg(F.max("_n"), F.max("_d")).first()
+    if (widest or 0) <= VECTORS:
+        blocks = counted.withColumns({"_b": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")})
+    else:
+        placed = numbered_within(counted, keys, values).withColumn("_b", F.floor(F.col("i") / VECTORS)).drop("i", "n")
+        held = placed.groupBy(*[F.col(k).alias(f"_h{k}") for k in keys], F.col("_b").alias("_hb")).agg(F.sum("_c").alias("_h"))
+        before = Window.partitionBy(*[f"_h{k}" for k in keys]).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("_base", F.coalesce(F.sum("_h").over(before), F.lit(0))).drop("_h")
+        on = [F.col("_b") == F.col("_hb"), *[F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys]]
+        blocks = placed.join(held, on).drop("_hb", *[f"_h{k}" for k in keys])
+    if (most or 0) > 1 << 32:
+        raise ValueError("a stratum may have 2^32 units at most")
+    same = [F.col(k).eqNullSafe(F.col(f"_z{k}")) for k in keys]
+    sizes = sizes.drop("_d")
+    whole = (blocks.join(sizes, same) if keys else blocks.crossJoin(F.broadcast(sizes))).drop(*[f"_z{k}" for k in keys])  # without keys, sizes is one row
+    dealt = whole.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PLACES))))
+
+    def run(group: pa.Table) -> pa.Table:
+        x, c = np.column_stack([group.column(v).to_numpy() for v in values]), group.column("_c").to_numpy()
+        order = np.lexsort(x.T[::-1])
+        n, base, p, salt = (group.column(k)[0].as_py() for k in ("_n", "_base", "_p", "_s"))
+        made, n_in = drawn_sums(x[order], c[order], n, base, (p * PLACES, min(n, (p + 1) * PLACES)), replicates, seed, salt)
+        one = pa.array(np.zeros(replicates, np.int64))
+        columns = {k: group.column(k).take(one) for k in keys} | {"draw": pa.array(np.arange(replicates, dtype=np.int32))}
+        return pa.table(columns | {v: pa.array(made[:, i]) for i, v in enumerate(values)} | {"n": pa.array(n_in)})
+
+    salt = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long") if keys else F.lit(0).cast("long")
+    dealt, kinds = dealt.withColumn("_s", salt), dict(counted.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "draw int", *(f"{v} double" for v in values), "n long"])
+    parts = dealt.groupBy(*keys, "_b", "_p").applyInArrow(run, schema)
+    if (most or 0) > PLACES or (widest or 0) > VECTORS:
+        parts = parts.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.sum("n").alias("n"))
+    return lineage.cut(parts.withColumnsRenamed(dict(zip([*keys, *values], [*strata, *sums], strict=True))))
+
+
+def draw_interval(draws: DataFrame, by: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
+    """order_interval() of hashed draws: a group's rows are its draws, whose number is a parameter, so they fit an array."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    listed = draws.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
+    at = lambda i: F.get("_s", i.cast("int"))
+    return listed.select(*by, at(F.floor(F.lit(alpha / 2) * F.col("n"))).alias("lo"), at(F.least(F.floor(F.lit(1 - alpha / 2) * F.col("n")), F.col("n") - 1)).alias("hi"), "n")
 
 
 def exact_means(df: DataFrame, by: list[str], unit: str, values: list[str], replicates: int = REPLICATES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """(by..., metric, estimate, lo, hi, p, n): percentile intervals of means by numpy's generator, all values of a group
     sharing the draws; p is two-sided, of a mean of 0. Units are put in order first, so the order of rows doesn't count.
-    One unit has its value as interval. A group's units are one task's; draws are made in pieces of 256."""
+    One unit has its value as interval. A group's units are one task's, as the generator's draws follow each other; pieces of draws
+    hold some 2 MB, or one draw of more units."""
     if replicates < 2:
         raise ValueError("replicates must be at least 2")
 
@@ -112,8 +200,9 @@ def exact_means(df: DataFrame, by: list[str], unit: str, values: list[str], repl
         if not np.isfinite(x).all():
             raise ValueError("values must be finite")
         rng, means = np.random.default_rng(seed), []
-        for at in range(0, replicates, 256):
-            means.append(x[rng.integers(0, len(x), (min(256, replicates - at), len(x)))].mean(axis=1))
+        step = max(1, min(256, _TOGETHER // len(x)))
+        for at in range(0, replicates, step):
+            means.append(x[rng.integers(0, len(x), (min(step, replicates - at), len(x)))].mean(axis=1))
         means = np.sort(np.concatenate(means), axis=0)
         r, centre = len(means), x.mean(axis=0)
         lo, hi = means[int(alpha / 2 * r)], means[min(int((1 - alpha / 2) * r), r - 1)]

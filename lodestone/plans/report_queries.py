@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, reports, stats
 from .registry import query, read
-from .stats_queries import _pick
+from .stats_queries import HI, LO, drawn
 
-_DRAWS = 100
+_DRAWS = stats.REPLICATES
 
 
-def _interval(strata: str, unit: str, ratio: str, sums: str, draws: int = _DRAWS) -> str:
-    """CTEs u, p, m, k from a table long (strata, unit, summed columns): hashed draws, their statistic and its bounds."""
-    lo, hi = int(0.025 * draws), min(int(0.975 * draws), draws - 1)
-    return f""", u AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {unit}) - 1 AS i, count(*) OVER (PARTITION BY {strata}) AS n FROM long),
-p AS (SELECT {strata}, {_pick("i", "d", "n")} AS i, d FROM u CROSS JOIN range({draws}) t(d)),
-m AS (SELECT {strata}, d, {sums}, count(*) AS n FROM p JOIN u USING ({strata}, i) GROUP BY {strata}, d),
+def _interval(strata: str, values: str, ratio: str, sums: str) -> str:
+    """CTEs u, m, r, k from a table long (strata, values): hashed draws, their statistic and its bounds."""
+    return drawn(strata, values, sums) + f""",
 r AS (SELECT {strata}, d, {ratio} AS v, row_number() OVER (PARTITION BY {strata} ORDER BY {ratio}) - 1 AS k FROM m),
-k AS (SELECT {strata}, max(v) FILTER (k = {lo}) AS lo, max(v) FILTER (k = {hi}) AS hi FROM r GROUP BY {strata})"""
+k AS (SELECT {strata}, max(v) FILTER (k = {LO}) AS lo, max(v) FILTER (k = {HI}) AS hi FROM r GROUP BY {strata})"""
 
 
 _CALLS = """
@@ -48,7 +45,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 q AS (SELECT run, level, name, question, count(*) AS n, sum(failed::INTEGER) AS f, sum((failed AND salvaged)::INTEGER) AS s, count(source) AS c, sum((source = 'salvaged')::INTEGER) AS us, sum(strict_ok::INTEGER) AS st, sum(protocol_ok::INTEGER) AS pr, avg(copy_rate) AS cr, count(copy_rate) AS cn FROM l GROUP BY ALL),
 long AS (SELECT run, level, name, question, x.metric AS metric, x.num AS num, x.den AS den FROM (SELECT *, unnest([{'metric': 'failure', 'num': f::DOUBLE, 'den': n::DOUBLE}, {'metric': 'any_failure', 'num': (f > 0)::INTEGER::DOUBLE, 'den': 1.0::DOUBLE}, {'metric': 'salvaged', 'num': s::DOUBLE, 'den': f::DOUBLE},
   {'metric': 'used_salvage', 'num': us::DOUBLE, 'den': c::DOUBLE}, {'metric': 'strict', 'num': st::DOUBLE, 'den': n::DOUBLE}, {'metric': 'protocol', 'num': pr::DOUBLE, 'den': n::DOUBLE}, {'metric': 'copy_rate', 'num': cr, 'den': (cn > 0)::INTEGER::DOUBLE}]) AS x FROM q) WHERE x.den > 0)"""
-    + _interval("run, level, name, metric", "question", "num / den", "sum(num) AS num, sum(den) AS den")
+    + _interval("run, level, name, metric", "num, den", "num / den", "sum(num) AS num, sum(den) AS den")
     + """, w AS (SELECT run, level, name, metric, sum(num) / sum(den) AS estimate, count(*) AS n_units, sum(den)::BIGINT AS n FROM long GROUP BY ALL)
 SELECT run, level, name, metric, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_units, n FROM w JOIN k USING (run, level, name, metric)"""
 )
@@ -65,7 +62,7 @@ long AS (SELECT run, stratum, doc_id, x.metric AS metric, x.num AS num FROM (SEL
 
 @query(
     _ANSWERED
-    + _interval("run, stratum, metric", "doc_id", "num / n", "sum(num) AS num")
+    + _interval("run, stratum, metric", "num", "num / n", "sum(num) AS num")
     + """, w AS (SELECT run, stratum, metric, avg(num) AS estimate, count(*) AS n_units FROM long GROUP BY ALL), z AS (SELECT run, count(DISTINCT doc_id) < 40 AS appendix FROM a GROUP BY run)
 SELECT run, stratum, metric, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_units, appendix FROM w JOIN k USING (run, stratum, metric) JOIN z USING (run)"""
 )
@@ -90,7 +87,21 @@ def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(counts, ["unit", "arm"], "left").select("unit", "arm", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("f1", "em")])
 
 
-_EFFECTS = _ARMS + _interval("arm, metric", "unit", "difference / n", "sum(difference) AS difference") + ", w AS (SELECT arm, metric, avg(difference) AS estimate, count(*) AS n_units FROM long GROUP BY ALL)"
+def _shared(pairs: list[tuple[str, str]]) -> str:
+    """CTEs from long: draws of all contrasts (arm, metric) that share their picks, their bounds and means."""
+    wide = ", ".join(f"max(difference) FILTER (arm = '{a}' AND metric = '{m}') AS x{i}" for i, (a, m) in enumerate(pairs))
+    each = ", ".join(f"{{'arm': '{a}', 'metric': '{m}', 'v': x{i} / n}}" for i, (a, m) in enumerate(pairs))
+    columns = ", ".join(f"x{i}" for i in range(len(pairs)))
+    return (
+        f", wide AS (SELECT {wide} FROM long GROUP BY unit)"
+        + drawn("", columns, ", ".join(f"sum(x{i}) AS x{i}" for i in range(len(pairs))), "wide")
+        + f""", r0 AS (SELECT d, unnest([{each}]) AS e FROM m), r AS (SELECT e.arm AS arm, e.metric AS metric, d, e.v AS v, row_number() OVER (PARTITION BY e.arm, e.metric ORDER BY e.v) - 1 AS k FROM r0),
+k AS (SELECT arm, metric, max(v) FILTER (k = {LO}) AS lo, max(v) FILTER (k = {HI}) AS hi FROM r GROUP BY arm, metric),
+w AS (SELECT arm, metric, avg(difference) AS estimate, count(*) AS n_units FROM long GROUP BY ALL)"""
+    )
+
+
+_EFFECTS = _ARMS + _shared([(a, m) for a in ("F", "P") for m in ("f1", "em")])
 
 
 @query(
@@ -106,7 +117,7 @@ def role_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COSTS = """
-WITH long AS (SELECT event_type AS name, event_id, value FROM events)""" + _interval("name", "event_id", "v", "round(avg(value), 6) AS v")
+WITH long AS (SELECT event_type AS name, event_id, value FROM events)""" + _interval("name", "value", "v", "round(avg(value), 6) AS v")
 
 
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +160,10 @@ def _selector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.withColumn("configuration", F.lit("O")).unionByName(each)
 
 
-_SELECTOR = (
-    _ARMS.replace("'metric': 'f1', 'd': a.f1 - b.f1", "'metric': 'reader', 'd': a.f1 - b.f1").replace("'metric': 'em', 'd': a.em - b.em", "'metric': 'writer', 'd': a.em * 2 - b.f1")
-    + _interval("arm, metric", "unit", "difference / n", "sum(difference) AS difference")
-    + ", w AS (SELECT arm, metric, avg(difference) AS estimate FROM long GROUP BY ALL)"
-)
+_SELECTOR = """
+WITH arms AS (SELECT c_custkey AS unit, s.arm AS arm, coalesce(sum((o_orderstatus = s.arm)::INTEGER), 0)::DOUBLE AS f1, coalesce(max((o_orderstatus = s.arm AND o_orderkey % 2 = 0)::INTEGER), 0)::DOUBLE AS em
+  FROM customer CROSS JOIN (SELECT DISTINCT o_orderstatus AS arm FROM orders) s LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+long AS (SELECT arm, unit, x.metric AS metric, x.d AS difference FROM (SELECT a.arm, a.unit, unnest([{'metric': 'reader', 'd': a.f1 - b.f1}, {'metric': 'writer', 'd': a.em * 2 - b.f1}]) AS x FROM arms a JOIN arms b ON a.unit = b.unit AND b.arm = 'O' WHERE a.arm <> 'O'))""" + _shared([(a, m) for m in ("reader", "writer") for a in ("F", "P")])
 
 
 @query(_SELECTOR + """ SELECT metric AS role, arm AS configuration, round(estimate, 6) AS effect, round(lo, 6) AS lower FROM w JOIN k USING (arm, metric)
@@ -166,8 +176,8 @@ def selector_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _CALLS
-    + ", long AS (SELECT stage, role, question, sum(protocol_ok::INTEGER)::DOUBLE AS num, count(*)::DOUBLE AS den FROM calls GROUP BY ALL)"
-    + _interval("stage, role", "question", "num / den", "sum(num) AS num, sum(den) AS den")
+    + ", long AS (SELECT stage, role, 'passed' AS metric, question, sum(protocol_ok::INTEGER)::DOUBLE AS num, count(*)::DOUBLE AS den FROM calls GROUP BY ALL)"
+    + _interval("stage, role, metric", "num, den", "num / den", "sum(num) AS num, sum(den) AS den")
     + """ SELECT stage, role, round(sum(num) / sum(den), 6) AS estimate, round(any_value(lo), 6) AS lower, count(*) AS n_units, sum(den)::BIGINT AS n, any_value(lo) >= 0.77 AS eligible FROM long JOIN k USING (stage, role) GROUP BY stage, role"""
 )
 def role_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,25 +186,25 @@ def role_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BATCHES = """
-WITH b AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'base' WHEN o_orderkey % 3 = 1 THEN 'half' ELSE 'tiny' END AS run, o_orderstatus AS stage, o_custkey % 2 AS repeat, o_orderkey AS batch, o_totalprice / 1000 AS wall, o_totalprice / 900 AS service, count(l_orderkey)::DOUBLE AS size, coalesce(sum(l_quantity), 0) AS prompt_tokens, coalesce(sum(l_linenumber), 0)::DOUBLE AS output_tokens
+WITH b AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'base' WHEN o_orderkey % 3 = 1 THEN 'half' ELSE 'tiny' END AS run, o_orderstatus AS stage, o_custkey % 2 AS repeat, o_orderkey AS batch, round(o_totalprice * 100) AS wall, round(o_totalprice * 111) AS service, count(l_orderkey)::DOUBLE AS size, coalesce(sum(l_quantity), 0) AS prompt_tokens, coalesce(sum(l_linenumber), 0)::DOUBLE AS output_tokens
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are timed batches, their lineitems calls."""
+    """Orders are timed batches, their lineitems calls; times are whole numbers, so that any order of summing gives the same."""
     items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.count("*").alias("size"), F.sum("l_quantity").alias("prompt_tokens"), F.sum("l_linenumber").alias("output_tokens"))
     third = F.col("o_orderkey") % 3
     orders = read(spark, sf_dir, "orders").select(
         F.when(third == 0, "base").when(third == 1, "half").otherwise("tiny").alias("run"), F.col("o_orderstatus").alias("stage"), (F.col("o_custkey") % 2).alias("repeat"), F.col("o_orderkey").alias("batch"),
-        (F.col("o_totalprice") / 1000).alias("wall"), (F.col("o_totalprice") / 900).alias("service"),
+        F.round(F.col("o_totalprice") * 100).alias("wall"), F.round(F.col("o_totalprice") * 111).alias("service"),
     )
     return orders.join(items, "batch", "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("size", "prompt_tokens", "output_tokens")})
 
 
 @query(
     _BATCHES
-    + ", long AS (SELECT run, stage, batch, wall AS num, size AS den, prompt_tokens AS pt, output_tokens AS ot FROM b WHERE size > 0)"
-    + _interval("run, stage", "batch", "num / den", "sum(num) AS num, sum(den) AS den")
+    + ", long AS (SELECT run, stage, 'wall' AS metric, batch, wall AS num, size AS den, prompt_tokens AS pt, output_tokens AS ot FROM b WHERE size > 0)"
+    + _interval("run, stage, metric", "num, den", "num / den", "sum(num) AS num, sum(den) AS den")
     + """, w AS (SELECT run, stage, sum(num) / sum(den) AS estimate, count(*) AS n_batches FROM long GROUP BY ALL),
 s AS (SELECT run, stage, sum(prompt_tokens) / sum(wall) AS pps, sum(output_tokens) / sum(wall) AS ops FROM b GROUP BY ALL)
 SELECT w.run, w.stage, round(w.estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, w.n_batches, round(pps, 6) AS prompt_per_s, round(ops, 6) AS output_per_s, round(w.estimate / z.estimate, 6) AS ratio
@@ -207,12 +217,12 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _BATCHES
-    + ", long AS (SELECT run, 'generation' AS kind, stage, repeat, batch, wall AS seconds FROM b UNION ALL SELECT run, 'service', stage, repeat, batch, service FROM b)"
-    + _interval("run, kind, stage, repeat", "batch", "seconds", "sum(seconds) AS seconds")
-    + """, q AS (SELECT run, count(*) AS q FROM b GROUP BY run), y AS (SELECT run, kind, d, sum(v) / any_value(q) AS v FROM r JOIN q USING (run) GROUP BY run, kind, d),
+    + drawn("run, stage, repeat", "wall, service", "sum(wall) AS wall, sum(service) AS service", "b")
+    + f""", long AS (SELECT run, 'generation' AS kind, wall AS seconds FROM b UNION ALL SELECT run, 'service', service FROM b),
+q AS (SELECT run, count(*) AS q FROM b GROUP BY run), y AS (SELECT run, kind, d, sum(v) / any_value(q) AS v FROM (SELECT run, d, 'generation' AS kind, wall AS v FROM m UNION ALL SELECT run, d, 'service', service FROM m) JOIN q USING (run) GROUP BY run, kind, d),
 yr AS (SELECT y.run, y.kind, y.v, y.v / z.v AS ratio FROM y JOIN y z ON z.run = 'base' AND z.kind = y.kind AND z.d = y.d),
 yo AS (SELECT *, row_number() OVER (PARTITION BY run, kind ORDER BY v) - 1 AS i, row_number() OVER (PARTITION BY run, kind ORDER BY ratio) - 1 AS j FROM yr),
-yk AS (SELECT run, kind, max(v) FILTER (i = 2) AS lo, max(v) FILTER (i = 97) AS hi, max(ratio) FILTER (j = 2) AS ratio_lo, max(ratio) FILTER (j = 97) AS ratio_hi FROM yo GROUP BY ALL),
+yk AS (SELECT run, kind, max(v) FILTER (i = {LO}) AS lo, max(v) FILTER (i = {HI}) AS hi, max(ratio) FILTER (j = {LO}) AS ratio_lo, max(ratio) FILTER (j = {HI}) AS ratio_hi FROM yo GROUP BY ALL),
 w AS (SELECT run, kind, sum(seconds) / any_value(q) AS estimate, count(*) AS n_batches FROM long JOIN q USING (run) GROUP BY run, kind)
 SELECT w.run, w.kind, round(w.estimate, 6) AS estimate, n_batches_of.n_batches, round(w.estimate / z.estimate, 6) AS ratio, round(lo, 6) AS lo, round(hi, 6) AS hi, round(ratio_lo, 6) AS ratio_lo, round(ratio_hi, 6) AS ratio_hi
 FROM w JOIN yk USING (run, kind) JOIN (SELECT run, kind, n_batches FROM w) n_batches_of USING (run, kind) JOIN w z ON z.run = 'base' AND z.kind = w.kind"""

@@ -58,75 +58,89 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.holm(families, ["event_type"], "name", "p").withColumn("adjusted", F.round("adjusted", 9))
 
 
-def _pick(place: str, draw: str, n: str) -> str:
-    return f"(('0x' || substr(md5('0|' || {place} || '|' || {draw}), 1, 8))::UBIGINT % {n})"
+_R = stats.REPLICATES
+#: Places from 0 of the bounds of an interval among the draws.
+LO, HI = int(0.025 * _R), min(int(0.975 * _R), _R - 1)
+
+
+def _word(kind: str, number: str) -> str:
+    return f"('0x' || substr(md5('0|{kind}|' || {number}), 1, 8))::UBIGINT"
+
+
+def drawn(strata: str, values: str, sums: str, table: str = "long") -> str:
+    """CTEs from a table (strata, values): u, units in order of their values; m (strata, d, sums, n), sums over the units
+    that hashes of stratum, place and draw pick."""
+    by, on = (f"PARTITION BY {strata} ", f"{strata}, ") if strata else ("", "")
+    salt = f"('0x' || substr(md5(concat_ws('|', {strata})), 1, 8))::UBIGINT" if strata else "0::UBIGINT"
+    return f""", u AS (SELECT *, row_number() OVER ({by}ORDER BY {values}) - 1 AS i, count(*) OVER ({by}) AS n FROM {table}),
+p0 AS (SELECT {on}d, u.n, xor(w, v) AS x FROM (SELECT {on}n, xor({_word("p", "i")}, {salt}) AS w FROM u) u CROSS JOIN (SELECT d, {_word("d", "d")} AS v FROM range({_R}) t(d)) t),
+p1 AS (SELECT {on}d, n, (xor(x, x >> 16) * 2246822507) & 4294967295 AS x FROM p0),
+p2 AS (SELECT {on}d, n, (xor(x, x >> 13) * 3266489909) & 4294967295 AS x FROM p1),
+p AS (SELECT {on}d, ((xor(x, x >> 16) * n) >> 32)::BIGINT AS i FROM p2),
+m AS (SELECT {on}d, {sums}, count(*) AS n FROM p JOIN u USING ({on}i) GROUP BY {on}d)"""
 
 
 @query(
     _SCORED
-    + f""", u AS (SELECT lang, doc_id, quality, toxic, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM s),
-p AS (SELECT lang, {_pick("i", "d", "n")} AS i, d FROM u CROSS JOIN range(200) t(d)),
-m AS (SELECT lang, d, avg(quality) AS q FROM p JOIN u USING (lang, i) GROUP BY ALL),
-r AS (SELECT lang, q, row_number() OVER (PARTITION BY lang ORDER BY q) - 1 AS k FROM m)
-SELECT lang, round(max(q) FILTER (k = 5), 9) AS lo, round(max(q) FILTER (k = 195), 9) AS hi, count(*) AS n FROM r GROUP BY lang"""
+    + drawn("lang", "quality", "avg(quality) AS q", "s")
+    + f""", r AS (SELECT lang, q, row_number() OVER (PARTITION BY lang ORDER BY q) - 1 AS k FROM m)
+SELECT lang, round(max(q) FILTER (k = {LO}), 9) AS lo, round(max(q) FILTER (k = {HI}), 9) AS hi, count(*) AS n FROM r GROUP BY lang"""
 )
 def bootstrap_mean_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of mean quality by language, portable draws."""
-    draws = stats.hashed_draws(_scored(spark, sf_dir), ["lang"], "doc_id", ["quality"], 200)
+    draws = stats.hashed_draws(_scored(spark, sf_dir), ["lang"], "doc_id", ["quality"], _R)
     means = draws.withColumn("q", F.col("quality") / F.col("n"))
-    out = stats.order_interval(means, ["lang"], "q")
+    out = stats.draw_interval(means, ["lang"], "q")
     return out.select("lang", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n")
 
 
 @query(
     _SCORED
-    + f""", x AS (SELECT doc_id, quality - toxic AS d1, toxic - CASE WHEN c > 0.5 THEN 1 ELSE 0 END AS d2, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM s),
-p AS (SELECT {_pick("i", "d", "n")} AS i, d FROM x CROSS JOIN range(200) t(d)),
-m AS (SELECT d, avg(d1) AS d1, avg(d2) AS d2 FROM p JOIN x USING (i) GROUP BY d),
-l AS (SELECT 'd1' AS contrast, d1 AS v, (SELECT avg(d1) FROM x) AS e FROM m UNION ALL SELECT 'd2', d2, (SELECT avg(d2) FROM x) FROM m),
+    + ", x AS (SELECT quality - toxic AS d1, toxic - CASE WHEN c > 0.5 THEN 1 ELSE 0 END AS d2 FROM s)"
+    + drawn("", "d1, d2", "avg(d1) AS d1, avg(d2) AS d2", "x")
+    + f""", l AS (SELECT 'd1' AS contrast, d1 AS v, (SELECT avg(d1) FROM x) AS e FROM m UNION ALL SELECT 'd2', d2, (SELECT avg(d2) FROM x) FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY v) - 1 AS k FROM l)
-SELECT contrast, round(max(e), 9) AS estimate, round(max(v) FILTER (k = 5), 9) AS lo, round(max(v) FILTER (k = 195), 9) AS hi,
-  round((count(*) FILTER (abs(v - e) >= abs(e) - 1e-12) + 1) / 201.0, 9)::DOUBLE AS p FROM r GROUP BY contrast"""
+SELECT contrast, round(max(e), 9) AS estimate, round(max(v) FILTER (k = {LO}), 9) AS lo, round(max(v) FILTER (k = {HI}), 9) AS hi,
+  round((count(*) FILTER (abs(v - e) >= abs(e) - 1e-12) + 1) / {_R + 1}.0::DOUBLE, 9)::DOUBLE AS p FROM r GROUP BY contrast"""
 )
 def paired_bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two contrasts over the same documents share their draws."""
     x = _scored(spark, sf_dir).select("doc_id", (F.col("quality") - F.col("toxic")).alias("d1"), (F.col("toxic") - (F.col("c") > 0.5).cast("int")).alias("d2"))
-    draws = stats.hashed_draws(x, [], "doc_id", ["d1", "d2"], 200)
+    draws = stats.hashed_draws(x, [], "doc_id", ["d1", "d2"], _R)
     long = draws.select(F.explode(F.array(*[F.struct(F.lit(d).alias("contrast"), (F.col(d) / F.col("n")).alias("v")) for d in ("d1", "d2")])).alias("s")).select("s.*")
     means = x.agg(F.avg("d1").alias("d1"), F.avg("d2").alias("d2")).select(F.explode(F.array(*[F.struct(F.lit(d).alias("contrast"), F.col(d).alias("estimate")) for d in ("d1", "d2")])).alias("s")).select("s.*")
     far = F.count_if(F.abs(F.col("v") - F.col("estimate")) >= F.abs("estimate") - 1e-12)
-    p = long.join(F.broadcast(means), "contrast").groupBy("contrast", "estimate").agg(((far + 1) / 201.0).alias("p"))
-    out = p.join(stats.order_interval(long, ["contrast"], "v"), "contrast")
+    p = long.join(F.broadcast(means), "contrast").groupBy("contrast", "estimate").agg(((far + 1) / (_R + 1.0)).alias("p"))
+    out = p.join(stats.draw_interval(long, ["contrast"], "v"), "contrast")
     return out.select("contrast", *[F.round(c, 9).alias(c) for c in ("estimate", "lo", "hi", "p")])
 
 
-@query(f"""
-WITH c AS (SELECT user_id, sum((event_type = 'click')::INTEGER)::BIGINT AS num, count(*) AS den FROM events GROUP BY user_id),
-u AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM c),
-p AS (SELECT {_pick("i", "d", "n")} AS i, d FROM u CROSS JOIN range(100) t(d)),
-m AS (SELECT d, sum(num) / sum(den) AS v FROM p JOIN u USING (i) GROUP BY d),
-r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM m)
-SELECT (SELECT count(*) FROM c) AS clusters, round((SELECT sum(num) / sum(den) FROM c), 9) AS estimate, round(max(v) FILTER (k = 2), 9) AS lo, round(max(v) FILTER (k = 97), 9) AS hi FROM r""")
+@query(
+    "WITH c AS (SELECT user_id, sum((event_type = 'click')::INTEGER)::BIGINT AS num, count(*) AS den FROM events GROUP BY user_id)"
+    + drawn("", "num, den", "sum(num) / sum(den) AS v", "c")
+    + f""", r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM m)
+SELECT (SELECT count(*) FROM c) AS clusters, round((SELECT sum(num) / sum(den) FROM c), 9) AS estimate, round(max(v) FILTER (k = {LO}), 9) AS lo, round(max(v) FILTER (k = {HI}), 9) AS hi FROM r"""
+)
 def clustered_ratio_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of clicks, users being the clusters."""
     c = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum((F.col("event_type") == "click").cast("long")).alias("num"), F.count("*").alias("den"))
-    draws = stats.hashed_draws(c, [], "user_id", ["num", "den"], 100).select(F.lit(1).alias("g"), (F.col("num") / F.col("den")).alias("v"))
+    draws = stats.hashed_draws(c, [], "user_id", ["num", "den"], _R).select(F.lit(1).alias("g"), (F.col("num") / F.col("den")).alias("v"))
     whole = c.agg(F.count("*").alias("clusters"), (F.sum("num") / F.sum("den")).alias("estimate"))
-    out = stats.order_interval(draws, ["g"], "v").crossJoin(F.broadcast(whole))  # a row each
+    out = stats.draw_interval(draws, ["g"], "v").crossJoin(F.broadcast(whole))  # a row each
     return out.select("clusters", *[F.round(x, 9).alias(x) for x in ("estimate", "lo", "hi")])
 
 
-@query(f"""
-WITH b AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
-p AS (SELECT event_type, {_pick("i", "d", "n")} AS i, d FROM b CROSS JOIN range(100) t(d)),
-m AS (SELECT d, sum(value) / (SELECT count(DISTINCT user_id) FROM events) AS v FROM p JOIN b USING (event_type, i) GROUP BY d)
-SELECT d::INTEGER AS draw, round(v, 6) AS seconds FROM m""")
+@query(
+    "WITH b AS (SELECT event_type, value FROM events)"
+    + drawn("event_type", "value", "sum(value) AS v", "b")
+    + " SELECT d::INTEGER AS draw, round(sum(v) / (SELECT count(DISTINCT user_id) FROM events), 6) AS seconds FROM m GROUP BY d"
+)
 def stratified_time_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are drawn within their stage, times summed over stages and put per question; every event is a
     batch, every user a question."""
     events = read(spark, sf_dir, "events")
     users = events.agg(F.countDistinct("user_id").alias("users"))
-    draws = stats.hashed_draws(events, ["event_type"], "event_id", ["value"], 100)
+    draws = stats.hashed_draws(events, ["event_type"], "event_id", ["value"], _R)
     total = draws.groupBy("draw").agg(F.sum("value").alias("v")).crossJoin(F.broadcast(users))
     return total.select("draw", F.round(F.col("v") / F.col("users"), 6).alias("seconds"))
 
@@ -139,16 +153,14 @@ def bootstrap_mean_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SCORED
-    + f""", u AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM s),
-p AS (SELECT source, {_pick("i", "d", "n")} AS i, d FROM u CROSS JOIN range(100) t(d)),
-m AS (SELECT source, d, round(avg(quality), 9) AS q FROM p JOIN u USING (source, i) GROUP BY ALL),
-r AS (SELECT source, d, rank() OVER (PARTITION BY d ORDER BY q DESC) + (count(*) OVER (PARTITION BY d, q) - 1) / 2.0 AS k, q,
+    + drawn("source", "quality", "round(avg(quality), 9) AS q", "s")
+    + """, r AS (SELECT source, d, rank() OVER (PARTITION BY d ORDER BY q DESC) + (count(*) OVER (PARTITION BY d, q) - 1) / 2.0 AS k, q,
   max(q) OVER (PARTITION BY d) AS top, count(*) OVER (PARTITION BY d, q) AS ties FROM m)
 SELECT source, round(avg(k), 6)::DOUBLE AS mean_rank, round(avg(CASE WHEN q = top THEN 1.0 / ties ELSE 0 END), 6)::DOUBLE AS p_most FROM r GROUP BY source"""
 )
 def rank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of sources over draws, and the chance to be first, ties split."""
-    draws = stats.hashed_draws(_scored(spark, sf_dir), ["source"], "doc_id", ["quality"], 100).withColumn("q", F.round(F.col("quality") / F.col("n"), 9))
+    draws = stats.hashed_draws(_scored(spark, sf_dir), ["source"], "doc_id", ["quality"], _R).withColumn("q", F.round(F.col("quality") / F.col("n"), 9))
     ranked = draws.select("source", "draw", "q", stats.ranks_with_ties(draws, ["draw"], "q").alias("k"), F.max("q").over(Window.partitionBy("draw")).alias("top"), F.count("*").over(Window.partitionBy("draw", "q")).alias("ties"))
     most = F.when(F.col("q") == F.col("top"), 1.0 / F.col("ties")).otherwise(0.0)
     return ranked.groupBy("source").agg(F.round(F.avg("k"), 6).alias("mean_rank"), F.round(F.avg(most), 6).alias("p_most"))
