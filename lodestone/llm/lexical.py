@@ -24,9 +24,9 @@ from . import shared
 #: What parts terms: every ASCII character that is no letter or digit.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text that are split at a time, and documents.
-SLICE_BYTES, SLICE = 8 << 20, 20_000
+SLICE_BYTES, SLICE = 2 << 20, 20_000
 #: Postings of a shard, about.
-SHARD_POSTINGS = 1 << 20
+SHARD_POSTINGS = 1 << 19
 #: For each tier but the last: a term's postings of highest impact in a shard, so many at least, or one in so many.
 TIERS = ((16, 16), (128, 4))
 #: Bytes of items, about, that are sent to the tasks of one search.
@@ -56,12 +56,14 @@ def _sliced(ids: pa.Array, texts: pa.Array, asked: pa.Array | None) -> list:
     coded = lists.flatten().dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary
     known = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy())
     real = known[codes] if len(codes) else np.zeros(0, bool)
     n = np.bincount(doc[real], minlength=len(texts))
     if asked is not None and len(codes):
         real &= pc.is_in(words, value_set=asked).to_numpy(zero_copy_only=False)[codes]
-    key, tf = np.unique(codes[real].astype(np.int64) * len(texts) + doc[real], return_counts=True)
+    key = codes[real].astype(np.int64) * len(texts) + doc[real]
+    del lists, coded, codes, doc, real
+    key, tf = np.unique(key, return_counts=True)
     term, of = key // max(1, len(texts)), key % max(1, len(texts))
     used, df = np.unique(term, return_counts=True)
     return [int((n > 0).sum()), int(n.sum()), ids.to_pylist(), n.tolist(), words.take(pa.array(used, pa.int64())).to_pylist(), df.tolist(), of.astype(np.int32), tf.astype(np.int32)]
@@ -112,16 +114,17 @@ def _shards(sliced: DataFrame, documents: int, length: int) -> DataFrame:
     """(shard, ids, terms, ...): slices that follow each other, until they hold SHARD_POSTINGS, as one shard."""
 
     def shard(held: list[dict], k: int) -> pa.RecordBatch:
-        words = pa.array([t for h in held for t in h["terms"]], pa.string()).dictionary_encode()
+        words = pa.concat_arrays([h["terms"] for h in held]).dictionary_encode()
         # terms in order of their first slice; postings keep the slice's order
         term = np.repeat(words.indices.to_numpy(), np.concatenate([h["df"] for h in held]))
         base = np.cumsum([0, *(len(h["n"]) for h in held)])
         doc = np.concatenate([h["docs"] + b for h, b in zip(held, base, strict=False)])
         x = impact(np.concatenate([h["tf"] for h in held]), np.concatenate([h["n"] for h in held])[doc], documents, length)
-        ids = [i for h in held for i in h["ids"]]
+        ids = pa.concat_arrays([h["ids"] for h in held])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         blobs = [pa.array([a.tobytes()], pa.binary()) for a in _tiered(term, doc, x, len(words.dictionary))]
         number = (TaskContext.get().partitionId() << 24) + k
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())), *blobs], names=["shard", "ids", "terms", *_COLUMNS])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids), one(words.dictionary), *blobs], names=["shard", "ids", "terms", *_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, postings, k = [], 0, 0
@@ -129,7 +132,7 @@ def _shards(sliced: DataFrame, documents: int, length: int) -> DataFrame:
             for batch in batches:
                 for i in range(len(batch)):
                     row = {n: batch.column(n)[i].values for n in ("ids", "n", "terms", "df", "docs", "tf")}
-                    held.append({n: v.to_pylist() if n in ("ids", "terms") else v.to_numpy() for n, v in row.items()})
+                    held.append({n: v if n in ("ids", "terms") else v.to_numpy() for n, v in row.items()})
                     postings += len(held[-1]["docs"])
                     if postings >= SHARD_POSTINGS:
                         yield shard(held, k)
