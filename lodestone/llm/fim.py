@@ -70,9 +70,12 @@ def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 80, ma
     kept = docs.drop(*(c for c in new if c not in (id_col, text_col)))
     names = [c for c in kept.columns if (keep_text or c != text_col) and c not in new]
 
+    given = kept.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.worker("fim"):
             for batch in batches:
+                batch = batch.rename_columns(given)
                 for part in shared.parts(batch, text_col, SLICE):
                     texts = [(b or b"").decode("utf-8", "replace") for b in part.column(text_col).cast(pa.binary()).to_pylist()]
                     rows = [cut(t, draws(seed, i), rate, spm, markers) for t, i in zip(texts, part.column(id_col).to_pylist(), strict=True)]
@@ -81,7 +84,7 @@ def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 80, ma
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names), *(f"`{n}` {t}" for n, t in new.items())])
-    return kept.mapInArrow(run, schema)
+    return kept.toDF(*(f"c{i}" for i in range(len(given)))).mapInArrow(run, schema)  # names may hold dots
 
 
 def restored(output: Column, form: Column, markers: tuple[str, str, str] = MARKERS) -> Column:

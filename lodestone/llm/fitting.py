@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> DataFrame:
     """Rows of docs (doc_id, text) with y: up to rows_per_class labelled ids of either class, picked by hash of the id, so
-    the pick doesn't depend on order. The bounded side is broadcast. Null ids and labels other than 0 and 1 are ignored."""
+    the pick doesn't depend on order, and as many rows: where ids have several rows, different texts count once each, and
+    those of the first ids by hash are taken. The bounded side is broadcast. Null ids and labels other than 0 and 1 are ignored."""
     picked = None
     for y in (0, 1):
         one = labels.where((F.col(label) == y) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.lit(y).alias("y"))
         one = one.distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows_per_class)
         picked = one if picked is None else picked.unionAll(one)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    if max((r["count"] for r in rows.groupBy("y").count().collect()), default=0) <= rows_per_class:
+        return rows
+    keys, first = rows.select("y", "doc_id", F.xxhash64("text").alias("__text")).distinct(), None
+    for y in (0, 1):
+        one = keys.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "__text").limit(rows_per_class)
+        first = one if first is None else first.unionAll(one)
+    return rows.withColumn("__text", F.xxhash64("text")).join(F.broadcast(first), ["y", "doc_id", "__text"], "left_semi").select("doc_id", "text", "y").distinct()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

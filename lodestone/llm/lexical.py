@@ -90,15 +90,15 @@ def impact(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.nda
     return (1_000_000_000 * tf.astype(np.int64)) // (1000 * tf.astype(np.int64) + 20 * m)
 
 
-def _tiered(term: np.ndarray, doc: np.ndarray, x: np.ndarray, terms: int) -> list[np.ndarray]:
+def _tiered(term: np.ndarray, doc: np.ndarray, x: np.ndarray, terms: int, tiers: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
     """For each tier starts, docs and impacts of each term's postings, and the highest impact that the lower tiers hold."""
     order = np.lexsort([doc, -x, term])
     term, doc, x = term[order], doc[order], x[order]
     begin = np.searchsorted(term, np.arange(terms + 1))
     df, nth = np.diff(begin), np.arange(len(term)) - begin[term]
     out, lo = [], np.zeros(terms, np.int64)
-    for tier in range(len(TIERS) + 1):
-        hi = np.minimum(df, np.maximum(TIERS[tier][0], -(-df // TIERS[tier][1]))) if tier < len(TIERS) else df
+    for least, share in (*tiers, (0, 1)):
+        hi = np.minimum(df, np.maximum(np.maximum(least, -(-df // share)), lo))
         mine = (nth >= lo[term]) & (nth < hi[term])
         rest = begin[:-1] + hi
         bounds = np.where(hi < df, x[np.minimum(rest, len(x) - 1)] if len(x) else 0, 0)
@@ -122,7 +122,7 @@ def _shards(sliced: DataFrame, documents: int, length: int) -> DataFrame:
         x = impact(np.concatenate([h["tf"] for h in held]), np.concatenate([h["n"] for h in held])[doc], documents, length)
         ids = pa.concat_arrays([h["ids"] for h in held])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        blobs = [pa.array([a.tobytes()], pa.binary()) for a in _tiered(term, doc, x, len(words.dictionary))]
+        blobs = [pa.array([a.tobytes()], pa.binary()) for a in _tiered(term, doc, x, len(words.dictionary), TIERS)]
         number = (TaskContext.get().partitionId() << 24) + k
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids), one(words.dictionary), *blobs], names=["shard", "ids", "terms", *_COLUMNS])
 

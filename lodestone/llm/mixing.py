@@ -85,10 +85,10 @@ def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
         dealt = single
     else:
         # rows of one doc_id: each gets the quotient, the first ones one more
-        w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if not c.startswith("__")]))
+        w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")]))
         many = held.where("__rows > 1").withColumn("__nth", F.row_number().over(w))
         extra = F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
         many = many.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + extra).drop("__nth")
         dealt = single.unionByName(many)
     repeated = dealt.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

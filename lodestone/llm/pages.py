@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,8 +17,8 @@ from . import boosting, page_samples, shared
 
 #: Generated pages that the trees are fitted on.
 SAMPLE_PAGES = 1500
-#: Pages that are read at a time, and nodes whose features are held at a time (or those of one page).
-SLICE, NODES = 200, 100_000
+#: Pages that are read at a time, and nodes whose features are held at a time.
+SLICE, NODES = 200, 50_000
 
 # Kinds of HTML elements, and words in class, id and role that hint at what an element is for.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -53,8 +54,8 @@ class Dom(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.hints, self.hidden, self.mark = ["#root"], [-1], [()], [False], [None]
-        self.depth, self.links = [0], [0]
+        self.tag, self.hints, self.mark = ["#root"], [()], [None]
+        self.parent, self.depth, self.links, self.hidden = array("q", [-1]), array("l", [0]), array("q", [0]), bytearray([0])
         self.runs: list[tuple[int, list[str]]] = []
         self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that holds their text
         self.open: dict[str, list[int]] = {}  # places in the stack by tag, and those of what isn't inline
@@ -176,52 +177,74 @@ def parse(html: str | None) -> Dom:
     return dom
 
 
-def features(dom: Dom) -> tuple[np.ndarray, list[tuple[int, str]]]:
-    """One row of features for each node, and the blocks of text: (node, text), white space made one space."""
-    n = len(dom.tag)
-    blocks = [(node, text) for node, run in dom.runs if (text := " ".join("".join(run).split()))]
-    own, marks, count = np.zeros(n), np.zeros(n), np.zeros(n)
-    before, at = np.full(n, -1.0), 0
-    for node, text in blocks:
-        own[node] += len(text)
-        marks[node] += text.count(".") + text.count(",")
-        count[node] += 1
-        up = node
-        while up >= 0 and before[up] < 0:
-            before[up], up = at, dom.parent[up]
-        at += len(text)
-    parent = np.array(dom.parent)
-    links, tags, paragraphs = np.minimum(np.array(dom.links, float), own), np.ones(n), np.array([t == "p" for t in dom.tag], float)
-    total, total_links, total_marks, total_count = own.copy(), links.copy(), marks.copy(), count.copy()
-    children, nth = np.zeros(n), np.zeros(n)
-    for k in range(n - 1, 0, -1):
-        p = dom.parent[k]
-        total[p] += total[k]
-        total_links[p] += total_links[k]
-        total_marks[p] += total_marks[k]
-        total_count[p] += total_count[k]
-        tags[p] += tags[k]
-        paragraphs[p] += paragraphs[k]
-    hint, above = np.zeros((n, len(HINTS))), np.zeros((n, len(HINTS)))
-    tag, tag_above = np.zeros((n, len(_TAGS))), np.zeros((n, len(_TAGS)))
-    for k in range(n):
-        hint[k, list(dom.hints[k])] = 1
-        if (t := _TAG.get(dom.tag[k])) is not None:
-            tag[k, t] = 1
-        if k:
+class Nodes:
+    """What the features of a page's nodes are made of: a few numbers and bits a node. rows() makes the features of some."""
+
+    def __init__(self, dom: Dom, blocks: list[tuple[int, str]]):
+        n = len(dom.tag)
+        own, marks, count = np.zeros(n), np.zeros(n), np.zeros(n)
+        before, at = np.full(n, -1.0), 0
+        for node, text in blocks:
+            own[node] += len(text)
+            marks[node] += text.count(".") + text.count(",")
+            count[node] += 1
+            up = node
+            while up >= 0 and before[up] < 0:
+                before[up], up = at, dom.parent[up]
+            at += len(text)
+        self.parent, self.own, self.before = np.array(dom.parent, np.int64), own, np.maximum(before, 0)
+        self.depth, self.hidden = np.array(dom.depth, np.int32), np.array(dom.hidden, bool)
+        # sums over subtrees: a node's parent stands before it
+        sums = [own.copy(), np.minimum(np.array(dom.links, float), own), marks, count, np.ones(n), np.array([t == "p" for t in dom.tag], float)]
+        total, total_links, total_marks, total_count, tags, paragraphs = sums
+        self.children, self.nth = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for k in range(n - 1, 0, -1):
             p = dom.parent[k]
-            nth[k] = children[p]
-            children[p] += 1
-            above[k] = np.maximum(above[p], hint[p])
-            tag_above[k] = np.maximum(tag_above[p], tag[p])
-    siblings, page = children[np.maximum(parent, 0)], max(total[0], 1.0)
-    before = np.where(before < 0, 0, before)
-    ratio = lambda a, b: a / np.maximum(b, 1.0)
-    plain = np.column_stack([
-        np.array(dom.depth, float), children, siblings, nth, ratio(nth, siblings), np.log1p(total), np.log1p(own), ratio(total_links, total), ratio(total, tags),
-        ratio(total_marks, total), ratio(total, total[np.maximum(parent, 0)]), ratio(total, page), paragraphs, ratio(total, total_count), ratio(before, page), np.array(dom.hidden, float),
-    ])
-    return np.concatenate([plain, hint, above, tag, tag_above], axis=1), blocks
+            total[p] += total[k]
+            total_links[p] += total_links[k]
+            total_marks[p] += total_marks[k]
+            total_count[p] += total_count[k]
+            tags[p] += tags[k]
+            paragraphs[p] += paragraphs[k]
+        self.total, self.total_links, self.total_marks, self.total_count, self.tags, self.paragraphs = sums
+        self.hint, self.above, self.tag, self.tag_above = (np.zeros(n, np.int32) for _ in range(4))
+        for k in range(n):
+            self.hint[k] = sum(1 << h for h in set(dom.hints[k]))
+            self.tag[k] = 1 << t if (t := _TAG.get(dom.tag[k])) is not None else 0
+            if k:
+                p = dom.parent[k]
+                self.nth[k] = self.children[p]
+                self.children[p] += 1
+                self.above[k] = self.above[p] | self.hint[p]
+                self.tag_above[k] = self.tag_above[p] | self.tag[p]
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        """Features of the nodes from lo up to hi."""
+        s = slice(lo, min(hi, len(self)))
+        up = np.maximum(self.parent[s], 0)
+        siblings, page, total = self.children[up].astype(float), max(self.total[0], 1.0), self.total[s]
+        ratio = lambda a, b: a / np.maximum(b, 1.0)
+        bits = lambda flags, count: (flags[s, None] >> np.arange(count, dtype=np.int32) & 1).astype(float)
+        plain = np.column_stack([
+            self.depth[s], self.children[s], siblings, self.nth[s], ratio(self.nth[s], siblings), np.log1p(total), np.log1p(self.own[s]), ratio(self.total_links[s], total), ratio(total, self.tags[s]),
+            ratio(self.total_marks[s], total), ratio(total, self.total[up]), ratio(total, page), self.paragraphs[s], ratio(total, self.total_count[s]), ratio(self.before[s], page), self.hidden[s].astype(float),
+        ])
+        return np.concatenate([plain, bits(self.hint, len(HINTS)), bits(self.above, len(HINTS)), bits(self.tag, len(_TAGS)), bits(self.tag_above, len(_TAGS))], axis=1)
+
+
+def nodes_of(dom: Dom) -> tuple[Nodes, list[tuple[int, str]]]:
+    """What a page's features are made of, and the blocks of text: (node, text), white space made one space."""
+    blocks = [(node, text) for node, run in dom.runs if (text := " ".join("".join(run).split()))]
+    return Nodes(dom, blocks), blocks
+
+
+def features(dom: Dom) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """One row of features for each node, and the blocks of text."""
+    nodes, blocks = nodes_of(dom)
+    return nodes.rows(0, len(nodes)), blocks
 
 
 @functools.cache
@@ -259,11 +282,17 @@ def decode(dom: Dom, logits: np.ndarray) -> list[bool]:
 
 
 def main_texts(htmls: list[str | None], trees: boosting.Boosted) -> list[str]:
+    """Main texts of pages. The features of NODES nodes are held at a time, of several pages or of a part of one."""
     out, waiting, nodes = [], [], 0
 
     def judge() -> None:
         if waiting:
-            logits = np.split(trees.logits(np.concatenate([x for _, x, _ in waiting])), np.cumsum([len(x) for _, x, _ in waiting])[:-1])
+            sizes = [len(x) for _, x, _ in waiting]
+            some = waiting[0][1] if len(waiting) == 1 else None
+            if some is not None:
+                logits = [np.concatenate([trees.logits(some.rows(lo, lo + NODES)) for lo in range(0, len(some), NODES)])]
+            else:
+                logits = np.split(trees.logits(np.concatenate([x.rows(0, len(x)) for _, x, _ in waiting])), np.cumsum(sizes)[:-1])
             for (dom, _, blocks), z in zip(waiting, logits, strict=True):
                 kept = decode(dom, z)
                 out.append("\n\n".join(text for node, text in blocks if kept[node]))
@@ -274,7 +303,7 @@ def main_texts(htmls: list[str | None], trees: boosting.Boosted) -> list[str]:
         if nodes + len(dom.tag) > NODES:
             judge()
             nodes = 0
-        waiting.append((dom, *features(dom)))
+        waiting.append((dom, *nodes_of(dom)))
         nodes += len(dom.tag)
     judge()
     return out

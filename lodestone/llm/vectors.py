@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +110,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     Each shard's graph: greedy beam searches propose neighbours, robust pruning with relaxation ALPHA keeps diverse
     edges (one round with 1, one with ALPHA), and nodes that a search misses get an edge. Queries beam-search every
     shard, with a beam that an audit of each task widens until it finds NEAREST_RECALL of the k + 1 nearest of the shard;
-    the best are scored again on the original vectors in double precision. Defined results: unusable vectors and
+    all that single precision can't tell from these are scored again on the original vectors in double precision. Vectors of
+    one direction are one node, whatever their lengths; each is scored by itself. Defined results: unusable vectors and
     null ids take no part, as query or candidate; rows repeated with id and vector count once; of equal vectors the k + 1
     smallest ids are kept, which is all that can come up; with fewer than k candidates all are given; an empty table
     gives an empty result; other columns are ignored.
@@ -124,12 +125,15 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
 
     def build(group: pa.Table) -> pa.Table:
         v, ids = _matrix(group.column("v")), group.column("id").to_numpy()
-        rep, place = _distinct(v)
-        x = _unit(v[rep])
+        use = _least_ids(v, ids, k + 1)
+        v, ids = v[use], ids[use]
+        x = _unit(v)
+        rep, place = _distinct(x)  # one node for each direction, as single precision tells them apart
+        x = x[rep]
         graph, entry = graphs.build(x, DEGREE, BUILD_WIDTH, ALPHA, rounds=(1.0, ALPHA))
         visits = graphs.Visits(len(x))
         graph = graphs.repair(x, graph, lambda g, y: graphs.beam_search(x, g, y, np.full((len(y), 1), entry), BUILD_WIDTH // 2, visits=visits)[0])
-        return _index(group, _dump(v=v[rep], ids=ids, place=place, graph=graph.astype(np.int32), entry=np.array(entry)))
+        return _index(group, _dump(v=v, ids=ids, rep=rep, place=place, graph=graph.astype(np.int32), entry=np.array(entry)))
 
     index = tmp.cut(nodes.withColumn("shard", _shard(shards)).groupBy("dim", "shard").applyInArrow(build, _INDEX), "index")
     queries = clean.where(F.pmod("id", F.lit(every)) == 0)
@@ -139,32 +143,30 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
         out = {"query_id": [], "query_hash": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             at = np.load(io.BytesIO(left.column("blob")[0].as_py()))
-            v, ids, place, graph, entry = (at[n] for n in ("v", "ids", "place", "graph", "entry"))
-            x, q, qid, qhash = _unit(v), _matrix(right.column("v")), right.column("id").to_numpy(), right.column("hash").to_numpy()
-            order = np.lexsort([ids, place])
-            starts = np.searchsorted(place[order], np.arange(len(v) + 1))
+            v, ids, rep, place, graph, entry = (at[n] for n in ("v", "ids", "rep", "place", "graph", "entry"))
+            x, q, qid, qhash = _unit(v[rep]), _matrix(right.column("v")), right.column("id").to_numpy(), right.column("hash").to_numpy()
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(len(x) + 1))
             visits = graphs.Visits(len(x))
             beam = lambda y, width: graphs.beam_search(x, graph, y, np.full((len(y), 1), int(entry)), width, visits=visits)
             width = _audited(x, _unit(q[np.random.default_rng(0).permutation(len(q))[:AUDIT_QUERIES]]), k + 1, beam)
             for lo in range(0, len(q), graphs.TOGETHER):
                 part = q[lo : lo + graphs.TOGETHER]
-                found, _ = beam(_unit(part), width)
-                found = found[:, : 2 * k + 6]
-                row, col = np.nonzero(found >= 0)
-                score = cosine(part[row], v[found[row, col]])
-                # one row for each id of each node found
-                node = found[row, col]
-                n = starts[node + 1] - starts[node]
-                pick = order[np.repeat(starts[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                row, score, other = np.repeat(row, n), np.repeat(score, n), ids[pick]
-                use = other != qid[lo + row]
-                row, score, other = row[use], score[use], other[use]
-                by = np.lexsort([other, -score, row])
-                row, score, other = row[by], score[by], other[by]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                top = nth < k
-                for name, value in (("query_id", qid[lo + row[top]]), ("query_hash", qhash[lo + row[top]]), ("vec_id", other[top]), ("score", score[top])):
-                    out[name].append(value)
+                for row, node in _close(_unit(part), beam, width, k + 1, len(x)):
+                    # one row for each vector of each node found
+                    n = starts[node + 1] - starts[node]
+                    pick = order[np.repeat(starts[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    row = np.repeat(row, n)
+                    use = ids[pick] != qid[lo + row]
+                    row, pick = row[use], pick[use]
+                    step = max(1, TOGETHER // v.shape[1])
+                    score = np.concatenate([np.zeros(0), *(cosine(part[row[i : i + step]], v[pick[i : i + step]]) for i in range(0, len(row), step))])
+                    other = ids[pick]
+                    by = np.lexsort([other, -score, row])
+                    row, score, other = row[by], score[by], other[by]
+                    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    for name, value in (("query_id", qid[lo + row[top]]), ("query_hash", qhash[lo + row[top]]), ("vec_id", other[top]), ("score", score[top])):
+                        out[name].append(value)
         return pa.table({n: pa.array(np.concatenate(v) if v else [], pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
     dealt = _dealt(queries.withColumn("hash", F.xxhash64("v")), shards, blocks)
@@ -174,6 +176,31 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _least_ids(v: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can come up: of vectors that differ by a power of two only, which have the same cosine with any other to the
+    last bit, those of the k smallest ids."""
+    with np.errstate(all="ignore"):
+        scaled = np.ldexp(v.astype(np.float64), -np.frexp(np.abs(v).max(axis=1).astype(np.float64))[1][:, None])
+    _, group = _distinct(scaled)
+    by = np.lexsort([ids, group])
+    nth = np.arange(len(by)) - np.searchsorted(group[by], group[by])
+    return np.sort(by[nth < k])
+
+
+def _close(queries: np.ndarray, beam: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]], width: int, k: int, nodes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of what may be among the k nearest: all whose single-precision score is within its rounding of the k-th
+    best. Queries whose whole beam is as near as that are searched again with twice the beam."""
+    todo, slack = np.arange(len(queries)), 2e-7 * (queries.shape[1] + 16)
+    while len(todo):
+        found, near = beam(queries[todo], width)
+        least = near[:, min(k, near.shape[1]) - 1] - slack
+        full = (near[:, -1] >= least) & (found[:, -1] >= 0) & (width < nodes)
+        row, col = np.nonzero((found >= 0) & (near >= least[:, None]) & ~full[:, None])
+        if len(row):
+            yield todo[row], found[row, col]
+        todo, width = todo[full], 2 * width
+
+
 def _audited(x: np.ndarray, audit: np.ndarray, k: int, beam: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> int:
     """The beam, doubled from NEAREST_WIDTH, with which the audit's queries find enough of their k nearest nodes."""
     width = max(NEAREST_WIDTH, 4 * k)

@@ -204,3 +204,14 @@ def test_keep_good_judges_null_and_repeated_ids_by_row(spark):
     docs = spark.createDataFrame([(None, text, "en", "s"), (1, text, "en", "s"), (1, text, "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([], LABELS)
     assert quality.keep_good(spark, docs, labels).where("text is not null").count() == 3
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark):
+    from lodestone.llm import fitting
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "other") for i in range(2, 30)] + [(2, "other")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic long")
+    for most in (5, 40):
+        rows = fitting.labelled(docs, labels, "toxic", most).collect()
+        assert all(sum(r.y == y for r in rows) <= most for y in (0, 1)) and len(rows) == len(set(rows))
+    assert fitting.labelled(docs.where("doc_id > 1").distinct(), labels, "toxic", 40).count() == 28

@@ -157,3 +157,9 @@ def test_long_lists_of_rules_are_joined(spark, monkeypatch):
     rules = [(f"{v}", f"h{k}.net", "/") for k in range(3000) for v in ("block", "allow") if v == "block" or k % 2]
     df = spark.createDataFrame([(k, f"https://www.H{k}.net/p", None) for k in (0, 1, 2999, 3000)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter.judge(spark, df, rules).collect()) == [(0, "block", "h0.net/"), (1, "allow", "h1.net/"), (2999, "allow", "h2999.net/"), (3000, "allow", None)]
+
+
+def test_mixed_keeps_columns_with_dots(spark):
+    rows = [(i % 7, "a b c", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("x.y", F.lit(1))
+    assert mixing.mixed(spark, docs).columns == ["doc_id", "text", "source", "x.y"]

@@ -174,3 +174,32 @@ def test_very_long_vectors_and_clashing_columns(spark):
     near = {r.query_id: r.vec_id for r in vectors.nearest(spark, df, k=1).collect()}
     assert len(near) == 60 and all(near[50 * i] == 50 * (50 + i) for i in range(10))
     assert sum(r.n_links for r in vectors.near_duplicates(spark, df).collect()) == 20
+
+
+@pytest.mark.parametrize("scales", [[2.0**k for k in range(-20, 20)], [1.0, 3.0, 0.7, 1e-5, 12345.0]])
+def test_parallel_vectors_go_by_their_ids(spark, scales):
+    """All have one direction: cosines are 1 but for rounding, which decides in double precision."""
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    rows = [(i, (one * scales[i % len(scales)]).tolist()) for i in range(400)]
+    got = {}
+    for r in vectors.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = np.array([x for _, x in rows])
+    for q in range(0, 400, 50):
+        score = vectors.cosine(np.repeat(v[q : q + 1], 400, axis=0), v)
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:5]
+        assert got[q] == [(i, score[i]) for i in want]
+
+
+def test_ties_wider_than_a_beam_are_all_ranked(spark):
+    """More vectors than a beam holds differ by less than single precision tells."""
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=8)
+    rows = [(i, (one + rng.normal(size=8) * 1e-7).tolist()) for i in range(3000)]
+    v = np.array([x for _, x in rows])
+    got = vectors.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=500).collect()
+    for q in range(0, 3000, 500):
+        score = vectors.cosine(np.repeat(v[q : q + 1], 3000, axis=0), v)
+        want = sorted((i for i in range(3000) if i != q), key=lambda i: (-score[i], i))[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
