@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import lineage
+from . import lineage, postings
 
 K1, B = 1.5, 0.75
 
@@ -31,48 +31,36 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def weight(tf: Column, length: Column, avgdl: Column, idf: Column, k1: float = K1, b: float = B) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl)) * idf
+def index(docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", asked: DataFrame | None = None) -> postings.Index:
+    """Postings of docs, written once, for as many searches as are needed; with asked (term), those of few terms only."""
+    return postings.build(docs, doc_id, text.tokens(F.col(doc_text)), asked, K1, B)
 
 
-def index(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame | None = None, few: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """Postings (term, id, tf, weight); with terms, only of those, which are filtered before anything is shuffled. Then the
-    postings are kept, so texts are split once for them and once for the mean length. few: there are few enough terms for
-    their document frequencies to be broadcast, so that postings of frequent terms stay where they are."""
-    # explode() would have the optimiser test the size of the tokens first, and so split the text once more
-    tf = docs.select(F.col(id_col), tokens.alias("_t")).select(id_col, F.size("_t").alias("length"), F.explode_outer("_t").alias("term")).where("term is not null")
-    if terms is not None:
-        tf = tf.join(terms, "term", "left_semi")
-    tf = tf.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
-    if terms is not None:
-        tf = lineage.cut(tf)
-    df = document_frequencies(tf)
-    both = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(lengths(docs, tokens)))  # lengths is one row
-    return both.select("term", id_col, "tf", weight(F.col("tf"), F.col("length"), F.col("avgdl"), idf(F.col("n"), F.col("df")), k1, b).alias("weight"))
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", fill: bool = False) -> DataFrame:
+def search(docs: DataFrame | postings.Index, queries: DataFrame, k: int, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", fill: DataFrame | bool = False) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query, by score to six digits, ties to the smaller id.
 
-    A query token that occurs twice counts twice; unknown ones count nothing; a query without a known token, or k < 1,
-    has no rows. With fill, a query with fewer than k matches gets the first documents that don't match, at score 0.
+    docs: an index of them, or the documents, for which one of the queries' terms is made. A query token that occurs twice
+    counts twice; unknown ones count nothing; a query without a known token, or k < 1, has no rows; rows of one query_id are
+    one query. With fill (True, or the documents if docs is an index), a query with fewer than k matches gets the first documents
+    that don't match, at score 0.
     """
-    doc_tokens, query_tokens = text.tokens(F.col(doc_text)), text.tokens(F.col(query_text))
-    asked = queries.select(F.col(query_id), F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    few = lineage.small(asked)
-    near = lambda df: F.broadcast(df) if few else df
-    postings = index(docs, doc_id, doc_tokens, near(terms), few)
-    hits = postings.join(near(asked), "term").groupBy(query_id, doc_id).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
-    hits = hits.withColumn("score", F.round("score", 6))
-    if fill:
-        matched = hits.groupBy(query_id).agg(F.count("*").alias("_n")).where(F.col("_n") < k).select(query_id)
-        # k documents beyond the matches suffice: the first 2k hold k that don't match a query with fewer than k hits
-        first = docs.select(doc_id).orderBy(doc_id).limit(2 * k)
-        zero = matched.crossJoin(F.broadcast(first)).join(hits.select(query_id, doc_id), [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
-        hits = hits.unionByName(zero)
+    query_tokens = text.tokens(F.col(query_text))
+    asked = lineage.cut(queries.select(F.col(query_id).alias("query"), F.explode(query_tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")))
+    at = docs if isinstance(docs, postings.Index) else index(docs, doc_id, doc_text, asked)
+    spark = queries.sparkSession
+    weights = asked.join(postings.frequencies(spark, at), "term").select("query", "term", (F.col("times") * idf(F.lit(at.n), F.col("df"))).alias("weight"))
+    hits = postings.search(spark, at, weights, max(k, 0)) if k > 0 else postings.search(spark, at, weights.limit(0), 1)
+    hits = hits.select(F.col("query").alias(query_id), F.col("id").alias(doc_id), "score", "rank")
+    if fill is False or k < 1:
+        return hits.select(query_id, "rank", doc_id, "score")
+    hits = lineage.cut(hits)
+    matched = hits.groupBy(query_id).agg(F.count("*").alias("_n")).where(F.col("_n") < k).select(query_id)
+    # k documents beyond the matches suffice: the first 2k hold k that don't match a query with fewer than k hits
+    first = (docs if fill is True else fill).select(doc_id).orderBy(doc_id).limit(2 * k)
+    zero = matched.crossJoin(F.broadcast(first)).join(hits.select(query_id, doc_id), [query_id, doc_id], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", doc_id, "score")
+    every = hits.drop("rank").unionByName(zero)
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", doc_id, "score")
 
 
 def lookup(ranked: DataFrame, passages: DataFrame, key: str) -> DataFrame:

@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import bm25, fusion, lineage
+from . import bm25, fusion, lineage, postings
 
 #: A gain over the single query that a report marks, and names that a follow-up asks for at most.
 MARKED_GAIN, NAMES = 0.05, 4
 
 
-def fetch(passages: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (question_id, arm, k, query, depth, any more) with doc_id and rank: a row for each document found within the
+def fetch(passages: DataFrame | postings.Index, asked: DataFrame) -> DataFrame:
+    """passages, or an index of them; asked (question_id, arm, k, query, depth, any more) with doc_id and rank: a row for each document found within the
     depth. The same query of a question is searched once."""
     named = asked.withColumn("_q", F.sha2(F.concat_ws("\x1f", F.col("question_id").cast("string"), "query"), 256))
     depth = named.agg(F.max("depth")).first()[0] or 0
-    ranked = bm25.search(passages.select("doc_id", "text"), named.select("_q", "query").distinct(), int(depth), query_id="_q", query_text="query")
+    ranked = bm25.search(passages if isinstance(passages, postings.Index) else passages.select("doc_id", "text"), named.select("_q", "query").distinct(), int(depth), query_id="_q", query_text="query")
     return named.join(ranked.drop("score"), "_q").where(F.col("rank") <= F.col("depth")).drop("_q", "query", "depth")
 
 
@@ -78,7 +78,8 @@ def bridges(passages: DataFrame, questions: DataFrame, gold: DataFrame, ks: list
     budgets = F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int"))
     known = lineage.cut(_hidden(gold, questions))
     asking = questions.join(known.select("question_id").distinct(), "question_id", "left_semi").crossJoin(budgets)
-    single = lineage.cut(fetch(passages, _asked(asking, "single", F.col("question"), F.col("k"))))
+    index = bm25.index(passages)  # both passes search it
+    single = lineage.cut(fetch(index, _asked(asking, "single", F.col("question"), F.col("k"))))
     first = single.where(F.col("rank") <= _half(F.col("k"))).select("question_id", "k", "doc_id")
     texts = lineage.cut(first.join(passages, "doc_id").select("question_id", "k", "doc_id", "title", text.norm(F.col("text")).alias("body")))
 
@@ -100,7 +101,7 @@ def bridges(passages: DataFrame, questions: DataFrame, gold: DataFrame, ks: list
     for a in asked[1:]:
         follow = follow.unionByName(a)
     follow = lineage.cut(follow)
-    found = fetch(passages, follow).select("question_id", "arm", "k", "doc_id")
+    found = fetch(index, follow).select("question_id", "arm", "k", "doc_id")
     started = follow.select("question_id", "arm", "k").distinct()
     arms = spark.createDataFrame([(a,) for a in ("two_pass", "oracle", "span", "names")], "arm string")
     idle = asking.select("question_id", "k").crossJoin(F.broadcast(arms)).join(started, ["question_id", "arm", "k"], "left_anti")

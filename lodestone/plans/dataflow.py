@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import outputs, text
 from ..operators import answers as answer_records
-from ..operators import bm25, lineage, records, spans
+from ..operators import bm25, lineage, postings, records, spans
 
 MAX_STEPS, K = 5, 10
 
@@ -100,6 +100,7 @@ class Run:
     k: int = K
     calls: list[DataFrame] = field(default_factory=list)
     made: DataFrame | None = None
+    index: postings.Index | None = None  # made by the first step that asks, searched by all
 
     def call(self, planned: DataFrame, role: str, stage: str, payload: T.StructType) -> DataFrame:
         """planned (question_id, call_index, fields, ...) with out (the payload, parsed or salvaged), source and status.
@@ -152,7 +153,9 @@ class Run:
         asks = F.col("type") != "aggregate"
         tasks = lineage.cut(tasks.withColumns({"query": F.when(asks, query), "query_source": F.when(asks, F.when(follow, "grounded_step_task").otherwise("original_question_anchor"))}))
 
-        ranked = bm25.search(self.passages, tasks.where("query is not null"), self.k, query_id="question_id", query_text="query", fill=True)
+        if self.index is None:
+            self.index = bm25.index(self.passages)
+        ranked = bm25.search(self.index, tasks.where("query is not null"), self.k, query_id="question_id", query_text="query", fill=self.passages)
         read = ranked.join(self.passages.select("doc_id", F.col("text").alias("document")), "doc_id").join(tasks.select("question_id", "task"), "question_id")
         fields = F.create_map(F.lit("task"), F.col("task"), F.lit("document"), F.col("document"))
         planned = read.select("question_id", (F.col("rank") - 1).alias("call_index"), "doc_id", "document", fields.alias("fields"))
