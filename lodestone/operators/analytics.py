@@ -62,26 +62,49 @@ def best_within(budgets: DataFrame, budget: str, points: DataFrame, name: str, c
     return budgets.join(best, budget, "left")
 
 
+def _summed(rows: DataFrame, by: list[str], best: bool = False) -> DataFrame:
+    """(by..., draws): draws added up place by place, or the greatest of each place."""
+    each = rows.select(*by, F.posexplode("draws").alias("_at", "_v")).groupBy(*by, "_at").agg((F.max if best else F.sum)("_v").alias("_v"))
+    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("draws"))
+
+
 def allocation(effects: DataFrame, memory: DataFrame, roles: list[str], margin: float, alpha: float = 0.05) -> DataFrame:
     """One row: the cheapest assignment of a configuration to each role whose lower bound isn't below -margin.
 
     effects (role, configuration, effect, draws: array of as many doubles for all), memory (configuration, footprint).
     Effects and draws add up; a configuration counts once for memory; ties go to the greater effect, then fewer
-    configurations, then by name. The assignments are the product of small lists, configurations to the power of roles,
-    and are made a role at a time with draws summed along.
+    configurations, then by name. Assignments grow a role at a time, with their draws summed along, and one is given up as soon
+    as it costs more than the cheapest allowed one of a single configuration, or would fall below the margin even if each role
+    to come had its best value in every draw; of two with the same configurations and draws only the better goes on. What is
+    left is complete, so the result is that of comparing all.
     """
-    start = effects.select(F.size("draws").alias("_n")).limit(1).select(F.array().cast("array<string>").alias("names"), F.lit(0.0).alias("effect"), F.array_repeat(F.lit(0.0), F.col("_n")).alias("draws"))
-
-    def add(done: DataFrame, role: str) -> DataFrame:
-        one = effects.where(F.col("role") == role).select("configuration", F.col("effect").alias("_e"), F.col("draws").alias("_d"))
-        return done.crossJoin(F.broadcast(one)).select(F.array_append("names", F.col("configuration")).alias("names"), (F.col("effect") + F.col("_e")).alias("effect"), F.zip_with("draws", "_d", lambda a, b: a + b).alias("draws"))
-
-    every = reduce(add, roles, start)
-    place = F.floor(F.lit(alpha / 2) * F.size("draws")).cast("int")
+    effects = lineage.cut(effects.select("role", "configuration", "effect", "draws"))
+    place = lambda d: F.get(F.sort_array(d), F.floor(F.lit(alpha / 2) * F.size(d)).cast("int"))
     sizes = F.map_from_entries(F.collect_list(F.struct("configuration", "footprint")))
-    every = every.select("names", "effect", F.get(F.sort_array("draws"), place).alias("lower")).crossJoin(F.broadcast(memory.agg(sizes.alias("sizes"))))
+    sizes = F.broadcast(memory.select("configuration", F.col("footprint").cast("double").alias("footprint")).agg(sizes.alias("sizes")))  # one row
+    known = effects.where(F.col("role").isin(roles))
+    whole = known.groupBy("configuration").agg(F.count_distinct("role").alias("_r")).where(F.col("_r") == len(set(roles))).select("configuration")
+    alone = _summed(known.join(whole, "configuration"), ["configuration"]).where(F.round(place("draws"), 9) >= -margin) if len(set(roles)) == len(roles) else None
+    limit = alone.join(memory, "configuration").agg(F.min("footprint")).first()[0] if alone is not None else None
+
+    done = effects.select(F.size("draws").alias("_n")).limit(1).select(F.array().cast("array<string>").alias("names"), F.lit(0.0).alias("effect"), F.array_repeat(F.lit(0.0), F.col("_n")).alias("draws"))
+    cost = lambda used: F.aggregate(used, F.lit(0.0), lambda s, c: s + F.element_at("sizes", c))
+    for i, role in enumerate(roles):
+        one = effects.where(F.col("role") == role).select("configuration", F.col("effect").alias("_e"), F.col("draws").alias("_d"))
+        done = done.crossJoin(F.broadcast(one)).select(F.array_append("names", F.col("configuration")).alias("names"), (F.col("effect") + F.col("_e")).alias("effect"), F.zip_with("draws", "_d", lambda a, b: a + b).alias("draws"))  # a role's few configurations
+        if limit is not None:
+            done = done.crossJoin(sizes).where(cost(F.array_distinct("names")) <= limit + 1e-9).drop("sizes")
+        reach = F.col("draws")
+        if later := [effects.where(F.col("role") == r) for r in roles[i + 1 :]]:
+            best = reduce(DataFrame.unionByName, [_summed(r, [], best=True) for r in later])
+            done, reach = done.crossJoin(F.broadcast(_summed(best, []).withColumnRenamed("draws", "_rest"))), F.zip_with("draws", "_rest", lambda a, b: a + b)  # one row
+        done = done.where(place(reach) >= -margin - 1e-8).select("names", "effect", "draws")
+        better = F.struct(F.round(-F.col("effect"), 9).alias("e"), F.array_join("names", ",").alias("a"), "names", "effect")
+        same = done.groupBy(F.sort_array(F.array_distinct("names")).alias("_used"), "draws").agg(F.min(better).alias("_x"))
+        done = lineage.cut(same.select("_x.names", "_x.effect", "draws"))
+    every = done.select("names", "effect", place("draws").alias("lower")).crossJoin(sizes)
     used = F.array_distinct("names")
-    every = every.select(F.array_join("names", ",").alias("allocation"), F.round("effect", 9).alias("effect"), F.round("lower", 9).alias("lower"), F.size(used).alias("n_configs"), F.aggregate(used, F.lit(0.0), lambda s, c: s + F.element_at("sizes", c)).alias("footprint"))
+    every = every.select(F.array_join("names", ",").alias("allocation"), F.round("effect", 9).alias("effect"), F.round("lower", 9).alias("lower"), F.size(used).alias("n_configs"), cost(used).alias("footprint"))
     return every.where(F.col("lower") >= -margin).orderBy("footprint", F.desc("effect"), "n_configs", "allocation").limit(1)
 
 

@@ -206,6 +206,73 @@ def matched(spans: DataFrame, sentences: DataFrame, work, schema: str) -> tuple[
     return rows.repartition(int(parts), "_by", "_part").mapInArrow(run, schema), several
 
 
+def held_by(items: DataFrame, item_id: str, item_text: str, docs: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
+    """(item_id, doc_id) for each item and document whose text holds the item's; an empty text is in all, a null one in none.
+
+    An item has one key, its smallest anchor or, if it is too short for one, the hash of its characters. Documents give those
+    of their own keys that items have: the items' keys go to the tasks if they are few, else documents' keys are joined with
+    them. What shares a key is compared as text. No text is copied for each of its words."""
+    spark = items.sparkSession
+    mine = lineage.cut(items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_held")).where("_held is not null").withColumn("_size", F.when(F.length("_held") < FULL, F.length("_held")).otherwise(0)))
+
+    def keyed(texts: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, size, key) for all anchors, size 0, and all stretches of the sizes."""
+        roll = Rolling(texts)
+        own, anchor = roll.anchors()
+        found = [(own, np.zeros(len(own), np.int64), anchor)]
+        for size in sizes:
+            every, whole = roll.hashes(size)
+            at = np.flatnonzero(whole)
+            found.append((roll.text[at].astype(np.int64), np.full(len(at), size), every[at]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("_size").to_numpy()
+            text, size, key = keyed(batch.column("_held").to_pylist(), np.unique(sizes[sizes > 0]).tolist())
+            use = size == sizes[text]
+            text, key = text[use], key[use]
+            order = np.lexsort([key, text])
+            first = order[np.append(True, text[order][1:] != text[order][:-1])[: len(order)]]
+            rows = batch.take(pa.array(text[first]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key[first].view(np.int64))], names=["_item", "_held", "_size", "_key"])
+
+    kinds = dict(mine.dtypes)
+    short = [r[0] for r in mine.select("_size").where("_size > 0").distinct().collect()]  # below FULL
+    keys = lineage.cut(mine.where("_held <> ''").mapInArrow(of_items, f"_item {kinds['_item']}, _held string, _size int, _key long"))
+    distinct = keys.select("_size", "_key").distinct()
+    wanted = np.unique(np.array([r["_key"] for r in distinct.select("_key").distinct().collect()], np.int64)) if distinct.count() * 16 <= lineage.BROADCAST_BYTES else None
+    anchored = bool(keys.where("_size = 0").limit(1).count())
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lo = batch.column("_text").to_pylist(), 0
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= PART_CHARS):
+                    chars += len(texts[hi])
+                    hi += 1
+                text, size, key = keyed(texts[lo:hi], short)
+                key = key.view(np.int64)
+                use = np.ones(len(key), bool) if anchored else size > 0
+                if wanted is not None and len(wanted):
+                    use &= wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                text, size, key = (np.unique(np.stack([text[use], size[use], key[use]]), axis=1)) if use.any() else np.zeros((3, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(text + lo)), pa.array(size.astype(np.int32)), pa.array(key)], names=["_row", "_size", "_key"])
+                lo = hi
+
+    rows = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.col(doc_text).alias("_text"))
+    near = rows.select(F.xxhash64("_doc", "_text").alias("_row"), "_text").mapInArrow(of_docs, "_row long, _size int, _key long")
+    side = F.broadcast(keys) if lineage.small(keys) else keys
+    pairs = lineage.cut(near.join(side.drop("_held"), ["_size", "_key"]).select("_row", "_item").distinct())
+    pairs = F.broadcast(pairs) if lineage.small(pairs) else pairs
+    asked = F.broadcast(mine) if lineage.small(mine) else mine
+    found = rows.withColumn("_row", F.xxhash64("_doc", "_text")).join(pairs, "_row").join(asked, "_item").where(F.contains("_text", "_held"))
+    found = found.select(F.col("_item").alias(item_id), F.col("_doc").alias(doc_id))
+    blank = mine.where("_held = ''").select(F.col("_item").alias(item_id))
+    return found if blank.isEmpty() else found.unionByName(blank.crossJoin(rows.select(F.col("_doc").alias(doc_id))))  # the result itself has all these rows
+
+
 def of_group(table: pa.Table) -> np.ndarray:
     """A number for each group, and for each bucket of one, of a part."""
     by = table.column("_by").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bm25, corpus, fusion
+from ..operators import anchors, bm25, corpus, fusion
 from .registry import query, read
 
 _TOKENS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')"
@@ -231,19 +231,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) of documents that hold the text of an item. The second word of an item has white space on both
-    sides, so a document that holds the item has it as a word; that is an equi-join, confirmed on the whole text. Items
-    without such a word are few and short, and are compared with every document."""
-    items = read(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item_text"))
-    items = items.withColumn("word", F.regexp_extract("item_text", r"^\S*\s+(\S+)\s", 1))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    keyed = items.where("word <> ''")
-    found = words.join(F.broadcast(keyed) if keyed.count() <= 100_000 else keyed, "word").where(F.contains("text", "item_text")).select("item_id", "doc_id")
-    short = items.where("word = ''").drop("word")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains("text", "item_text")).select("item_id", "doc_id"))
+    """(item_id, doc_id) of documents that hold the text of an item."""
+    return anchors.held_by(read(spark, sf_dir, "benchmark"), "item_id", "text", read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics, reports, stats
-from .registry import query, read
+from .registry import SQL, query, read
 from .stats_queries import HI, LO, drawn
 
 _DRAWS = stats.REPLICATES
+#: What an assignment may lose.
+_MARGIN = 9.0
 
 
 def _interval(strata: str, values: str, ratio: str, sums: str) -> str:
@@ -185,6 +187,27 @@ def role_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(reports.eligible(_calls(spark, sf_dir), ["stage", "role"], "question", "protocol_ok", 0.77, _DRAWS), "estimate", "lower")
 
 
+@query(
+    _SELECTOR
+    + f""", dr AS (SELECT metric AS role, arm AS configuration, d, v FROM r UNION ALL SELECT role, 'O', d, 0.0::DOUBLE FROM (VALUES ('reader'), ('writer')) t(role), range({_DRAWS}) s(d)),
+ef AS (SELECT metric AS role, arm AS configuration, estimate AS effect FROM w UNION ALL SELECT role, 'O', 0.0::DOUBLE FROM (VALUES ('reader'), ('writer')) t(role)),
+el AS (SELECT role, bool_or(eligible) AS ok FROM ({SQL["role_eligibility"]}) GROUP BY role),
+al AS (SELECT ef.* FROM ef LEFT JOIN el USING (role) WHERE configuration = 'O' OR coalesce(ok, false)),
+fp AS (SELECT o_orderstatus AS configuration, count(*)::DOUBLE AS footprint FROM orders GROUP BY 1),
+y AS (SELECT a.configuration AS ca, b.configuration AS cb, round(a.effect + b.effect, 9) AS effect FROM al a JOIN al b ON a.role = 'reader' AND b.role = 'writer'),
+lo AS (SELECT ca, cb, round(list_sort(list(da.v + db.v))[{LO + 1}], 9) AS lower FROM y JOIN dr da ON da.role = 'reader' AND da.configuration = ca JOIN dr db ON db.role = 'writer' AND db.configuration = cb AND db.d = da.d GROUP BY ca, cb)
+SELECT ca || ',' || cb AS allocation, effect, lower, len(list_distinct([ca, cb]))::INTEGER AS n_configs, (SELECT sum(footprint) FROM fp WHERE list_contains([ca, cb], configuration)) AS footprint
+FROM y JOIN lo USING (ca, cb) WHERE lower >= -{_MARGIN} ORDER BY footprint, effect DESC, n_configs, allocation LIMIT 1"""
+)
+def measured_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From measured effects and eligible roles to the cheapest assignment; a status costs as many as it has orders."""
+    made = reports.selector_effects(_selector_rows(spark, sf_dir), "role", "configuration", "unit", "value", "O", _DRAWS)
+    passed = reports.eligible(_calls(spark, sf_dir), ["stage", "role"], "question", "protocol_ok", 0.77, _DRAWS).groupBy("role").agg(F.bool_or("eligible").alias("ok"))
+    allowed = made.join(passed, "role", "left").where((F.col("configuration") == "O") | F.coalesce("ok", F.lit(False)))
+    memory = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("configuration")).agg(F.count("*").cast("double").alias("footprint"))
+    return analytics.allocation(allowed, memory, ["reader", "writer"], _MARGIN)
+
+
 _BATCHES = """
 WITH b AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'base' WHEN o_orderkey % 3 = 1 THEN 'half' ELSE 'tiny' END AS run, o_orderstatus AS stage, o_custkey % 2 AS repeat, o_orderkey AS batch, round(o_totalprice * 100) AS wall, round(o_totalprice * 111) AS service, count(l_orderkey)::DOUBLE AS size, coalesce(sum(l_quantity), 0) AS prompt_tokens, coalesce(sum(l_linenumber), 0)::DOUBLE AS output_tokens
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
