@@ -194,8 +194,7 @@ def json_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of JSON, by a table function."""
     spark.udtf.register("json_blobs", outputs.JsonBlobs)
     noisy = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("so: "), F.col("props"), F.lit(" {open [")).alias("raw"))
-    noisy.createOrReplaceTempView("noisy_outputs")
-    return spark.sql("SELECT event_id, b.pos, b.blob FROM noisy_outputs, LATERAL json_blobs(raw) b")
+    return spark.sql("SELECT event_id, b.pos, b.blob FROM {noisy}, LATERAL json_blobs(raw) b", noisy=noisy)
 
 
 _SPANS = (
