@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import outputs, text
 from ..operators import answers as answer_records
-from ..operators import bm25, lineage, postings, records, spans
+from ..operators import bm25, events, lineage, postings, records, spans
 
 MAX_STEPS, K = 5, 10
 
@@ -130,7 +130,7 @@ class Run:
 
     def step(self, plans: DataFrame, past: DataFrame, i: int) -> DataFrame:
         """Records of step i: (question_id, step, sub_question, type, task, task_source, query, query_source, titles,
-        evidence, n_documents, n_blocks, n_spans, n_accepted, answer, success, rating, grounded)."""
+        evidence, n_documents, n_blocks, n_spans, n_accepted, reasons, modes, answer, success, rating, grounded, event)."""
         active = plans.where(F.size("plan") > i)
         active = active.join(past.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("step", "sub_question", "answer", "grounded", "success"))).alias("past")), "question_id", "left")
         active = active.withColumn("past", F.coalesce("past", F.array().cast(active.schema["past"].dataType)))
@@ -161,12 +161,14 @@ class Run:
         planned = read.select("question_id", (F.col("rank") - 1).alias("call_index"), "doc_id", "document", fields.alias("fields"))
         extracted = self.call(planned, "extractor", stage_of("extractor", i), SPANS)
         mapped = extracted.withColumn("m", spans.mapped("out.spans", text.sentences(F.col("document"))))
-        mapped = lineage.cut(mapped.select("question_id", F.col("call_index").alias("doc_rank"), "doc_id", F.col("m.sentences").alias("sentences"), F.col("m.n_inputs").alias("n_inputs"), F.col("m.n_accepted").alias("n_accepted")))
+        mapped = lineage.cut(mapped.select("question_id", F.col("call_index").alias("doc_rank"), "doc_id", F.col("m.sentences").alias("sentences"), F.col("m.n_inputs").alias("n_inputs"), F.col("m.n_accepted").alias("n_accepted"), F.col("m.reasons").alias("reasons"), F.col("m.modes").alias("modes")))
         lines = mapped.select("question_id", "doc_rank", F.posexplode("sentences").alias("pos", "span"))
         seen = records.first_seen(lines, ["question_id"], "span", ["doc_rank", "pos"])
         evidence = seen.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_rank", "pos", "span"))), lambda x: x["span"]).alias("evidence"), F.countDistinct("doc_rank").alias("n_blocks"))
         totals = mapped.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_rank", "doc_id"))), lambda x: x["doc_id"]).alias("titles"), F.count("*").alias("n_documents"), F.sum("n_inputs").alias("n_spans"), F.sum("n_accepted").alias("n_accepted"))
         ready = tasks.join(totals, "question_id", "left").join(evidence, "question_id", "left")
+        for counts in ("reasons", "modes"):
+            ready = ready.join(_merged(mapped, counts), "question_id", "left").withColumn(counts, F.coalesce(counts, F.create_map().cast("map<string,bigint>")))
         none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
         ready = ready.withColumns({"evidence": none("evidence", "array<string>"), "titles": none("titles", "array<bigint>")} | {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_documents", "n_blocks", "n_spans", "n_accepted")})
         shown = F.concat("evidence", F.when(F.col("type") == "aggregate", F.col("known")).otherwise(F.array().cast("array<string>")))
@@ -174,10 +176,11 @@ class Run:
         fields = F.create_map(F.lit("task"), F.col("task"), F.lit("evidence"), bullets)
         answered = self.call(ready.withColumns({"call_index": F.lit(i), "fields": fields}), "qa", stage_of("qa", i), ANSWER)
         answer = F.coalesce("out.answer", F.lit(""))
-        return answered.select(
-            "question_id", F.lit(i).alias("step"), F.col("goal").alias("sub_question"), "type", "task", "task_source", "query", "query_source", "titles", "evidence", "n_documents", "n_blocks", "n_spans", "n_accepted",
+        made = answered.select(
+            "question_id", F.lit(i).alias("step"), F.col("goal").alias("sub_question"), "type", "task", "task_source", "query", "query_source", "titles", "evidence", "n_documents", "n_blocks", "n_spans", "n_accepted", "reasons", "modes",
             answer.alias("answer"), F.lower("out.success").alias("success"), F.col("out.rating").alias("rating"), records.grounded(answer, F.concat("evidence", "known")).alias("grounded"),
         )
+        return events.rebuilt(made, "query_source", "query", "titles")
 
     def steps(self, plans: DataFrame) -> DataFrame:
         past = None
@@ -216,14 +219,21 @@ class Run:
         )
         self.made = steps
         depth = plans.select("question_id", F.size("plan").alias("plan_depth"))
+        for counts in ("reasons", "modes"):
+            final = final.join(_merged(steps, counts), "question_id", "left").withColumn(counts, F.coalesce(counts, F.create_map().cast("map<string,bigint>")))
         return final.join(depth, "question_id").join(did, "question_id", "left").join(summary.select("question_id", "stop_reason"), "question_id", "left")
 
     def scored(self, gold: DataFrame) -> DataFrame:
-        """answers() with exact match and F1, and what retrieval found, by gold (question_id, gold_answer, gold_titles: array
-        of doc_id). A step asks one query, of the original question or of its task; an aggregate step none."""
+        """answers() with exact match and F1, what retrieval found, and how far the evidence is the gold one, by gold (question_id,
+        gold_answer, gold_titles: array of doc_id, and gold_sentences: array, if evidence is to be scored). What was asked comes
+        from the steps' events."""
         done = answer_records.with_scores(self.answers(), gold, "question_id").drop("query_count")  # retrieval has it
-        asked = self.made.select("question_id", "step", F.col("query_source").alias("name"), F.col("query").isNotNull().alias("attempted"), "titles")
-        return done.join(answer_records.retrieval_metrics(asked, gold, "question_id"), "question_id", "left")
+        titles = gold.withColumn("gold_titles", F.col("gold_titles").cast("array<string>"))
+        done = done.join(answer_records.retrieval_metrics(events.listed(self.made, ["question_id", "step"]), titles, "question_id"), "question_id", "left")
+        if "gold_sentences" not in gold.columns:
+            return done
+        labels = lambda df, c: df.select("question_id", F.explode(c).alias("_s")).select("question_id", text.loose(F.col("_s")).alias("label"))
+        return done.join(answer_records.evidence_metrics(labels(self.made, "evidence"), labels(gold, "gold_sentences"), self.questions, "question_id", "label"), "question_id", "left")
 
     def all_calls(self) -> DataFrame:
         out = self.calls[0]
@@ -232,6 +242,12 @@ class Run:
         return out
 
 
+def _merged(rows: DataFrame, counts: str) -> DataFrame:
+    """(question_id, counts): the maps of a question's rows as one; keys are the few kinds of reasons."""
+    each = records.merged_counts(rows, ["question_id"], counts)
+    return each.groupBy("question_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("n").cast("long").alias("n"))))).alias(counts))
+
+
 def _no_steps(plans: DataFrame) -> DataFrame:
     return plans.limit(0).select("question_id", F.lit(0).alias("step"), F.lit("").alias("sub_question"), F.lit("").alias("answer"), F.lit(False).alias("grounded"), F.lit("").alias("success"))
 

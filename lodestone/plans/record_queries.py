@@ -336,8 +336,8 @@ def answer_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dataflow_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the dataflow scored against each item's first words and the documents that hold the item."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("gold_answer"))
+    """Answers of the dataflow scored against each item's first words, the documents that hold the item, and its sentences."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("gold_answer"), text.sentences(F.col("text")).alias("gold_sentences"))
     held = corpus_queries.gold_documents(spark, sf_dir).groupBy(F.col("item_id").alias("question_id")).agg(F.sort_array(F.collect_set("doc_id")).alias("gold_titles"))
     gold = items.join(held, "question_id", "left").withColumn("gold_titles", F.coalesce("gold_titles", F.array().cast("array<bigint>")))
     return _flow(spark, sf_dir).scored(gold)
