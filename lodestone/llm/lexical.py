@@ -158,10 +158,12 @@ def build(spark: SparkSession, docs: DataFrame, path: str, asked: DataFrame | No
             wanted = [r.term for r in terms.collect()]
     slices(docs, id_col, text_col, wanted).write.parquet(f"{path}/slices")
     sliced = spark.read.parquet(f"{path}/slices")
-    documents, length = sliced.agg(F.coalesce(F.sum("used"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    documents, length, postings = sliced.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("used"), F.col("length"), F.size("docs"))]).first()
     each = sliced.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
     each.write.parquet(f"{path}/df")
-    _shards(sliced, documents, length).write.parquet(f"{path}/shards")
+    # many small files would make as many small shards, each with its own best documents of every item
+    few = max(math.ceil(postings / SHARD_POSTINGS), 2 * spark.sparkContext.defaultParallelism)
+    _shards(sliced.coalesce(few), documents, length).write.parquet(f"{path}/shards")
     return Index(path, documents, length)
 
 
