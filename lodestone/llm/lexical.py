@@ -144,6 +144,11 @@ def _shards(sliced: DataFrame, documents: int, length: int) -> DataFrame:
     return sliced.select("ids", "n", "terms", "df", "docs", "tf").mapInArrow(run, schema)
 
 
+def _few(df: DataFrame, least: int = 0) -> DataFrame:
+    """df in no more partitions than twice the cluster's cores, or least: what is written is then no heap of tiny files."""
+    return df.coalesce(max(least, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def build(spark: SparkSession, docs: DataFrame, path: str, asked: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Writes the index of docs to path. asked (term): if these take at most shared.BROADCAST_BYTES, postings of other
     terms aren't made; else, or without asked, those of all terms are.
@@ -160,10 +165,9 @@ def build(spark: SparkSession, docs: DataFrame, path: str, asked: DataFrame | No
     sliced = spark.read.parquet(f"{path}/slices")
     documents, length, postings = sliced.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("used"), F.col("length"), F.size("docs"))]).first()
     each = sliced.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
-    each.write.parquet(f"{path}/df")
+    _few(each).write.parquet(f"{path}/df")
     # many small files would make as many small shards, each with its own best documents of every item
-    few = max(math.ceil(postings / SHARD_POSTINGS), 2 * spark.sparkContext.defaultParallelism)
-    _shards(sliced.coalesce(few), documents, length).write.parquet(f"{path}/shards")
+    _shards(_few(sliced, math.ceil(postings / SHARD_POSTINGS)), documents, length).write.parquet(f"{path}/shards")
     return Index(path, documents, length)
 
 
@@ -252,11 +256,11 @@ def _search(spark: SparkSession, tmp: shared.Scratch, index: Index, items: list[
             settled = known
             break
         least = _best(known, k).groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("least"))
-        least = shared.small(tmp.cut(least, "least"), len(items))
+        least = shared.small(tmp.cut(_few(least), "least"), len(items))
         judged = found.join(least, "item", "left").withColumn("open", (F.col("most") > 0) & (F.col("most") >= F.coalesce("least", F.lit(0))))
         proved = judged.where(~F.col("open")).drop("least", "open")
-        settled = tmp.cut(proved if settled is None else settled.unionByName(proved), "proved")
-        pending = tmp.cut(judged.where("open").groupBy("shard").agg(F.collect_list("item").alias("items")), "pending")
+        settled = tmp.cut(_few(proved if settled is None else settled.unionByName(proved)), "proved")
+        pending = tmp.cut(_few(judged.where("open").groupBy("shard").agg(F.collect_list("item").alias("items"))), "pending")
         if pending.isEmpty():
             break
     # a document that isn't exact in a settled pair can't reach the k-th best score
@@ -275,7 +279,7 @@ def search(spark: SparkSession, index: Index, items: DataFrame, k: int = 50, id_
     comes before others at equal scores; rows with one doc_id are documents of their own.
     """
     tmp = shared.Scratch(spark, "lexical")
-    weights = tmp.cut(weighted(spark, index, item_terms(items, id_col, text_col)), "weights")
+    weights = tmp.cut(_few(weighted(spark, index, item_terms(items, id_col, text_col))), "weights")
     size = weights.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / ITEM_BYTES))
     made = None
