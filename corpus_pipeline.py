@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, near_dedup, quality, tokens, toxicity
 from lodestone.llm.queries import BYTE_BPE, TOXIC_FROM, held_out
-from lodestone.llm.shared import Scratch, table
+from lodestone.llm.shared import Scratch, small_batches, table
 
 #: The stages train and score models, so SQL can't express them; tests/llm/test_pipeline.py follows them one by one.
 ORACLE_SQL = None
@@ -18,11 +18,13 @@ NEAR_PERCENT = 80
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    small_batches(spark)
     return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below TOXIC_FROM."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     names = {c: f"__col{i}" for i, c in enumerate(docs.columns)}
     inside = docs.withColumnsRenamed(names)
@@ -32,6 +34,7 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, linked from NEAR_PERCENT on."""
+    small_batches(spark)
     return near_dedup.keep_one(spark, docs, percent=NEAR_PERCENT)
 
 
@@ -44,6 +47,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document taken, and whether they decode to its text."""
     import public_tokenizers
 
+    small_batches(spark)
     path = public_tokenizers.path(BYTE_BPE)
     whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     given = docs.select("doc_id", "source", "lang", "text", whole.alias("sha256"))

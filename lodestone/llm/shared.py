@@ -35,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+#: Bytes of an Arrow batch between a JVM and its Python workers, which hold it twice or more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has this session exchange Arrow batches of BATCH_BYTES, unless its context was given a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in the shared folder, so a lost executor loses none of them."""
 
