@@ -55,9 +55,9 @@ def stage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its file."""
+    """A table as a stream of its file, or of the files of its folder. A pattern fits both: Spark takes a plain path for a folder."""
     schema = read(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
@@ -70,6 +70,7 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
 
     running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")  # a table without files has no batch
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return spark.read.schema(f"{kinds}, batch long").parquet(f"{folder}/out")
 

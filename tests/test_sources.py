@@ -71,3 +71,15 @@ def test_reports(spark, tmp_path):
     assert "| a | 1.5 |" in (tmp_path / "report.md").read_text() and "| b | - |" in (tmp_path / "report.md").read_text()
     with pytest.raises(ValueError):
         files.markdown("t", spark.range(5), most=4)
+
+
+def test_streams_read_tables_that_are_files_folders_or_empty_folders(spark, tmp_path):
+    from lodestone.plans import source_queries
+
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "x", "b"), (2, 1, "x", "c"), (3, 0, "x", "d")], "conv_id long, turn int, role string, text string")
+    want = {1: 2, 3: 1}
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    rows.toPandas().astype({"turn": "int32"}).to_parquet(tmp_path / "conversations.parquet", index=False)
+    rows.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    for folder, expected in (("many", want), (".", want), ("none", {})):
+        assert {r.conv_id: r.executed for r in source_queries.stream_histories(spark, f"{tmp_path}/{folder}").collect()} == expected
