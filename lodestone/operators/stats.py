@@ -83,8 +83,14 @@ def holm(df: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
 
 #: Places of a stratum that one task fills, and distinct value vectors that it looks them up in.
 PLACES, VECTORS = 1 << 16, 1 << 20
-#: Picks that are made at a time.
-_TOGETHER = 1 << 18
+#: Tasks that make draws, at most.
+MOST_TASKS = 2000
+#: Picks that are made at a time, and of numpy's generator.
+_AT_ONCE, _TOGETHER = 1 << 16, 1 << 18
+#: Different values of a stratum up to which picks are compared with each bound, and up to which they are sorted first.
+_COMPARED, _SORTED = 16, 1 << 13
+#: Places from which that pays, and values that are laid out unit by unit: if they fit a cache, or are of so many vectors.
+_LONG, _LAID_OUT, _MANY = 4096, (1 << 18, 1 << 23), 1 << 16
 
 
 @functools.lru_cache(256)
@@ -93,38 +99,94 @@ def words(seed: int, kind: str, lo: int, hi: int) -> np.ndarray:
     return np.array([int(hashlib.md5(f"{seed}|{kind}|{i}".encode()).hexdigest()[:8], 16) for i in range(lo, hi)], np.uint32)
 
 
-def picks(places: np.ndarray, draws: np.ndarray, n: int) -> np.ndarray:
-    """The unit, from 0 to n - 1, that fills each place of each draw (a row for each draw), from their words: both are
-    joined, mixed by multiplications modulo 2^32, and scaled to n."""
-    x = draws[:, None] ^ places[None, :]
-    x ^= x >> np.uint32(16)
+def _mixed(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mixes x, words of which the upper half has been added to the lower one, by multiplications modulo 2^32, in place."""
     x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
+    np.right_shift(x, np.uint32(13), out=spare)
+    x ^= spare
     x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return (x.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)
+    np.right_shift(x, np.uint32(16), out=spare)
+    x ^= spare
+
+
+def _least_words(edges: np.ndarray, n: int) -> np.ndarray:
+    """The smallest word that picks unit edge or a later one of n; edges are below n, and a word picks (word * n) >> 32."""
+    up = edges.astype(np.uint64) << np.uint64(32)
+    least = up // np.uint64(n)
+    return (least + (least * np.uint64(n) != up)).astype(np.uint32)
 
 
 def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places: tuple[int, int], replicates: int, seed: int = 0, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each draw the sums over places of what fills them, and how many of these are among values: distinct vectors, one
-    a row, of which counts units each have, and which begin at unit base of n. salt is the word of the stratum."""
-    u, v, ends = words(seed, "p", *places), words(seed, "d", 0, replicates) ^ np.uint32(salt), np.cumsum(counts)
-    total = int(ends[-1])
-    table = np.repeat(values, counts, axis=0).T.copy() if total <= 4 * VECTORS else None
-    sums, n_in = np.zeros((replicates, values.shape[1])), np.zeros(replicates, np.int64)
-    step = max(1, _TOGETHER // len(u))
-    for lo in range(0, replicates, step):
-        at = picks(u, v[lo : lo + step], n).view(np.int64)
-        inside = None
-        if base or total < n:
-            at -= base
-            inside = (at >= 0) & (at < total)
-            at[~inside] = 0
-        n_in[lo : lo + step] = at.shape[1] if inside is None else inside.sum(axis=1)
-        place = None if table is not None else np.searchsorted(ends, at, "right")
-        for k in range(values.shape[1]):
-            x = table[k][at] if table is not None else values[place, k]
-            sums[lo : lo + step, k] = x.sum(axis=1) if inside is None else (x * inside).sum(axis=1)
+    a row, of which counts units each have, and which begin at unit base of n. salt is the word of the stratum.
+
+    Words of a place and a draw are joined and mixed; the result, scaled to n, is the unit. Vectors stand in order of units,
+    so each has a range of words. Few vectors: picks are counted by comparing, or sorting, words with the bounds of these
+    ranges, without looking up any. Else a table gives the vector of a word's first bits, and the few words whose first bits
+    are of several vectors are looked up among the bounds."""
+    lo, hi = places
+    u = words(seed, "p", lo, lo + max(1024, 1 << (hi - lo - 1).bit_length()))[: hi - lo]
+    v = words(seed, "d", 0, replicates) ^ np.uint32(salt)
+    u, v = u ^ (u >> np.uint32(16)), v ^ (v >> np.uint32(16))
+    width, edges = values.shape[1], base + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    total, all_in = int(edges[-1]) - base, base == 0 and int(edges[-1]) == n
+    least = _least_words(edges[edges < n], n)  # an edge at n has no word
+    sums, n_in = np.zeros((replicates, width)), np.full(replicates, len(u), np.int64)
+    x, spare = np.empty(max(1, _AT_ONCE // len(u)) * len(u), np.uint32), np.empty(max(1, _AT_ONCE // len(u)) * len(u), np.uint32)
+
+    if len(u) >= _LONG and len(counts) <= _SORTED and np.isfinite(values).all():
+        x, spare, from_edge = x[: len(u)], spare[: len(u)], np.zeros(len(edges), np.int64)
+        few, flag = len(counts) <= _COMPARED, np.empty(len(u), bool)
+        for d in range(replicates):
+            np.bitwise_xor(u, v[d], out=x)
+            _mixed(x, spare)
+            if few:
+                from_edge[: len(least)] = [np.count_nonzero(np.greater_equal(x, t, out=flag)) for t in least]
+            else:
+                x.sort()
+                from_edge[: len(least)] = len(x) - np.searchsorted(x, least)
+            sums[d] = ((from_edge[:-1] - from_edge[1:])[:, None] * values).sum(axis=0)
+            n_in[d] = from_edge[0] - from_edge[-1]
+        return sums, n_in
+
+    columns = [np.ascontiguousarray(values[:, k]) for k in range(width)]
+    laid_out = total * width <= _LAID_OUT[len(counts) >= _MANY]
+    if laid_out:
+        columns = [np.repeat(c, counts) for c in columns]
+    else:
+        bits = min(22, max(16, len(counts).bit_length() + 5))
+        first = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits)
+        of = np.searchsorted(least, first[:-1].astype(np.uint32), "right")
+        last = np.searchsorted(least, (first[1:] - np.uint64(1)).astype(np.uint32), "right")
+        table = np.where(of == last, of - 1, -2)  # -1 is before the first vector, the number of vectors behind the last
+    at, got = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, _AT_ONCE // len(u))
+    for d in range(0, replicates, step):
+        rows = min(step, replicates - d)
+        word, place, value = x[: rows * len(u)], at[: rows * len(u)], got[: rows * len(u)]
+        np.bitwise_xor(v[d : d + rows, None], u[None, :], out=word.reshape(rows, -1))
+        _mixed(word, spare[: len(word)])
+        if laid_out:
+            scaled = place.view(np.uint64)
+            np.copyto(scaled, word)
+            scaled *= np.uint64(n)
+            scaled >>= np.uint64(32)
+            place -= base
+            size = total
+        else:
+            np.right_shift(word, np.uint32(32 - bits), out=spare[: len(word)])
+            np.take(table, spare[: len(word)], out=place, mode="clip")
+            unsure = np.flatnonzero(place == -2)
+            place[unsure] = np.searchsorted(least, word[unsure], "right") - 1
+            size = len(counts)
+        inside = None if all_in else (place >= 0) & (place < size)
+        if inside is not None:
+            n_in[d : d + rows] = inside.reshape(rows, -1).sum(axis=1)
+        for k in range(width):
+            np.take(columns[k], place, out=value, mode="clip")
+            if inside is not None:
+                value[~inside] = 0
+            sums[d : d + rows, k] = value.reshape(rows, -1).sum(axis=1)
     return sums, n_in
 
 
@@ -155,8 +217,8 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
     if (most or 0) > 1 << 32:
         raise ValueError("a stratum may have 2^32 units at most")
     same = [F.col(k).eqNullSafe(F.col(f"_z{k}")) for k in keys]
-    sizes = sizes.drop("_d")
-    whole = (blocks.join(sizes, same) if keys else blocks.crossJoin(F.broadcast(sizes))).drop(*[f"_z{k}" for k in keys])  # without keys, sizes is one row
+    totals = sizes.drop("_d")
+    whole = (blocks.join(totals, same) if keys else blocks.crossJoin(F.broadcast(totals))).drop(*[f"_z{k}" for k in keys])  # without keys, totals is one row
     dealt = whole.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PLACES))))
 
     def run(group: pa.Table) -> pa.Table:
@@ -171,6 +233,9 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
     salt = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long") if keys else F.lit(0).cast("long")
     dealt, kinds = dealt.withColumn("_s", salt), dict(counted.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "draw int", *(f"{v} double" for v in values), "n long"])
+    # by number, since the rows are few and Spark would put them all in one task, but each group takes seconds
+    tasks = sizes.agg(F.sum(F.ceil(F.col("_n") / PLACES) * F.ceil(F.col("_d") / VECTORS))).first()[0] or 1
+    dealt = dealt.repartition(min(MOST_TASKS, 3 * int(tasks)), *keys, "_b", "_p")
     parts = dealt.groupBy(*keys, "_b", "_p").applyInArrow(run, schema)
     if (most or 0) > PLACES or (widest or 0) > VECTORS:
         parts = parts.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.sum("n").alias("n"))

@@ -127,3 +127,28 @@ def test_too_many_names_are_refused(spark, monkeypatch):
         reports.pairwise(draws, "name", "v")
     with pytest.raises(Exception, match="too many arms"):
         reports.contrasts(arms(spark, [(a, 1, 0.0) for a in "abc"]), "arm", "unit", ["f"], "a").collect()
+
+
+@pytest.mark.parametrize("n, kinds, base", [(5000, 3, 0), (5000, 300, 0), (9000, 9000, 0), (6000, 5, 900), (300_000, 20, 0), (300_000, 9000, 70)])
+def test_sums_of_picks_are_the_same_by_bounds_by_sorting_and_by_tables(monkeypatch, n, kinds, base):
+    rng = np.random.default_rng(7)
+    values, counts = np.stack([np.arange(kinds) * 0.25, rng.integers(0, 9, kinds)], axis=1), np.full(kinds, (n - base) // kinds // (2 if base else 1))
+    counts[-1] += 0 if base else n - counts.sum()
+    units, ends = np.repeat(values, counts, axis=0), base + counts.sum()
+    at = np.array([[plain_pick(5, p, d, n) for p in range(4096)] for d in range(3)])
+    inside = (at >= base) & (at < ends)
+    want = np.array([units[a[i] - base].sum(axis=0) for a, i in zip(at, inside, strict=True)])
+    for sorted_, laid_out in (((1 << 13), (1 << 18, 1 << 23)), (0, (1 << 30, 1 << 30)), (0, (0, 0))):
+        monkeypatch.setattr(stats, "_SORTED", sorted_)
+        monkeypatch.setattr(stats, "_LAID_OUT", laid_out)
+        sums, n_in = stats.drawn_sums(values, counts, n, base, (0, 4096), 3, salt=5)
+        assert np.allclose(sums, want, rtol=1e-12, atol=0) and n_in.tolist() == inside.sum(axis=1).tolist()
+
+
+def test_chunks_of_places_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PLACES", 100)
+    plans, kept = [], stats.lineage.cut
+    monkeypatch.setattr(stats.lineage, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    made = stats.hashed_draws(spark.range(1000).select("id", (F.col("id") % 2).alias("v")), [], "id", ["v"], 4)
+    assert made.agg(F.sum("n")).first()[0] == 4000
+    assert "REPARTITION_BY_NUM" in plans[-1]  # else the few rows would be one task's, and so all draws
