@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch between a JVM and its Python workers, which hold it several times as objects.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has this session exchange Arrow batches of BATCH_BYTES, unless its context was given a size. Spark's own bounds, ten
+    thousand rows or many more bytes, are too much for rows of whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: A side is broadcast if its rows, written as JSON, take at most so many bytes.
 BROADCAST_BYTES = 24_000_000
 

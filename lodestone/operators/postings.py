@@ -28,6 +28,8 @@ BLOCK_POSTINGS, SLICE = 1 << 17, 2000
 FIRST = 2
 #: Bytes of queries, about, that are sent to the tasks of one search.
 QUERY_BYTES = 4 << 20
+#: Rows of slices and blocks take a megabyte or more. A writer holds a row group and a reader all its rows at once, so groups are of few.
+_FEW_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.row.count.limit": 4}
 #: Digits that scores are ranked by.
 DIGITS = 6
 
@@ -71,6 +73,7 @@ def build(docs: DataFrame, id_col: str, tokens: Column, asked: DataFrame | None
     """An index of docs by their tokens, for all terms, or for those of asked (term) if they are few by their bytes. Texts are
     split once. A null text counts as a document, but not in the mean length; ids may repeat and be null."""
     spark, path, wanted = docs.sparkSession, folder(docs.sparkSession), None
+    lineage.small_batches(spark)
     if asked is not None:
         terms = lineage.cut(asked.select("term").distinct())
         if lineage.small(terms):
@@ -85,7 +88,7 @@ def build(docs: DataFrame, id_col: str, tokens: Column, asked: DataFrame | None
                 yield pa.RecordBatch.from_arrays([_one(x) for x in row], names=["ids", "length", "terms", "df", "docs", "tf"])
 
     rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    rows.mapInArrow(slices, f"ids array<{kind}>, length array<int>, terms array<string>, df array<int>, docs array<int>, tf array<int>").write.parquet(f"{path}/slices")
+    rows.mapInArrow(slices, f"ids array<{kind}>, length array<int>, terms array<string>, df array<int>, docs array<int>, tf array<int>").write.options(**_FEW_ROWS).parquet(f"{path}/slices")
     sliced = spark.read.parquet(f"{path}/slices")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
     known = F.filter("length", lambda x: x.isNotNull())
@@ -122,7 +125,7 @@ def build(docs: DataFrame, id_col: str, tokens: Column, asked: DataFrame | None
         if held:
             yield block(held, k)
 
-    sliced.mapInArrow(blocks, f"block long, ids array<{kind}>, terms array<string>, starts binary, docs binary, impacts binary, most binary").write.parquet(f"{path}/blocks")
+    sliced.mapInArrow(blocks, f"block long, ids array<{kind}>, terms array<string>, starts binary, docs binary, impacts binary, most binary").write.options(**_FEW_ROWS).parquet(f"{path}/blocks")
     return Index(path, kind, n, avgdl)
 
 
@@ -200,6 +203,7 @@ def search(spark: SparkSession, index: Index, weights: DataFrame, k: int) -> Dat
 
     Queries go in blocks of about QUERY_BYTES, so what the driver sends to tasks is bounded. The result is that of scoring
     every posting."""
+    lineage.small_batches(spark)
     kept = lineage.cut(weights.where("query is not null"))
     size = kept.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     parts, out, kind = max(1, math.ceil(size / QUERY_BYTES)), None, dict(weights.dtypes)["query"]

@@ -106,6 +106,7 @@ class Run:
         """planned (question_id, call_index, fields, ...) with out (the payload, parsed or salvaged), source and status.
         Records are checkpointed, so a generator answers each call once."""
         generator = self.generator
+        lineage.small_batches(planned.sparkSession)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import lineage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,4 +27,6 @@ def query(sql: str | None = None) -> Callable:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Its rows may be whole texts, so what Python works on goes in small batches."""
+    lineage.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

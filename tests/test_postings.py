@@ -1,14 +1,17 @@
 """Shared postings against adding up every posting."""
 
+import glob
 import math
 import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, postings
+from lodestone.plans import registry
 
 
 def corpus(seed, count):
@@ -92,3 +95,21 @@ def test_queries_in_parts_and_ids_of_text(spark, monkeypatch):
 def test_empty_tables_and_no_results_wanted(spark):
     d, q = tables(spark, [(1, "a b")], [(1, "a")])
     assert bm25.search(d.where("false"), q, 3).count() == bm25.search(d, q.where("false"), 3).count() == bm25.search(d, q, 0).count() == 0
+
+
+def test_row_groups_of_an_index_are_small(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    docs = spark.range(30_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.hash("id", i).cast("string")), " ").alias("text"))
+    index = bm25.index(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    for table in ("slices", "blocks"):
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{index.path}/{table}/*.parquet")]
+        groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+        assert len(groups) > 3 and max(g.num_rows for g in groups) <= 4 and max(g.total_byte_size for g in groups) < 16 << 20  # a reader holds all rows of a group
+
+
+def test_python_works_on_small_batches_of_texts(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    sizes = registry.read(spark, str(tmp_path), "t").mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]].head(1) for f in frames), "n long")
+    assert max(r.n for r in sizes.collect()) * 5000 <= 8 << 20
