@@ -98,8 +98,10 @@ def usable_answer(c: Column) -> Column:
 
 
 def verbatim_rate(spans: Column, text: Column) -> Column:
-    """Share of spans that stand in text, null without spans."""
-    return F.when(F.size(spans) > 0, F.size(F.filter(spans, lambda s: F.contains(loose(text), loose(s)))) / F.size(spans))
+    """Share of spans that stand in text, null without spans. The normal form of text is an array's one member, so it is made
+    once a row rather than for each span."""
+    held = F.transform(F.array(loose(text)), lambda t: F.size(F.filter(spans, lambda s: F.contains(t, loose(s)))))
+    return F.when(F.size(spans) > 0, F.get(held, F.lit(0)) / F.size(spans))
 
 
 def slug(c: Column) -> Column:
