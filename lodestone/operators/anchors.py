@@ -23,6 +23,10 @@ FULL = Q + W - 1
 PART_CHARS = 1 << 20
 #: Characters of a short text by which the places where it may begin are found first.
 _LEAD = 4
+#: Bits of a hash by which values are sorted out before they are looked up.
+_BITS = 16
+#: Characters of the groups, about, whose texts are hashed at a time.
+_NEAR_CHARS = 1 << 17
 #: Pairs that are confirmed at a time.
 _TOGETHER = 1 << 20
 
@@ -35,6 +39,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _likely(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values may be among the wanted, by some bits of each: true for all that are."""
+    bits = np.zeros(1 << _BITS, bool)
+    bits[(wanted & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return bits[(values & np.uint64(len(bits) - 1)).astype(np.int64)]
+
+
 class Rolling:
     """Hashes of all stretches of a list of texts, modulo 2^64: sums of characters times powers, the first power taken out."""
 
@@ -71,7 +82,23 @@ class Rolling:
 
 def contained(texts: list[str], group: np.ndarray, needle: np.ndarray, hay: np.ndarray, short_hay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of places, each once: the needle texts[a], not empty, stands in the longer text b of its group. b is one
-    of hay, or for needles of fewer than FULL characters one of short_hay. Texts of a group are different."""
+    of hay, or for needles of fewer than FULL characters one of short_hay. Texts of a group are different. Where groups stand
+    in order, some are taken at a time, so that what is made of their texts stays near the processor."""
+    if not len(texts) or (group[1:] < group[:-1]).any():
+        return _contained(texts, group, needle, hay, short_hay)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    nth = (ends - 1)[starts] // _NEAR_CHARS
+    cuts = [*starts[np.append(True, nth[1:] != nth[:-1])].tolist(), len(texts)]
+    found = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        a, b = _contained(texts[lo:hi], group[lo:hi], needle[lo:hi], hay[lo:hi], short_hay[lo:hi])
+        found.append((a + lo, b + lo))
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _contained(texts: list[str], group: np.ndarray, needle: np.ndarray, hay: np.ndarray, short_hay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     roll, found = Rolling(texts), [np.zeros((0, 2), np.int64)]
     salt = _mixed(group.astype(np.uint64) + np.uint64(1))
 
@@ -84,11 +111,15 @@ def contained(texts: list[str], group: np.ndarray, needle: np.ndarray, hay: np.n
 
     own, anchor = roll.anchors()
     anchor = anchor ^ salt[own]
-    of_hay, asks = hay[own], needle[own]
-    order = np.argsort(anchor[of_hay], kind="stable")
-    held, holder = anchor[of_hay][order], own[of_hay][order]
-    asking, asked = own[asks], anchor[asks]
-    lo, hi = np.searchsorted(held, asked, "left"), np.searchsorted(held, asked, "right")
+    of_hay, asks = np.flatnonzero(hay[own]), np.flatnonzero(needle[own])
+    of_hay = of_hay[np.argsort(anchor[of_hay])]
+    held, holder = anchor[of_hay], own[of_hay]
+    begin = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])  # of each run of equal anchors
+    ranges = np.zeros((2, len(own)), np.int64)  # where an anchor stands in held; what stands there itself isn't looked up
+    ranges[:, of_hay] = np.repeat(np.stack([begin, np.append(begin[1:], len(held))[: len(begin)]]), np.diff(np.append(begin, len(held))), axis=1)
+    apart = np.flatnonzero(needle[own] & ~hay[own])
+    ranges[:, apart] = np.searchsorted(held, anchor[apart], "left"), np.searchsorted(held, anchor[apart], "right")
+    asking, (lo, hi) = own[asks], ranges[:, asks]
     if len(asking):
         first = np.flatnonzero(np.append(True, asking[1:] != asking[:-1]))
         rarest = np.minimum.reduceat(((hi - lo) << 32) | np.arange(len(asking)), first) & 0xFFFFFFFF
@@ -104,17 +135,19 @@ def contained(texts: list[str], group: np.ndarray, needle: np.ndarray, hay: np.n
     for lead in np.unique(np.minimum(roll.sizes[short], _LEAD)).tolist():
         asking = short[np.minimum(roll.sizes[short], _LEAD) == lead]
         every, whole = roll.hashes(lead)  # places where any of them may begin
-        likely = np.zeros(1 << 16, bool)
-        likely[(every[roll.ends[asking] - roll.sizes[asking]] & np.uint64(0xFFFF)).astype(np.int64)] = True
-        begins = np.flatnonzero(likely[(every & np.uint64(0xFFFF)).astype(np.int64)] & whole & short_hay[roll.text[: len(every)]])
+        of = roll.text[: len(every)]
+        begins = np.flatnonzero(_likely(every ^ salt[of], every[roll.ends[asking] - roll.sizes[asking]] ^ salt[asking]) & whole & short_hay[of])
+        room = roll.ends[roll.text[begins]] - begins
         for size in np.unique(roll.sizes[asking]).tolist():
             a = asking[roll.sizes[asking] == size]
             wanted = roll.at(roll.ends[a] - size, size) ^ salt[a]
             order = np.argsort(wanted)
             a, wanted = a[order], wanted[order]
-            at = begins[begins + size <= roll.ends[roll.text[begins]]]
+            at = begins[room >= size]
             of = roll.text[at]
             value = roll.at(at, size) ^ salt[of]
+            near = _likely(value, wanted)
+            of, value = of[near], value[near]
             lo = np.searchsorted(wanted, value, "left")
             n = np.searchsorted(wanted, value, "right") - lo
             pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -141,7 +174,9 @@ class Folded:
 
 # --- over tables -----------------------------------------------------------------------------------------------------
 
-_ROW = "_by, _side, _no, _text, _needle, _hay, _home"
+_ROW = ["_by", "_side", "_no", "_text", "_needle"]
+#: What a row of a whole group has besides: it is searched, where it is at home, in the group's only bucket.
+_WHOLE = {"_hay": True, "_home": True, "_part": 0}
 
 
 def _routed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -167,9 +202,9 @@ def _routed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
             row, bucket = pairs[0], pairs[1]
             at_home, long = bucket == home[row], size[row] >= FULL
             part = batch.take(pa.array(row))
-            flag = lambda name, new: pa.array(part.column(name).to_numpy(zero_copy_only=False) & new)
-            columns = [part.column(n) for n in ("_by", "_side", "_no", "_text")] + [flag("_needle", at_home | ~long), flag("_hay", at_home | long), flag("_home", at_home), pa.array(bucket)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_by", "_side", "_no", "_text", "_needle", "_hay", "_home", "_part"])
+            needle = part.column("_needle").to_numpy(zero_copy_only=False) & (at_home | ~long)
+            columns = [*(part.column(n) for n in _ROW[:-1]), *map(pa.array, (needle, at_home | long, at_home, bucket))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_ROW, *_WHOLE])
 
     return rows.mapInArrow(run, f"_by {kinds['_by']}, _side int, _no {kinds['_no']}, _text string, _needle boolean, _hay boolean, _home boolean, _part long")
 
@@ -185,25 +220,27 @@ def matched(spans: DataFrame, sentences: DataFrame, work, schema: str) -> tuple[
     whether any group was dealt to several. spans, sentences: (_by, _no, _text, _needle). work gets an Arrow table of _by, _side (0: span, 1:
     sentence), _no, _text, _needle, _hay and _home."""
     rows = spans.withColumn("_side", F.lit(0)).unionByName(sentences.withColumn("_side", F.lit(1)))
-    rows = lineage.cut(rows.withColumns({"_hay": F.lit(True), "_home": F.lit(True)}).select(*_ROW.split(", ")))
+    rows = lineage.cut(rows.select(*_ROW))
     sizes = rows.groupBy("_by").agg(F.sum(F.length("_text")).alias("_chars"))
     total, most = sizes.agg(F.sum("_chars"), F.max("_chars")).first()
     parts, several = max(1, -(-(total or 0) // PART_CHARS)), (most or 0) > PART_CHARS
     if several:
         large = lineage.cut(sizes.where(F.col("_chars") > PART_CHARS).select(F.col("_by").alias("_large"), F.ceil(F.col("_chars") / PART_CHARS).alias("_buckets")))
         both = rows.join(F.broadcast(large) if lineage.small(large) else large, F.col("_by") == F.col("_large"), "left")
-        whole = both.where("_buckets is null").select(*_ROW.split(", ")).withColumn("_part", F.lit(0).cast("long"))
+        whole = both.where("_buckets is null").select(*_ROW, *[F.lit(v).cast("long" if k == "_part" else "boolean").alias(k) for k, v in _WHOLE.items()])
         rows = _routed(both.where("_buckets is not null").drop("_large"), dict(rows.dtypes)).unionByName(whole)
         parts += large.agg(F.sum("_buckets")).first()[0]
-    else:
-        rows = rows.withColumn("_part", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches(max_chunksize=100_000)
+            table = pa.Table.from_batches(held).combine_chunks()
+            if not several:  # constants need not be shuffled
+                for name, value in _WHOLE.items():
+                    table = table.append_column(name, pa.array(np.full(len(table), value)))
+            yield from work(table).to_batches(max_chunksize=100_000)
 
-    return rows.repartition(int(parts), "_by", "_part").mapInArrow(run, schema), several
+    return rows.repartition(int(parts), "_by", *(["_part"] if several else [])).mapInArrow(run, schema), several
 
 
 def held_by(items: DataFrame, item_id: str, item_text: str, docs: DataFrame, doc_id: str, doc_text: str) -> DataFrame:

@@ -129,7 +129,8 @@ def _sides(spans: DataFrame, index: DataFrame, by: str, least: int) -> tuple[Dat
     s, t = text.loose(F.col("span")), text.loose(F.col("text"))
     looked_for = lambda c: (F.length(c) >= least) & (F.col("_text") != _NONE)
     a = spans.select(F.col(by).alias("_by"), F.col("span_no").cast("long").alias("_no"), F.coalesce(s, F.lit(_NONE)).alias("_text"))
-    b = index.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col("sent_id").cast("long").alias("_no") if "sent_id" in index.columns else F.lit(0).cast("long").alias("_no"), t.alias("_text")).where("_text <> ''")
+    some = index.where(F.col(by).isNotNull() & F.regexp_like("text", F.lit(r"(?U)\S")))  # normal forms that aren't empty, without making them twice
+    b = some.select(F.col(by).alias("_by"), F.col("sent_id").cast("long").alias("_no") if "sent_id" in index.columns else F.lit(0).cast("long").alias("_no"), t.alias("_text"))
     return tuple(x.withColumn("_needle", looked_for("_text")) for x in (a, b))
 
 

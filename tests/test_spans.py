@@ -1,10 +1,15 @@
 """Spans of long texts: results, and work that doesn't grow with spans times text where it needn't."""
 
+import random
+import re
 import time
+import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import anchors, spans
 
 
 def test_verbatim_rate_makes_the_text_normal_once(spark):
@@ -21,3 +26,30 @@ def test_verbatim_rate_of_nulls(spark):
     rows = spark.createDataFrame([(["a", None, "x"], "A b"), ([], "a"), (None, "a"), (["a"], None), ([""], "")], "spans array<string>, text string")
     got = [r.r for r in rows.select(text.verbatim_rate(F.col("spans"), F.col("text")).alias("r")).collect()]
     assert got == [1 / 3, None, None, 0.0, 1.0]
+
+
+def test_whole_groups_move_five_columns(spark, monkeypatch):
+    index = spark.createDataFrame([(1, 0, "One sentence that is long"), (1, 1, "  \t"), (2, 0, "another")], "d long, sent_id long, text string")
+    made = index.selectExpr("d", "sent_id as span_no", "text as span")
+    kept, cut = [], anchors.lineage.cut
+    monkeypatch.setattr(anchors.lineage, "cut", lambda df: kept.append(df.columns) or cut(df))
+    got = {(r.d, r.span_no): (r.n_exact, r.n_within, r.n_around) for r in spans.located(made, index, "d").collect()}
+    assert kept == [["_by", "_side", "_no", "_text", "_needle"]]
+    assert got == {(1, 0): (1, 1, 1), (1, 1): (0, 0, 1), (2, 0): (1, 1, 1)}
+
+
+def test_short_texts_are_sorted_out_before_they_are_looked_up(monkeypatch):
+    """Of the places where a short text of any group may begin, few are looked up: those of its own group, by bits of the hash."""
+    rng, looked_up, find = random.Random(3), [], np.searchsorted
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(90 if i % 2 else 9)) for i in range(4000)]
+    texts[0] = texts[1][20:29]
+    group, one = np.repeat(np.arange(400), 10), np.ones(len(texts), bool)
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args: looked_up.append(np.size(v)) or find(a, v, *args))
+    a, b = anchors.contained(texts, group, one, one, one)
+    assert (0, 1) in zip(a.tolist(), b.tolist(), strict=True)
+    assert sum(looked_up) < sum(map(len, texts)) / 8
+
+
+def test_folded_is_as_before():
+    for s in ("", " ", "a  b", "　A\x1cB \t", "ﬁn\r\n", "Straße \x85 x", "İ i"):
+        assert spans.folded(s) == re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s)).strip().casefold()
