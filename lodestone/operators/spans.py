@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 
@@ -27,7 +26,7 @@ MAPPED = T.StructType([
 
 def folded(s: str) -> str:
     """Compatibility form, single spaces, folded case."""
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s)).strip().casefold()
+    return " ".join(unicodedata.normalize("NFKC", s).split()).casefold()
 
 
 def located_in(spans: list[list[str]], sources: list[list[str]], least: int = MIN_CHARS) -> list[list[tuple[str, int | None]]]:
