@@ -193,12 +193,44 @@ def attributed(spans: DataFrame, index: DataFrame, by: str, least: int = MIN_CHA
     return made.select(F.col("_by").alias(by), F.col("_no").cast(kind["span_no"]).alias("span_no"), F.col("sent_id").cast(of["sent_id"]).alias("sent_id"))
 
 
+def _tallied(spans: DataFrame, index: DataFrame, by: str, least: int) -> tuple[DataFrame, bool]:
+    """(_by, _no, n, short): a row for each span, with how many rows attributed() has for its by and span_no, counted where they
+    are found, and whether the span is shorter than least; and whether n is of a bucket only, for groups dealt to several tasks."""
+    if least < 1:
+        raise ValueError("least must be positive")
+
+    def count(table: pa.Table) -> pa.Table:
+        side, flags = table.column("_side").to_numpy(), {k: table.column(f"_{k}").to_numpy(zero_copy_only=False) for k in ("needle", "hay", "home")}
+        rows = anchors.Folded(table.column("_text").combine_chunks(), anchors.of_group(table))
+        size = np.fromiter(map(len, rows.texts), np.int64, len(rows.texts))
+        home, n = rows.any(flags["home"]), rows.count(side == 1)
+        a, b = anchors.contained(rows.texts, rows.group, rows.any(flags["needle"]), rows.any(flags["hay"]), home)
+        hits = np.where(home & (size >= least), n, 0)
+        hits += np.bincount(a, n[b], len(n)).astype(np.int64)
+        hits += np.bincount(b, n[a], len(n)).astype(np.int64)
+        at = np.flatnonzero(side == 0)
+        of, mine = rows.of[at], table.select(["_by", "_no"]).take(pa.array(at))
+        no = mine.column("_no").combine_chunks()
+        # spans of one number are counted together; one without a number or a group has no rows
+        keys, place = np.unique(np.stack([rows.group[of], no.fill_null(0).to_numpy()]), axis=1, return_inverse=True)
+        each = np.bincount(place.ravel(), hits[of], keys.shape[1]).astype(np.int64)[place.ravel()]
+        each[no.is_null().to_numpy(zero_copy_only=False)] = 0
+        null = np.fromiter((t == _NONE for t in rows.texts), bool, len(rows.texts))[of]
+        return pa.table({"_by": mine.column("_by"), "_no": no, "n": pa.array(each), "short": pa.array(size[of] < least, mask=null)})
+
+    kind = dict(spans.dtypes)
+    return anchors.matched(*_sides(spans, index, by, least), count, f"_by {kind[by]}, _no long, n long, short boolean")
+
+
 def attribution_stats(spans: DataFrame, index: DataFrame, by: str, least: int = MIN_CHARS) -> DataFrame:
     """(by, n_spans, too_short, unmatched, ambiguous, uniquely): how far attribution can be trusted."""
-    hits = attributed(spans, index, by, least).groupBy(by, "span_no").agg(F.count("*").alias("_n"))
-    rows = spans.select(by, "span_no", (F.length(text.loose(F.col("span"))) < least).alias("_short")).join(hits, [by, "span_no"], "left")
-    n = F.coalesce("_n", F.lit(0))
-    return rows.groupBy(by).agg(F.count("*").alias("n_spans"), F.count_if("_short").alias("too_short"), F.count_if(~F.col("_short") & (n == 0)).alias("unmatched"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n == 1).alias("uniquely"))
+    rows, several = _tallied(spans, index, by, least)
+    rows = rows.withColumnRenamed("_by", by)
+    if several:
+        hits = rows.groupBy(by, F.col("_no").alias("_at")).agg(F.sum("n").alias("n"))
+        rows = spans.select(by, F.col("span_no").cast("long").alias("_at"), (F.length(text.loose(F.col("span"))) < least).alias("short")).join(hits, [by, "_at"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return rows.groupBy(by).agg(F.count("*").alias("n_spans"), F.count_if("short").alias("too_short"), F.count_if(~F.col("short") & (n == 0)).alias("unmatched"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n == 1).alias("uniquely"))
 
 
 def set_scores(pred: Column, gold: Column) -> dict[str, Column]:

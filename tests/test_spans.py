@@ -6,6 +6,7 @@ import time
 import unicodedata
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
@@ -53,3 +54,31 @@ def test_short_texts_are_sorted_out_before_they_are_looked_up(monkeypatch):
 def test_folded_is_as_before():
     for s in ("", " ", "a  b", "　A\x1cB \t", "ﬁn\r\n", "Straße \x85 x", "İ i"):
         assert spans.folded(s) == re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s)).strip().casefold()
+
+
+@pytest.mark.parametrize("part", [1 << 20, 200])
+@pytest.mark.parametrize("least", [1, 20])
+def test_attribution_is_counted_without_pairs(spark, monkeypatch, part, least):
+    """Against all pairs; with groups dealt to several tasks, too; repeated numbers, null spans, numbers and groups."""
+    monkeypatch.setattr(anchors, "PART_CHARS", part)
+    monkeypatch.setattr(spans, "attributed", lambda *a, **k: pytest.fail("pairs were made"))
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ab c") for _ in range(60)) for _ in range(6)]
+    cut = lambda: (lambda t, i: t[i : i + rng.randint(1, 50)])(rng.choice(base), rng.randint(0, 40))
+    a = [(rng.choice([1, 2, 3]), i, cut()) for i in range(60)] + [(1, 0, base[0]), (2, None, base[1]), (None, 7, base[2]), (3, 70, None), (3, 71, " "), (4, 0, base[3])]
+    b = [(rng.choice([1, 2, 3]), i, cut()) for i in range(60)] + [(1, 60, base[0]), (2, 61, base[1]), (None, 62, base[2]), (3, 63, None), (3, 64, " \t"), (3, 65, "\0" * 20)]
+    left, right = spark.createDataFrame(a, "d long, span_no long, span string"), spark.createDataFrame(b, "d long, sent_id long, text string")
+    plain = lambda t: None if t is None else " ".join(t.split()).lower()
+    hits = {}
+    for g, i, s in a:
+        s = plain(s)
+        near = lambda t: s is not None and len(s) >= least and (s in t or (len(t) >= least and t in s))  # noqa: B023, E731
+        hits[g, i] = hits.get((g, i), 0) + (sum(near(plain(t)) for h, _, t in b if h == g and plain(t)) if g is not None and i is not None else 0)
+    want = {}
+    for g, i, s in a:
+        short, n = None if s is None else len(plain(s)) < least, hits[g, i]
+        row = want.setdefault(g, [0] * 5)
+        for k, yes in enumerate((True, short is True, short is False and n == 0, n > 1, n == 1)):
+            row[k] += yes
+    got = {r[0]: list(r[1:]) for r in spans.attribution_stats(left, right, "d", least).collect()}
+    assert got == want
