@@ -36,6 +36,17 @@ def index(docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", asked
     return postings.build(docs, doc_id, text.tokens(F.col(doc_text)), asked, K1, B)
 
 
+def _terms(queries: DataFrame, query_id: str, query_text: str, name: str) -> DataFrame:
+    """(name, term, times)."""
+    return queries.select(F.col(query_id).alias(name), F.explode(text.tokens(F.col(query_text))).alias("term")).groupBy(name, "term").agg(F.count("*").alias("times"))
+
+
+def _weighed(at: postings.Index, asked: DataFrame) -> DataFrame:
+    """asked with weight instead of times; terms that the index lacks are left out."""
+    known = asked.join(postings.frequencies(asked.sparkSession, at), "term")
+    return known.select(asked.columns[0], "term", (F.col("times") * idf(F.lit(at.n), F.col("df"))).alias("weight"))
+
+
 def search(docs: DataFrame | postings.Index, queries: DataFrame, k: int, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", fill: DataFrame | bool = False) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query, by score to six digits, ties to the smaller id.
 
@@ -44,11 +55,10 @@ def search(docs: DataFrame | postings.Index, queries: DataFrame, k: int, doc_id:
     one query. With fill (True, or the documents if docs is an index), a query with fewer than k matches gets the first documents
     that don't match, at score 0.
     """
-    query_tokens = text.tokens(F.col(query_text))
-    asked = lineage.cut(queries.select(F.col(query_id).alias("query"), F.explode(query_tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")))
+    asked = lineage.cut(_terms(queries, query_id, query_text, "query"))
     at = docs if isinstance(docs, postings.Index) else index(docs, doc_id, doc_text, asked)
     spark = queries.sparkSession
-    weights = asked.join(postings.frequencies(spark, at), "term").select("query", "term", (F.col("times") * idf(F.lit(at.n), F.col("df"))).alias("weight"))
+    weights = _weighed(at, asked)
     hits = postings.search(spark, at, weights, max(k, 0)) if k > 0 else postings.search(spark, at, weights.limit(0), 1)
     hits = hits.select(F.col("query").alias(query_id), F.col("id").alias(doc_id), "score", "rank")
     if fill is False or k < 1:
@@ -63,6 +73,17 @@ def search(docs: DataFrame | postings.Index, queries: DataFrame, k: int, doc_id:
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", doc_id, "score")
 
 
+def search_beside(at: postings.Index, queries: DataFrame, query_id: str, query_text: str, shared_text: str, depth: str, doc_id: str = "doc_id") -> DataFrame:
+    """(query_id, rank, doc_id, score) of queries that are query_text and shared_text together, each to its own depth, as search() gives them. Many
+    queries may have one shared text, for which documents are scored once. queries: a row for each query_id; shared_text and depth not null."""
+    rows = queries.where(F.col(depth) > 0).withColumn("_base", F.sha2(shared_text, 256))
+    shared = _weighed(at, _terms(rows.select("_base", shared_text).distinct(), "_base", shared_text, "base"))
+    own = _weighed(at, _terms(rows, query_id, query_text, "query"))
+    asked = rows.select(F.col(query_id).alias("query"), F.col("_base").alias("base"), F.col(depth).cast("int").alias("k"))
+    hits = postings.search_beside(queries.sparkSession, at, asked, own, shared)
+    return hits.select(F.col("query").alias(query_id), "rank", F.col("id").alias(doc_id), "score")
+
+
 def lookup(ranked: DataFrame, passages: DataFrame, key: str) -> DataFrame:
     """Passages of ranked keys, in no order but with their rank; keys without a passage are dropped."""
     return ranked.join(passages, key)

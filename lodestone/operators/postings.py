@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -241,3 +243,109 @@ def _search(spark: SparkSession, index: Index, items: list[tuple[list[str], list
         rest = pairs.where(F.col("nth") > FIRST).join(least, "query", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 2 * 10.0**-DIGITS)
         found = found.unionByName(scored(rest))
     return _top(found, k).select("query", "rank", "id", "score")
+
+
+def search_beside(spark: SparkSession, index: Index, asked: DataFrame, weights: DataFrame, shared: DataFrame) -> DataFrame:
+    """search() of queries that are a shared text and some terms of their own. asked (query, base, k), none null: a row for each query with its base and
+    depth; weights (query, term, weight) of its own terms; shared (base, term, weight).
+
+    A block is scored once for each base, however many queries have it. Own terms only add, so a document without any is found only
+    if its base alone finds it as deep, and no document counts below the base's k-th score: a query looks at the postings of its own
+    terms, and of no block that can't reach that score. The result is that of searching both together."""
+    lineage.small_batches(spark)
+    asked, weights, shared = lineage.cut(asked), lineage.cut(weights), lineage.cut(shared)
+    deepest, kind = asked.agg(F.max("k")).first()[0] or 1, dict(asked.dtypes)["query"]
+    alone = search(spark, index, shared.withColumnRenamed("base", "query"), deepest)
+    ends = lineage.cut(alone.select(F.col("query").alias("base"), F.col("rank").alias("k"), F.col("score").alias("least")))
+    listed = lambda df, by: df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("x")).select(by, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
+    parts = lambda size: max(1, math.ceil((size or 0) / QUERY_BYTES))
+    of_base = parts(shared.agg(F.sum(F.octet_length("term") + 16)).first()[0])
+    told = asked.join(listed(weights, "query"), "query", "left").join(ends, ["base", "k"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    told = lineage.cut(told.withColumn("_b", F.pmod(F.xxhash64("base"), F.lit(of_base))))
+    taken = F.sum(F.aggregate(F.coalesce("term", F.array().cast("array<string>")), F.lit(32).cast("long"), lambda n, t: n + F.octet_length(t) + 16))
+    sizes = {r["_b"]: r.size for r in told.groupBy("_b").agg(taken.alias("size")).collect()}  # a row for each QUERY_BYTES of shared texts
+    terms = lineage.cut(listed(shared, "base").withColumn("_b", F.pmod(F.xxhash64("base"), F.lit(of_base))))
+    out, scored = None, spark.sparkContext.accumulator(0)
+    index.last = {"pairs": 0, "scored": 0}
+    for b, size in sorted(sizes.items()):
+        texts = {r.base: (r.term, r.weight) for r in terms.where(F.col("_b") == b).collect()}
+        for part in range(parts(size)):
+            rows = told.where((F.col("_b") == b) & (F.pmod(F.xxhash64("query"), F.lit(parts(size))) == part)).orderBy("base", "query").collect()
+            if not rows:
+                continue
+            bases = sorted({r.base for r in rows})
+            found = lineage.cut(_beside(spark, index, rows, [texts.get(x, ([], [])) for x in bases], scored))
+            place = {x: i for i, x in enumerate(bases)}
+            names = F.broadcast(spark.createDataFrame([(i, place[r.base], r.k, r.query) for i, r in enumerate(rows)], f"_i int, _base int, k int, _name {kind}"))  # as many as QUERY_BYTES hold
+            first = found.where("query < 0").withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy(F.desc(F.round("score", DIGITS)), "id")))
+            both = found.where("query >= 0").join(names, F.col("query") == F.col("_i")).unionByName(first.join(names, (F.col("base") == F.col("_base")) & (F.col("nth") <= F.col("k"))).drop("nth"))
+            every = both.groupBy(F.col("_name").alias("query"), "k", "block", "doc", "id").agg(F.round(F.max("score"), DIGITS).alias("score"))
+            best = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= F.col("k")).select("query", "rank", "id", "score")
+            out = best if out is None else out.unionByName(best)
+    index.last = {"pairs": asked.count() * spark.read.parquet(f"{index.path}/blocks").count(), "scored": scored.value}
+    return search(spark, index, weights.limit(0), 1) if out is None else out
+
+
+def _beside(spark: SparkSession, index: Index, rows: list, texts: list[tuple[list[str], list[float]]], scored: Accumulator) -> DataFrame:
+    """(query, base, block, doc, id, score): of each block, the documents with own terms of a query that may be among its k best, and, with
+    query -1, those that may be among the deepest of a base. rows are in the order of bases, as
+    texts, their terms, are."""
+    vocabulary = sorted({t for terms, _ in texts for t in terms} | {t for r in rows for t in r.term or []})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    common = [(np.array([place[t] for t in terms], np.int64), np.array(w, np.float64)) for terms, w in texts]
+    own = np.array([place[t] for r in rows for t in r.term or []], np.int64)
+    weight = np.array([w for r in rows for w in r.weight or []], np.float64)
+    ends = np.cumsum([0, *(len(r.term or []) for r in rows)])
+    least, depth = np.array([r.least for r in rows]) - 2 * 10.0**-DIGITS, [r.k for r in rows]
+    begin = np.cumsum([0, *(n for _, n in sorted(Counter(r.base for r in rows).items()))])
+
+    def best(s: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+        rounded = np.round(s, DIGITS)
+        at = np.arange(len(s))
+        if len(s) > k:
+            at = np.flatnonzero(rounded >= np.partition(rounded, len(s) - k)[len(s) - k])
+        return at[np.lexsort([rank[at], -rounded[at]])[:k]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                starts, docs, x, most = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("starts", "<i4"), ("docs", "<i4"), ("impacts", "<f8"), ("most", "<f8")))
+                ids = batch.column("ids")[i].values
+                rank = np.empty(len(ids), np.int64)
+                rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                at = pc.fill_null(pc.index_in(pa.array(vocabulary, pa.string()), value_set=batch.column("terms")[i].values), -1).to_numpy(zero_copy_only=False)
+                held = at[own] >= 0
+                adds = np.concatenate([[0.0], np.cumsum(np.where(held, np.append(most, 0.0)[at[own]] * weight, 0.0))])
+                adds, any_held = adds[ends[1:]] - adds[ends[:-1]], np.diff(np.concatenate([[0], np.cumsum(held)])[ends]) > 0
+                score, more, found = np.zeros(len(ids)), np.zeros(len(ids)), []
+                for base, (terms, w) in enumerate(common):
+                    mine = slice(begin[base], begin[base + 1])
+                    score[:] = 0
+                    for term, weighs in zip(at[terms].tolist(), w.tolist(), strict=True):
+                        if term >= 0:
+                            lo, hi = starts[term], starts[term + 1]
+                            score[docs[lo:hi]] += x[lo:hi] * weighs
+                    seen = np.flatnonzero((score > 0) & (score >= least[mine].min()))
+                    seen = seen[best(score[seen], rank[seen], max(depth[mine]))]
+                    found.append((np.full(len(seen), -1), np.full(len(seen), base), seen, score[seen]))
+                    live = begin[base] + np.flatnonzero(any_held[mine] & (score.max(initial=0.0) + adds[mine] >= least[mine]))
+                    scored.add(len(live))
+                    for q in live.tolist():
+                        held_by = []
+                        for term, weighs in zip(at[own[ends[q] : ends[q + 1]]].tolist(), weight[ends[q] : ends[q + 1]].tolist(), strict=True):
+                            if term >= 0:
+                                lo, hi = starts[term], starts[term + 1]
+                                more[docs[lo:hi]] += x[lo:hi] * weighs
+                                held_by.append(docs[lo:hi])
+                        seen = held_by[0] if len(held_by) == 1 else np.unique(np.concatenate(held_by))
+                        s = score[seen] + more[seen]
+                        more[seen] = 0
+                        seen, s = seen[s >= least[q]], s[s >= least[q]]
+                        if len(seen):
+                            top = best(s, rank[seen], depth[q])
+                            found.append((np.full(len(top), q), np.full(len(top), base), seen[top], s[top]))
+                q, base, doc, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                block = pa.array(np.full(len(q), batch.column("block")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(base, pa.int32()), block, pa.array(doc, pa.int32()), ids.take(pa.array(doc, pa.int64())), pa.array(s)], names=["query", "base", "block", "doc", "id", "score"])
+
+    return spark.read.parquet(f"{index.path}/blocks").mapInArrow(run, f"query int, base int, block long, doc int, id {index.id_kind}, score double")

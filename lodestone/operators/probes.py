@@ -26,6 +26,15 @@ def fetch(passages: DataFrame | postings.Index, asked: DataFrame) -> DataFrame:
     return named.join(ranked.drop("score"), "_q").where(F.col("rank") <= F.col("depth")).drop("_q", "query", "depth")
 
 
+def fetch_beside(index: postings.Index, asked: DataFrame, questions: DataFrame) -> DataFrame:
+    """fetch() of queries that are query and the question together. Questions have as many of these as they have titles, so documents are scored
+    once for a question and then for what a query adds."""
+    named = asked.withColumn("_q", F.sha2(F.concat_ws("\x1f", F.col("question_id").cast("string"), "query"), 256))
+    each = named.groupBy("_q", "question_id", "query").agg(F.max("depth").alias("depth")).join(questions.select("question_id", F.coalesce("question", F.lit("")).alias("question")), "question_id")
+    ranked = bm25.search_beside(index, each, "_q", "query", "question", "depth")
+    return named.join(ranked.drop("score"), "_q").where(F.col("rank") <= F.col("depth")).drop("_q", "query", "depth")
+
+
 def _half(k: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(k / 2)).cast("int")
 
@@ -88,21 +97,21 @@ def bridges(passages: DataFrame, questions: DataFrame, gold: DataFrame, ks: list
     asked = []
     for arm, rows in (("oracle", hidden), ("two_pass", hidden.join(seen, ["question_id", "k", "title"], "left_semi"))):
         n = F.count("*").over(Window.partitionBy("question_id", "k"))
-        asked.append(_asked(rows, arm, F.concat_ws(" ", "title", "question"), F.greatest(F.lit(1), F.floor(_half(F.col("k")) / n))))
+        asked.append(_asked(rows, arm, F.col("title"), F.greatest(F.lit(1), F.floor(_half(F.col("k")) / n))))
     spans = known.join(first, ["question_id", "doc_id"]).select("question_id", "question", "k", "place", "support").groupBy("question_id", "question", "k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "support"))), lambda x: x["support"])).alias("spans")).where(F.size("spans") > 0)
-    asked.append(_asked(spans, "span", F.concat_ws(" ", F.array_join("spans", " "), "question"), _half(F.col("k"))))
+    asked.append(_asked(spans, "span", F.array_join("spans", " "), _half(F.col("k"))))
     titles = texts.groupBy("question_id", "k").agg(F.collect_list(text.norm(F.col("title"))).alias("titles"))
     named = spans.join(titles, ["question_id", "k"]).withColumn("names", fusion.candidate_names(F.col("spans")))
     fresh = F.filter("names", lambda c: ~F.contains(text.norm(F.col("question")), text.norm(c)) & ~F.exists("titles", lambda t: F.contains(t, text.norm(c))))
     named = named.withColumn("names", fresh).where(F.size("names") > 0)
-    asked.append(_asked(named, "names", F.array_join(F.slice("names", 1, NAMES), " "), F.greatest(F.lit(1), F.col("k") - _half(F.col("k")))))
+    names = lineage.cut(_asked(named, "names", F.array_join(F.slice("names", 1, NAMES), " "), F.greatest(F.lit(1), F.col("k") - _half(F.col("k")))))
 
     follow = asked[0]
     for a in asked[1:]:
         follow = follow.unionByName(a)
-    follow = lineage.cut(follow)
-    found = fetch(index, follow).select("question_id", "arm", "k", "doc_id")
-    started = follow.select("question_id", "arm", "k").distinct()
+    follow = lineage.cut(follow)  # with the question
+    found = fetch_beside(index, follow, questions).unionByName(fetch(index, names)).select("question_id", "arm", "k", "doc_id")
+    started = follow.unionByName(names).select("question_id", "arm", "k").distinct()
     arms = spark.createDataFrame([(a,) for a in ("two_pass", "oracle", "span", "names")], "arm string")
     idle = asking.select("question_id", "k").crossJoin(F.broadcast(arms)).join(started, ["question_id", "arm", "k"], "left_anti")
     rows = single.select("question_id", "arm", "k", "doc_id").unionByName(found)

@@ -113,3 +113,37 @@ def test_python_works_on_small_batches_of_texts(spark, tmp_path):
     spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     sizes = registry.read(spark, str(tmp_path), "t").mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]].head(1) for f in frames), "n long")
     assert max(r.n for r in sizes.collect()) * 5000 <= 8 << 20
+
+
+@pytest.mark.parametrize("query_bytes", [1 << 20, 400])
+def test_queries_beside_a_shared_text_equal_searches_of_both(spark, monkeypatch, query_bytes):
+    monkeypatch.setattr(postings, "BLOCK_POSTINGS", 300)
+    monkeypatch.setattr(postings, "QUERY_BYTES", query_bytes)
+    docs = [*enumerate(corpus(8, 250)), (300, None), (301, "")]
+    texts = [*corpus(9, 3), "unknown", "", "w199"]
+    queries = [(i, own, texts[i % len(texts)], i % 9) for i, own in enumerate([*corpus(10, 12), "w199 w198", "w1 w1", "nothing known", None, "w150"] * 2)]
+    d, _ = tables(spark, docs, [])
+    q = spark.createDataFrame(queries, "item_id long, text string, shared string, depth int")
+    got = by_query(bm25.search_beside(bm25.index(d), q, "item_id", "text", "shared", "depth"), queries_ := [(i, f"{own or ''} {shared}") for i, own, shared, _ in queries])
+    every = exhaustive(docs, queries_, 9)
+    assert got == {i: every[i][:k] for i, _, _, k in queries}
+
+
+def test_documents_of_one_id_count_each_beside_a_shared_text(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a c"), (None, "a b c"), (2, "a d d d d")], "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "b", "a", 3), (2, "z", "a", 4)], "item_id long, text string, shared string, depth int")
+    index = bm25.index(d)
+    whole = bm25.search(index, q.select("item_id", F.concat_ws(" ", "text", "shared").alias("text")), 4).join(q.select("item_id", "depth"), "item_id").where("rank <= depth").drop("depth")
+    assert sorted(map(str, bm25.search_beside(index, q, "item_id", "text", "shared", "depth").collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_block_without_own_terms_that_matter_is_not_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_POSTINGS", 400)
+    monkeypatch.setattr(postings, "SLICE", 100)
+    docs = [(i, f"common filler{i % 9} title{i} " + ("best" if i == 5 else "")) for i in range(3000)]
+    d, _ = tables(spark, docs, [])
+    q = spark.createDataFrame([(i, f"title{i} filler{i % 9}", "common best", 1) for i in range(200)], "item_id long, text string, shared string, depth int")
+    index = bm25.index(d)
+    assert bm25.search_beside(index, q, "item_id", "text", "shared", "depth").count() == 200
+    assert 0 < index.last["scored"] <= 400 < index.last["pairs"] / 4
+    assert bm25.search_beside(index, q.where("false"), "item_id", "text", "shared", "depth").count() == bm25.search_beside(bm25.index(d.where("false")), q, "item_id", "text", "shared", "depth").count() == 0

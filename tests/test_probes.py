@@ -109,6 +109,17 @@ def test_bridges(tables):
         assert report["all", "all", "single", k].gain == 0 and not report["all", "all", "single", k].marked
 
 
+def test_a_follow_up_for_each_title_does_not_search_the_question_anew(spark, tables, monkeypatch):
+    """Titles grow with the corpus; whole queries do not."""
+    sent, search_ = [], probes.postings.search
+    monkeypatch.setattr(probes.postings, "search", lambda spark, index, weights, k: sent.append(weights.select("query").distinct().count()) or search_(spark, index, weights, k))
+    passages = spark.createDataFrame([*PASSAGES, *((100 + i, f"Title {i}", f"Title {i} names a mill.") for i in range(60))], "doc_id long, title string, text string")
+    gold = spark.createDataFrame([(12, 100 + i, f"Title {i}", i, ["It names a mill."]) for i in range(60)], "question_id long, doc_id long, title string, place int, support array<string>")
+    got = rows(probes.bridges(passages, tables[1], gold, KS))
+    assert {k[1] for k in got} == {"single", "two_pass", "oracle", "span", "names"} and got[12, "oracle", 2][0] == 60
+    assert sum(sent) < 10
+
+
 def test_named_titles(tables):
     want = {}
     for q, question, _, docs in golds():
