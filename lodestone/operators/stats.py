@@ -81,16 +81,18 @@ def holm(df: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
     return df.withColumn("_step", step).withColumn("adjusted", F.least(F.lit(1.0), F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_step")
 
 
-#: Places of a stratum that one task fills, and distinct value vectors that it looks them up in.
-PLACES, VECTORS = 1 << 16, 1 << 20
+#: Places that are filled at a time, distinct value vectors that they are looked up in, and vectors of a row that is sent to tasks.
+PLACES, VECTORS, PACKED = 1 << 16, 10 << 20, 1 << 16
+#: Places of a task are as many as the vectors that it is sent, divided by this, so that what is sent grows with units.
+_COPIES = 8
 #: Tasks that make draws, at most.
 MOST_TASKS = 2000
 #: Picks that are made at a time, and of numpy's generator.
 _AT_ONCE, _TOGETHER = 1 << 16, 1 << 18
 #: Different values of a stratum up to which picks are compared with each bound, and up to which they are sorted first.
 _COMPARED, _SORTED = 16, 1 << 13
-#: Places from which that pays, and values that are laid out unit by unit: if they fit a cache, or are of so many vectors.
-_LONG, _LAID_OUT, _MANY = 4096, (1 << 18, 1 << 23), 1 << 16
+#: Places from which that pays, and values that are laid out unit by unit, of few and of many vectors.
+_LONG, _LAID_OUT, _MANY = 4096, (20 << 20, 20 << 20), 1 << 16
 
 
 @functools.lru_cache(256)
@@ -149,21 +151,22 @@ def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places
             n_in[d] = from_edge[0] - from_edge[-1]
         return sums, n_in
 
-    columns = [np.ascontiguousarray(values[:, k]) for k in range(width)]
+    # two values are one complex number, so that a pick reads one place
+    columns = [np.ascontiguousarray(values[:, k : k + 2]).view(np.complex128 if k + 1 < width else np.float64)[:, 0] for k in range(0, width, 2)]
     laid_out = total * width <= _LAID_OUT[len(counts) >= _MANY]
     if laid_out:
-        columns = [np.repeat(c, counts) for c in columns]
+        columns = [np.repeat(c, counts) for c in columns] if total > len(counts) else columns
     else:
         bits = min(22, max(16, len(counts).bit_length() + 5))
         first = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits)
         of = np.searchsorted(least, first[:-1].astype(np.uint32), "right")
         last = np.searchsorted(least, (first[1:] - np.uint64(1)).astype(np.uint32), "right")
         table = np.where(of == last, of - 1, -2)  # -1 is before the first vector, the number of vectors behind the last
-    at, got = np.empty(len(x), np.int64), np.empty(len(x))
+    at, got = np.empty(len(x), np.int64), np.empty(len(x), np.complex128)
     step = max(1, _AT_ONCE // len(u))
     for d in range(0, replicates, step):
         rows = min(step, replicates - d)
-        word, place, value = x[: rows * len(u)], at[: rows * len(u)], got[: rows * len(u)]
+        word, place = x[: rows * len(u)], at[: rows * len(u)]
         np.bitwise_xor(v[d : d + rows, None], u[None, :], out=word.reshape(rows, -1))
         _mixed(word, spare[: len(word)])
         if laid_out:
@@ -171,7 +174,8 @@ def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places
             np.copyto(scaled, word)
             scaled *= np.uint64(n)
             scaled >>= np.uint64(32)
-            place -= base
+            if base:
+                place -= base
             size = total
         else:
             np.right_shift(word, np.uint32(32 - bits), out=spare[: len(word)])
@@ -182,11 +186,12 @@ def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places
         inside = None if all_in else (place >= 0) & (place < size)
         if inside is not None:
             n_in[d : d + rows] = inside.reshape(rows, -1).sum(axis=1)
-        for k in range(width):
-            np.take(columns[k], place, out=value, mode="clip")
+        for k, column in enumerate(columns):
+            value = got.view(column.dtype)[: len(place)]
+            np.take(column, place, out=value, mode="clip")
             if inside is not None:
                 value[~inside] = 0
-            sums[d : d + rows, k] = value.reshape(rows, -1).sum(axis=1)
+            sums[d : d + rows, 2 * k : 2 * k + 2] = value.reshape(rows, -1).sum(axis=1)[:, None].view(np.float64)
     return sums, n_in
 
 
@@ -196,8 +201,9 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
     picks belongs in one row. units: a row per unit; null values add nothing.
 
     Units stand in the order of their values, so those of equal values are one counted row, and no unit is numbered. A task
-    makes all draws of PLACES places at once, against up to VECTORS counted rows, and gives a sum for each draw; no row is
-    made for a pick. The work is units times draws, times each further VECTORS of different values in a stratum.
+    makes all draws of some places, PLACES at a time, against up to VECTORS counted rows, and gives a sum for each draw; no row is
+    made for a pick. Counted rows go to tasks packed, and to the fewer tasks the more they are. The work is units times
+    draws, times each further VECTORS of different values in a stratum.
     The result, a row for each draw and stratum, is kept. strata [] is one stratum.
     """
     keys, values = [f"_k{i}" for i in range(len(strata))], [f"_v{i}" for i in range(len(sums))]
@@ -217,26 +223,40 @@ def hashed_draws(units: DataFrame, strata: list[str], unit: str, sums: list[str]
     if (most or 0) > 1 << 32:
         raise ValueError("a stratum may have 2^32 units at most")
     same = [F.col(k).eqNullSafe(F.col(f"_z{k}")) for k in keys]
-    totals = sizes.drop("_d")
+    some = F.least("_d", F.lit(VECTORS))
+    size = F.ceil(some / (_COPIES * PLACES)) * PLACES
+    totals = sizes.withColumn("_g", F.ceil(some / PACKED)).withColumn("_size", size).drop("_d")
     whole = (blocks.join(totals, same) if keys else blocks.crossJoin(F.broadcast(totals))).drop(*[f"_z{k}" for k in keys])  # without keys, totals is one row
-    dealt = whole.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PLACES))))
+    salt = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long") if keys else F.lit(0).cast("long")
+    kinds, held = dict(counted.dtypes), [*keys, "_b", "_base", "_n", "_size"]
+    named = lambda *more: ", ".join([*(f"{k} {kinds[k]}" for k in keys), *more])
 
-    def run(group: pa.Table) -> pa.Table:
+    def pack(group: pa.Table) -> pa.Table:
         x, c = np.column_stack([group.column(v).to_numpy() for v in values]), group.column("_c").to_numpy()
+        return group.select(held).slice(0, 1).append_column("_x", pa.array([x.tobytes()], pa.binary())).append_column("_c", pa.array([c.tobytes()], pa.binary()))
+
+    whole = whole.withColumn("_g", F.pmod(F.xxhash64(*values), "_g"))
+    packed = whole.groupBy(*keys, "_b", "_g").applyInArrow(pack, named("_b long", "_base long", "_n long", "_size long", "_x binary", "_c binary")).withColumn("_s", salt)
+    dealt = packed.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("_size")))))
+
+    def run(group: pa.Table) -> pa.Table:
+        x, c = (np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in group.column(name)]) for name, kind in (("_x", np.float64), ("_c", np.int64)))
+        x = x.reshape(len(c), -1)
         order = np.lexsort(x.T[::-1])
-        n, base, p, salt = (group.column(k)[0].as_py() for k in ("_n", "_base", "_p", "_s"))
-        made, n_in = drawn_sums(x[order], c[order], n, base, (p * PLACES, min(n, (p + 1) * PLACES)), replicates, seed, salt)
+        x, c = x[order], c[order]
+        n, base, p, step, salt = (group.column(k)[0].as_py() for k in ("_n", "_base", "_p", "_size", "_s"))
+        made, n_in = np.zeros((replicates, x.shape[1])), np.zeros(replicates, np.int64)
+        for lo in range(p * step, min(n, (p + 1) * step), PLACES):
+            sums_, in_ = drawn_sums(x, c, n, base, (lo, min(n, lo + PLACES)), replicates, seed, salt)
+            made, n_in = made + sums_, n_in + in_
         one = pa.array(np.zeros(replicates, np.int64))
         columns = {k: group.column(k).take(one) for k in keys} | {"draw": pa.array(np.arange(replicates, dtype=np.int32))}
         return pa.table(columns | {v: pa.array(made[:, i]) for i, v in enumerate(values)} | {"n": pa.array(n_in)})
 
-    salt = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long") if keys else F.lit(0).cast("long")
-    dealt, kinds = dealt.withColumn("_s", salt), dict(counted.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "draw int", *(f"{v} double" for v in values), "n long"])
-    # by number, since the rows are few and Spark would put them all in one task, but each group takes seconds
-    tasks = sizes.agg(F.sum(F.ceil(F.col("_n") / PLACES) * F.ceil(F.col("_d") / VECTORS))).first()[0] or 1
-    dealt = dealt.repartition(min(MOST_TASKS, 3 * int(tasks)), *keys, "_b", "_p")
-    parts = dealt.groupBy(*keys, "_b", "_p").applyInArrow(run, schema)
+    # by number, since the rows are few and Spark would put them all in one task, but each group takes seconds or minutes: so many that few tasks get two
+    tasks = sizes.agg(F.sum(F.ceil(F.col("_n") / size) * F.ceil(F.col("_d") / VECTORS))).first()[0] or 1
+    dealt = dealt.repartition(min(MOST_TASKS, 8 * int(tasks)), *keys, "_b", "_p")
+    parts = dealt.groupBy(*keys, "_b", "_p").applyInArrow(run, named("draw int", *(f"{v} double" for v in values), "n long"))
     if (most or 0) > PLACES or (widest or 0) > VECTORS:
         parts = parts.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.sum("n").alias("n"))
     return lineage.cut(parts.withColumnsRenamed(dict(zip([*keys, *values], [*strata, *sums], strict=True))))

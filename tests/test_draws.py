@@ -152,3 +152,33 @@ def test_chunks_of_places_are_spread_over_tasks(spark, monkeypatch):
     made = stats.hashed_draws(spark.range(1000).select("id", (F.col("id") % 2).alias("v")), [], "id", ["v"], 4)
     assert made.agg(F.sum("n")).first()[0] == 4000
     assert "REPARTITION_BY_NUM" in plans[-1]  # else the few rows would be one task's, and so all draws
+
+
+def test_what_is_sent_to_tasks_grows_with_units_only(spark, monkeypatch):
+    """Not with different values times chunks of places."""
+    monkeypatch.setattr(stats, "PLACES", 10)
+    frame, taken = type(spark.range(1)), []
+    kept = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *by: taken.append(df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]) or kept(df, *by))
+    for n in (400, 1600):
+        rows = [("s", i, float(i * i), float(i % 7)) for i in range(n)]
+        df = spark.createDataFrame(rows, "s string, u long, v double, w double")
+        got = {(r.s, r.draw): (r.n, round(r.v, 6), round(r.w, 6)) for r in stats.hashed_draws(df, ["s"], "u", ["v", "w"], 3).collect()}
+        assert got == plain_draws([(s, v, w) for s, _, v, w in rows], 3)
+    assert taken[1] < 5 * taken[0] and taken[1] < 1600 * 400
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+@pytest.mark.parametrize("laid_out", [1 << 30, 0])
+def test_values_are_taken_two_at_a_time(monkeypatch, width, laid_out):
+    monkeypatch.setattr(stats, "_SORTED", 0)
+    monkeypatch.setattr(stats, "_LAID_OUT", (laid_out, laid_out))
+    rng = np.random.default_rng(5)
+    values, counts = rng.integers(0, 1 << 40, (300, width)).astype(float), rng.integers(1, 4, 300)
+    values[7, 0] = np.inf
+    n, base = int(counts.sum()) + 50, 20
+    units = np.repeat(values, counts, axis=0)
+    at = np.array([[plain_pick(5, p, d, n) for p in range(n)] for d in range(3)])
+    inside = (at >= base) & (at < base + len(units))
+    sums, n_in = stats.drawn_sums(values, counts, n, base, (0, n), 3, salt=5)
+    assert np.array_equal(sums, [units[a[i] - base].sum(axis=0) for a, i in zip(at, inside, strict=True)]) and n_in.tolist() == inside.sum(axis=1).tolist()
