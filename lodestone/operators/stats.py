@@ -130,13 +130,17 @@ def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places
     u = words(seed, "p", lo, lo + max(1024, 1 << (hi - lo - 1).bit_length()))[: hi - lo]
     v = words(seed, "d", 0, replicates) ^ np.uint32(salt)
     u, v = u ^ (u >> np.uint32(16)), v ^ (v >> np.uint32(16))
-    width, edges = values.shape[1], base + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    total, all_in = int(edges[-1]) - base, base == 0 and int(edges[-1]) == n
-    least = _least_words(edges[edges < n], n)  # an edge at n has no word
+    width, total = values.shape[1], int(counts.sum())
+    all_in = base == 0 and total == n
+    by_bounds = len(u) >= _LONG and len(counts) <= _SORTED and np.isfinite(values).all()
+    laid_out = not by_bounds and total * width <= _LAID_OUT[len(counts) >= _MANY]
+    if not laid_out:
+        edges = base + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        least = _least_words(edges[edges < n], n)  # an edge at n has no word
     sums, n_in = np.zeros((replicates, width)), np.full(replicates, len(u), np.int64)
     x, spare = np.empty(max(1, _AT_ONCE // len(u)) * len(u), np.uint32), np.empty(max(1, _AT_ONCE // len(u)) * len(u), np.uint32)
 
-    if len(u) >= _LONG and len(counts) <= _SORTED and np.isfinite(values).all():
+    if by_bounds:
         x, spare, from_edge = x[: len(u)], spare[: len(u)], np.zeros(len(edges), np.int64)
         few, flag = len(counts) <= _COMPARED, np.empty(len(u), bool)
         for d in range(replicates):
@@ -153,7 +157,6 @@ def drawn_sums(values: np.ndarray, counts: np.ndarray, n: int, base: int, places
 
     # two values are one complex number, so that a pick reads one place
     columns = [np.ascontiguousarray(values[:, k : k + 2]).view(np.complex128 if k + 1 < width else np.float64)[:, 0] for k in range(0, width, 2)]
-    laid_out = total * width <= _LAID_OUT[len(counts) >= _MANY]
     if laid_out:
         columns = [np.repeat(c, counts) for c in columns] if total > len(counts) else columns
     else:

@@ -182,3 +182,11 @@ def test_values_are_taken_two_at_a_time(monkeypatch, width, laid_out):
     inside = (at >= base) & (at < base + len(units))
     sums, n_in = stats.drawn_sums(values, counts, n, base, (0, n), 3, salt=5)
     assert np.array_equal(sums, [units[a[i] - base].sum(axis=0) for a, i in zip(at, inside, strict=True)]) and n_in.tolist() == inside.sum(axis=1).tolist()
+
+
+def test_values_laid_out_unit_by_unit_need_no_bounds(monkeypatch):
+    """Of millions of different values they would take longer, for each chunk of places, and more memory than the values."""
+    monkeypatch.setattr(stats, "_least_words", None)
+    values = np.stack([np.arange(20_000.0), np.ones(20_000)], axis=1)
+    sums, n_in = stats.drawn_sums(values, np.ones(20_000, np.int64), 20_000, 0, (0, 5000), 2)
+    assert sums[:, 1].tolist() == n_in.tolist() == [5000, 5000] and sums[0, 0] == sum(plain_pick(0, p, 0, 20_000) for p in range(5000))
